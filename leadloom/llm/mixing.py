@@ -93,7 +93,7 @@ WITH size AS (SELECT source, count(*) n_docs, sum(length(coalesce(text, ''))) n_
 w AS (SELECT *, CAST(round(pow(CAST(n_chars AS DOUBLE), {POWER}), 6) AS DECIMAL(28,6)) weight FROM size),
 t AS (SELECT CAST(sum(n_chars) AS DOUBLE) all_chars, CAST(sum(weight) AS DOUBLE) all_weight FROM w),
 r AS (SELECT source, least(round(CASE WHEN n_chars > 0 THEN CAST(weight AS DOUBLE) * all_chars / (all_weight * n_chars) ELSE 1.0 END, 6), {MAX_RATE}) rate FROM w, t),
-s AS (SELECT source, rate, k, exp(-rate) * list_product(list_transform(range(1, k + 1), j -> rate / j)) p FROM r, range(0, {COUNTS + 1}) g(k)),
+s AS (SELECT source, rate, k, exp(-rate) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: rate / j)), 1.0) p FROM r, range(0, {COUNTS + 1}) g(k)),
 c AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) c FROM s),
 u AS (SELECT doc_id, source, text, CAST(('0x' || substr(md5('{SEED}:' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 u FROM documents),
 n AS (SELECT u.doc_id, u.source, u.text, rate, count(CASE WHEN c.c <= u.u THEN 1 END) n_copies

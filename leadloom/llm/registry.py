@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, simhash
+from . import audio, chat, licenses, mixing, packing, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_media_columns": audio.op3_media_columns,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_mixing_sources": mixing.op6_mixing_sources,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_license_scans": licenses.op8_license_scans,
+    "op9_url_filters": urls.op9_url_filters,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
+    "op1_chat_formatting": chat.ORACLE_1,
     "op6_mixing_sources": mixing.ORACLE_6,
+    "op8_license_scans": licenses.ORACLE_8,
 }
