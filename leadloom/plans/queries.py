@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_select
+from . import q_analytics, q_integrity, q_scoring, q_select
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "q_select"]
+__all__ = ["ORACLES", "QUERIES", "q_analytics", "q_integrity", "q_scoring", "q_select"]
