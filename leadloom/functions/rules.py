@@ -30,9 +30,9 @@ def first_of(tests: Iterable[tuple[str, str]], default: str = "NULL") -> str:
 
 def most_hits(column: str, groups: dict[str, tuple[str, ...]]) -> str:
     """The group with the most words in the value, ties by order; null without any."""
-    scores = {name: hits_in(column, words) for name, words in groups.items()}
-    top = "greatest(" + ", ".join(scores.values()) + ")"
-    return first_of([(f"coalesce({top}, 0) = 0", "NULL"), *((f"{score} = {top}", text(name)) for name, score in scores.items())])
+    scores = "array(" + ", ".join(hits_in(column, words) for words in groups.values()) + ")"
+    names = "array(" + ", ".join(map(text, groups)) + ")"
+    return f"CASE WHEN array_max({scores}) > 0 THEN element_at({names}, CAST(array_position({scores}, array_max({scores})) AS INT)) END"
 
 
 def filled(column: str) -> str:
@@ -44,5 +44,11 @@ def matches(column: str, pattern: str) -> str:
     return f"coalesce(regexp_like({column}, r'{pattern}'), false)"
 
 
+#: Spark's names and DuckDB's.
+NAMES = {"regexp_like(": "regexp_matches(", " r'": " '", "array_max(": "list_max(", "array_position(": "list_position(", "element_at(": "list_extract(", "array(": "list_value("}
+
+
 def for_duckdb(sql: str) -> str:
-    return sql.replace("regexp_like(", "regexp_matches(").replace(" r'", " '")
+    for spark, duckdb in NAMES.items():
+        sql = sql.replace(spark, duckdb)
+    return sql

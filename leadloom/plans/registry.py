@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.rules import for_duckdb
 from .views import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             head = with_views(*views.split()) if views else ""
-            body = sql.strip()
+            body = for_duckdb(sql.strip())
             if head and body.upper().startswith("WITH "):
                 body = "," + body[4:]
             ORACLES[name] = f"{head}{body if body.startswith(',') else ' ' + body}"
