@@ -167,8 +167,9 @@ def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor:
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     marks = saved(judged(stretches(body, window, anchor)).groupBy("id").agg(F.collect_list(F.struct("place", "n", "ask")).alias("marks")), "repeats")
     asked = body.join(marks.where(F.exists("marks", lambda m: m["ask"])), "id")
-    at = opened(asked, window)
+    at = saved(opened(asked, window), "repeat-windows")
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("m")).where("m > 1").select("h1", "h2", "first")
+    first = saved(first, "repeat-firsts")  # with both sides read from files, a hot window's rows can be split in the join
     late = at.join(first, ["h1", "h2"]).where(F.struct("id", "place") != F.col("first"))
     late = late.groupBy("id").agg(F.collect_list("place").alias("late"))
     return body.join(marks, "id", "left").join(late, "id", "left")
