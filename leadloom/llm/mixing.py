@@ -36,11 +36,10 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", po
     A null source is a source of its own; one without characters has rate 1.
     """
     size = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs"), F.sum(F.length(text_of(text)).cast("long")).alias("n_chars"))
-    size = size.withColumn("weight", F.round(F.pow(F.col("n_chars").cast("double"), F.lit(power)), 6).cast("decimal(28,6)"))
-    total = size.agg(F.sum("n_chars").cast("double").alias("all_chars"), F.sum("weight").cast("double").alias("all_weight"))
-    rate = F.when(F.col("n_chars") > 0, F.col("weight").cast("double") * F.col("all_chars") / (F.col("all_weight") * F.col("n_chars"))).otherwise(F.lit(1.0))
-    one_row = F.broadcast(total)
-    return size.join(one_row, F.lit(True)).select("source", "n_docs", "n_chars", F.least(F.round(rate, 6), F.lit(MAX_RATE)).alias("rate"))
+    size = saved(size.withColumn("weight", F.round(F.pow(F.col("n_chars").cast("double"), F.lit(power)), 6).cast("decimal(28,6)")), "mixing-sizes")
+    chars, weight = size.agg(F.sum("n_chars").cast("double"), F.sum("weight").cast("double")).first()
+    rate = F.when(F.col("n_chars") > 0, F.col("weight").cast("double") * F.lit(chars) / (F.lit(weight) * F.col("n_chars"))).otherwise(F.lit(1.0))
+    return size.select("source", "n_docs", "n_chars", F.least(F.round(rate, 6), F.lit(MAX_RATE)).alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:
