@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, licenses, mixing, packing, quality, secrets, simhash, substrings, urls
+from . import audio, chat, licenses, mixing, oracles, packing, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_formatting": chat.ORACLE_1,
+    "op2_secret_scans": oracles.ORACLE_2,
+    "op4_substring_dedup": oracles.ORACLE_4,
+    "op5_quality_rules": oracles.ORACLE_5,
     "op6_mixing_sources": mixing.ORACLE_6,
     "op8_license_scans": licenses.ORACLE_8,
 }
