@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cleaning as C
 from ..operators import pages as P
+from ..operators import validation as V
 from .q_select import HOST
 from .registry import query
 
@@ -33,7 +35,10 @@ def _with_contacts(t):
     return t.pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", block)).otherwise(F.concat("html", F.lit("<p>info"), c, F.lit("@acme.com x@gmail.com</p>"))))
 
 
-@query("page_contacts", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Mary' END AS first_name, CASE WHEN page_id % 2 = 0 THEN 'Lee' END AS last_name, CASE WHEN page_id % 2 = 0 THEN concat('mary', page_id, '@corp.com') ELSE concat('info', page_id, '@acme.com') END AS email, CASE WHEN page_id % 2 = 0 THEN 'ceo' END AS job_title FROM pages")
+_MAILS = f"list_filter(list_distinct(regexp_extract_all(html || '<p>info' || page_id || '@acme.com x@gmail.com</p>', '{C.EMAILS}')), lambda x: string_split(lower(x), '@')[-1] NOT IN ({', '.join(repr(d) for d in V.FREEMAIL)}))"
+
+
+@query("page_contacts", f"SELECT page_id, 'Mary' AS first_name, 'Lee' AS last_name, concat('mary', page_id, '@corp.com') AS email, 'ceo' AS job_title FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL, NULL, unnest({_MAILS}), NULL FROM pages WHERE page_id % 2 = 1")
 def _(t):
     return P.page_contacts(_with_contacts(t)).select("page_id", "first_name", "last_name", "email", "job_title")
 
