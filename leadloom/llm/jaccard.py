@@ -1,0 +1,139 @@
+"""Near copies by Jaccard similarity of word shingles, for the pipeline's near-dedup stage.
+
+A document is the set of its runs of five words (the whole text where it is shorter). Two documents link if their sets have a
+Jaccard similarity of 0.8 or more, checked on the sets themselves. Rows with equal sets are one node. A node without a partner
+in any MinHash band is done: a pair at 0.8 shares none of the 40 bands of 5 with a probability of 1.2e-7, and less above it. The
+other nodes go through an exact prefix filter: with shingles ordered rarest first, two sets that link share one of their first
+n - ceil(0.8 n) + 1. In each group of one shingle all nodes meet the one with the fewest shingles of its own, as copies lie
+round their source; after that only nodes of different components meet, and only where enough shingles are left after their common one (true of the first common one of
+each pair that links), so that a large group of copies makes fewer pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import simhash
+from . import words as W
+from .common import components, saved
+from .simhash import LOWER
+
+SHINGLE = 5
+#: Similarity of 4 fifths, kept as integers so that the check is exact.
+PARTS, OF = 4, 5
+BANDS, ROWS = 40, 5
+SALTS = np.random.default_rng(42).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64) | np.uint64(1)
+
+
+def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Per text, the distinct 64-bit hashes of its shingles, sorted. No words: none."""
+    for a, b in W.pieces(texts):
+        words = W.Words([t.translate(LOWER) for t in texts[a:b]])
+        h = words.hashes()
+        for i, j in zip(words.first[:-1], words.first[1:], strict=True):
+            yield np.unique(W.windows(h[i:j], min(size, j - i))) if j > i else np.zeros(0, np.uint64)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """MinHash bands of non-empty sets, a row of ``BANDS`` keys each."""
+    h = np.concatenate(sets)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for k, (mask, factor) in enumerate(SALTS):
+        out[:, k // ROWS] = out[:, k // ROWS] * W.U(W.P) + np.minimum.reduceat((h ^ mask) * factor, starts)
+    return W.mix(out + np.arange(BANDS, dtype=np.uint64) * W.U(W.BASES[0]))
+
+
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) -> (doc_id, node: a hash of the set, its size, its bands)."""
+    for batch in batches:
+        ids, texts = batch.column(0), W.texts_of(batch.column(1))
+        for a, b in W.pieces(texts):
+            sets = list(shingle_sets(texts[a:b]))
+            keys = _keys(sets)
+            bands = np.zeros(0, np.int64) if not any(map(len, sets)) else band_keys([s for s in sets if len(s)]).view(np.int64).ravel()
+            ends = np.concatenate([[0], np.cumsum([BANDS * (len(s) > 0) for s in sets])]).astype(np.int32)
+            columns = [ids.slice(a, b - a), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> (node, its shingles)."""
+    for batch in batches:
+        texts = W.texts_of(batch.column(0))
+        for a, b in W.pieces(texts):
+            sets = [s.view(np.int64) for s in shingle_sets(texts[a:b])]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs ``(a, b)``, those whose sets reach the similarity: both * OF >= PARTS * either."""
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.where(both * (OF + PARTS) >= (F.size("x") + F.size("y")) * PARTS).select("a", "b")
+
+
+def _can_reach(n: str, at: str, m: str, at2: str) -> Column:
+    """Whether sets of n and m shingles whose first common one is at these places (from 1) can have the similarity."""
+    return (1 + F.least(F.col(n) - F.col(at), F.col(m) - F.col(at2))) * (OF + PARTS) >= (F.col(n) + F.col(m)) * PARTS
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect every two of ``sets(node, shingles)`` with the similarity, directly or through others."""
+    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    common = saved(tokens.join(shared, "shingle"), "jaccard-common")
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    ranked = common.withColumn("rank", F.row_number().over(order)).withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("node")))
+    # A node's own shingles come first in its order and meet nobody.
+    prefix = F.col("n") - F.ceil(F.col("n") * PARTS / OF) + 1
+    first = saved(ranked.withColumn("at", F.col("own") + F.col("rank")).where(F.col("at") <= prefix).select("shingle", "node", "n", "own", "at"), "jaccard-prefix")
+    hubs = first.groupBy("shingle").agg(F.min(F.struct("own", "node", "n", "at")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("shingle", "hub")
+    spokes = first.join(hubs, "shingle").where((F.col("node") != F.col("hub.node")) & _can_reach("n", "at", "hub.n", "hub.at"))
+    stars = saved(_alike(spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets), "jaccard-stars")
+    groups = components(stars, "jaccard-groups")
+    at = first.join(groups, "node", "left").select("shingle", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+    mixed = at.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    left = saved(at.join(mixed, "shingle"), "jaccard-left")
+    other = left.toDF("shingle", "node2", "n2", "at2", "component2")
+    apart = left.join(other, "shingle").where((F.col("component") != F.col("component2")) & (F.col("node") < F.col("node2")) & _can_reach("n", "at", "n2", "at2"))
+    return stars.union(_alike(apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), sets))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` per row of ``docs``, the component being the smallest doc_id reached by links.
+
+    Null and empty texts share the empty set. Rows that share a doc_id count as one node. A null doc_id takes no part as a node:
+    its row gets the component of its set, null if it is alone there.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    told = saved(rows.mapInArrow(_described, "doc_id long, node long, n long, bands array<long>"), "jaccard-bands")
+    nodes = saved(told.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "jaccard-node")
+    banded = nodes.select("node", "doc_id", F.explode("bands").alias("band"))
+    met = banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    found = saved(banded.join(met, "band", "left_semi").select("node", "doc_id").distinct(), "jaccard-found")
+    texts = rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    # A repeated doc_id brings other texts along.
+    sets = saved(texts.mapInArrow(_sets, "node long, shingles array<long>").join(found, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    ends = told.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("doc_id is not null and a <> b")
+    same = told.join(ends.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    groups = components(links(sets).union(same), "jaccard-links")
+    at = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = at.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return told.select("doc_id", "node").join(at.join(least, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group, as ``simhash.one_of_each``."""
+    return simhash.one_of_each(docs, text, near_duplicates(docs, text))

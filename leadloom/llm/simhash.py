@@ -145,9 +145,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, tree_
     return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with one document of each group: the one whose doc_id names the group. Rows without a doc_id stay."""
-    groups = near_duplicates(docs, text)
+    groups = near_duplicates(docs, text) if groups is None else groups
     ids = groups.where("doc_id = component_id").select("doc_id").distinct()
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))
     kept = docs.join(ids, "doc_id", "left_semi").withColumn("__row", row).where("__row = 1")
