@@ -15,9 +15,11 @@ from .common import saved, table, text_of
 #: Target weight of a source = its characters to this power (1 leaves the mix as it is, 0 makes all sources equal).
 POWER = 0.5
 SEED = 42
-#: A rate is held to this; the Poisson table of a rate ends where no further count can be drawn.
+#: The Poisson table of a rate up to ``MAX_RATE`` has ``COUNTS`` steps, that of a larger one as many as can be drawn. A rate over
+#: ``PART`` is the sum of draws of equal parts, as exp(-rate) would be zero. Rates have no limit, but in ``ORACLE_6``.
 MAX_RATE = 16.0
 COUNTS = 80
+PART = 400.0
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle on salted keys.
 BROADCAST_ROWS = 20_000
 SALTS = 64
@@ -32,20 +34,21 @@ def uniform(*parts: Column, seed: int = SEED) -> Column:
 def source_rates(docs: DataFrame, source: str = "source", text: str = "text", power: float = POWER) -> DataFrame:
     """``(source, n_docs, n_chars, rate)``: mean repetitions that bring each source to its target weight at equal total size.
 
-    rate = (weight share) * (all characters) / (the source's characters), held to ``MAX_RATE``; weight = characters ** power.
+    rate = (weight share) * (all characters) / (the source's characters); weight = characters ** power.
     A null source is a source of its own; one without characters has rate 1.
     """
     size = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs"), F.sum(F.length(text_of(text)).cast("long")).alias("n_chars"))
     size = saved(size.withColumn("weight", F.round(F.pow(F.col("n_chars").cast("double"), F.lit(power)), 6).cast("decimal(28,6)")), "mixing-sizes")
     chars, weight = size.agg(F.sum("n_chars").cast("double"), F.sum("weight").cast("double")).first()
     rate = F.when(F.col("n_chars") > 0, F.col("weight").cast("double") * F.lit(chars) / (F.lit(weight) * F.col("n_chars"))).otherwise(F.lit(1.0))
-    return size.select("source", "n_docs", "n_chars", F.least(F.round(rate, 6), F.lit(MAX_RATE)).alias("rate"))
+    return size.select("source", "n_docs", "n_chars", F.round(rate, 6).alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:
     """Cumulative probabilities of counts 0, 1, 2, ... as an array."""
+    last = F.when(rate <= MAX_RATE, F.lit(COUNTS)).otherwise(F.ceil(rate + 12 * F.sqrt(rate)).cast("int") + COUNTS)
     step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(COUNTS)),
+        F.sequence(F.lit(1), last),
         F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c")),
         lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.array_append(acc["c"], F.element_at(acc["c"], -1) + acc["p"] * rate / k).alias("c")),
     )
@@ -54,7 +57,8 @@ def poisson_steps(rate: Column) -> Column:
 
 def with_rates(docs: DataFrame, rates: DataFrame, source: str) -> DataFrame:
     """Join the sources' Poisson tables to the documents: by broadcast up to ``BROADCAST_ROWS`` sources, else by salted keys."""
-    steps = rates.select(F.col("source").alias("__source"), "rate", poisson_steps(F.col("rate")).alias("__steps"))
+    parts = F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1))
+    steps = rates.select(F.col("source").alias("__source"), "rate", parts.alias("__parts"), poisson_steps(F.col("rate") / parts).alias("__steps"))
     if rates.count() <= BROADCAST_ROWS:
         return docs.join(F.broadcast(steps), F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
@@ -75,7 +79,9 @@ def mixed(docs: DataFrame, rates: DataFrame | None = None, source: str = "source
         rates = saved(source_rates(docs, source, text), "mixing-rates")
     at = docs.select(*dict.fromkeys([*names, "doc_id", source]))
     u = uniform(F.col("doc_id"), seed=seed)
-    count = F.size(F.filter(F.coalesce("__steps", F.array(F.lit(1.0))), lambda c: c <= F.col("__u")))
+    below = lambda u: F.size(F.filter(F.coalesce("__steps", F.array(F.lit(1.0))), lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("__parts") - 1), F.lit(0), lambda n, k: n + below(uniform(F.col("doc_id"), k, seed=seed)))
+    count = below(F.col("__u")) + F.when(F.col("__parts") > 1, more).otherwise(F.lit(0))
     drawn = with_rates(at, rates, source).withColumn("__u", u).withColumn("n_copies", count).where("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
