@@ -4,12 +4,15 @@ Seeds are winnowed anchors: of every 20-word window, the 8-word run with the sma
 anchor make a stretch, which is the anchor extended both ways as far as it rules; so each window lies in exactly one stretch
 and equal windows always have equal anchors. Documents are joined on anchors, never pairwise:
 
-* a stretch that repeats an earlier one whole is a repeat, and adjoining stretches make up the maximal repeat;
-* where an anchor has different stretches (the ends of repeats), or a stretch has its anchor twice, the first is opened into its windows, and a window
-  that begins earlier elsewhere is a repeat.
+* a stretch that repeats an earlier one whole is a repeat of it;
+* where an anchor has different stretches (the ends of repeats), or a stretch has its anchor twice, the first is opened into
+  its windows, and a window that begins earlier elsewhere is a repeat of that.
 
-A hot stretch is thinned in each task before the shuffle: repeats within a batch are known there, and of an anchor with many
-different stretches only two per batch travel under the anchor, which is enough to know that it is contested.
+Each match is then extended both ways over the adjoining matches on its diagonal (same earlier document, same distance), which
+gives the maximal repeats; all of them are at least a window long.
+
+A hot stretch is thinned in each task before the shuffle: repeats that a task has met are known there, and of an anchor with
+different stretches one row per batch travels under the anchor, which is enough to know that it is contested.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ ANCHOR = 8
 TAG_SHIFT = 40
 TAG_BITS = 23
 NO_ID = -(1 << 63)
+#: Hot stretches that a task keeps in mind; others meet after the shuffle.
+MET = 1 << 17
 U = np.uint64
 
 
@@ -81,8 +86,12 @@ def _stretches(texts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray
     return text, start - w.first[text], size, least[start], body, twice
 
 
-def _thin(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Mark what a batch knows already, and set routes: ``dup`` repeats a stretch of this batch, ``contested`` has a rival here."""
+def _thin(rows: dict[str, np.ndarray], met: dict[int, tuple[int, int]]) -> dict[str, np.ndarray]:
+    """Mark what a task knows already, and set routes: ``dup`` repeats ``first_id, first_place``, ``contested`` has a rival here.
+
+    ``met`` holds the earliest place of stretches that the task has seen twice; it has a bounded number of them, and what it
+    lacks is found after the shuffle.
+    """
     key = W.mix(rows["anchor"] ^ W.mix(rows["body"] + rows["n"].astype(U)))
     order = np.lexsort((rows["place"], rows["id"], key))
     rows = {k: v[order] for k, v in rows.items()}
@@ -90,9 +99,19 @@ def _thin(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     head = np.append(True, key[1:] != key[:-1])[: len(key)]
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
     same = (rows["id"] == rows["id"][lead]) & (rows["place"] == rows["place"][lead])
+    rows |= {"first_id": rows["id"][lead], "first_place": rows["place"][lead]}
     keep = head | ~same
     rows = {k: v[keep] for k, v in rows.items()}
     key, dup = key[keep], ~head[keep]
+    hot = key[dup]
+    known = np.isin(key, hot) | np.isin(key, np.fromiter(met, U, len(met)))
+    hot = set(hot.tolist())
+    for i in np.flatnonzero(~dup & known).tolist():
+        k, at = int(key[i]), (int(rows["id"][i]), int(rows["place"][i]))
+        if (before := met.get(k)) is not None and before < at:
+            dup[i], rows["first_id"][i], rows["first_place"][i] = True, *before
+        elif before is not None or (k in hot and len(met) < MET):
+            met[k] = at
     firsts = np.flatnonzero(~dup)
     firsts = firsts[np.lexsort((rows["body"][firsts], rows["anchor"][firsts]))]
     a = rows["anchor"][firsts]
@@ -101,13 +120,13 @@ def _thin(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     contested = np.zeros(len(key), bool)
     contested[firsts] = before | after | rows["twice"][firsts]
     route = rows["anchor"].copy()
-    middle = firsts[before & after]
-    route[middle] = key[middle]
+    later = firsts[before]
+    route[later] = key[later]
     route[dup] = W.mix(rows["place"][dup].astype(U) ^ W.mix(rows["id"][dup].astype(U)))
     return rows | {"dup": dup, "contested": contested, "route": route}
 
 
-STRETCH = "route long, anchor long, body long, id long, place long, n int, dup boolean, contested boolean"
+STRETCH = "route long, anchor long, body long, id long, place long, n long, first_id long, first_place long, dup boolean, contested boolean"
 
 
 def stretches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -115,6 +134,7 @@ def stretches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     names = [x.split()[0] for x in STRETCH.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, tuple[int, int]] = {}
         for batch in batches:
             texts, ids = W.texts_of(batch.column(1)), batch.column(0).to_numpy()
             tags = np.array([_tag(t) for t in texts], np.int64)
@@ -125,23 +145,25 @@ def stretches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
             if not parts:
                 continue
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            rows = _thin(dict(zip(("id", "place", "n", "anchor", "body", "twice"), cols, strict=True)))
+            rows = _thin(dict(zip(("id", "place", "n", "anchor", "body", "twice"), cols, strict=True)), met)
             out = {k: v.view(np.int64) if v.dtype == U else v for k, v in rows.items()}
-            out["n"] = np.minimum(out["n"], (1 << 31) - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in names], names)
 
     return docs.mapInArrow(run, STRETCH)
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """``(id, place, n, ask)``: stretches that repeat an earlier one (ask false), and first ones with a rival (ask true)."""
+    """``(id, place, n, ask, first_id, first_place)``: stretches that repeat an earlier one (ask false), and first ones with a rival (ask true).
+
+    A place is compared with the first place that has its stretch, never counted, so a row that comes twice is not its own repeat.
+    """
     same = Window.partitionBy("route", "anchor", "body", "n")
     rivals = Window.partitionBy("route", "anchor")
-    order = F.row_number().over(same.orderBy("id", "place"))
-    rival = (F.min("body").over(rivals) != F.max("body").over(rivals)) | (F.min("n").over(rivals) != F.max("n").over(rivals))
-    out = rows.repartition("route").withColumn("order", order).withColumn("rival", rival)
-    repeat = F.col("dup") | (F.col("order") > 1)
-    return out.where(repeat | F.col("contested") | F.col("rival")).select("id", "place", "n", (~repeat).alias("ask"))
+    first = F.min(F.struct("first_id", "first_place")).over(same)
+    rival = (F.min("body").over(rivals) != F.max("body").over(rivals)) | (F.min("n").over(rivals) != F.max("n").over(rivals)) | F.max("contested").over(rivals)
+    out = rows.repartition("route").withColumn("first", first).withColumn("rival", rival)
+    repeat = F.struct(F.col("id").alias("first_id"), F.col("place").alias("first_place")) != F.col("first")
+    return out.where(repeat | F.col("rival")).select("id", "place", "n", (~repeat).alias("ask"), "first.first_id", "first.first_place")
 
 
 def opened(asked: DataFrame, window: int) -> DataFrame:
@@ -163,48 +185,72 @@ def opened(asked: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``docs(id, text)`` rows with ``marks`` and ``late``: the repeated stretches and single windows of each."""
+    """``docs(id, text)`` rows with ``marks`` and ``late``: the repeated stretches and single windows of each, and what they repeat."""
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    marks = saved(judged(stretches(body, window, anchor)).groupBy("id").agg(F.collect_list(F.struct("place", "n", "ask")).alias("marks")), "repeats")
+    mark = F.struct("place", "n", "ask", "first_id", "first_place")
+    marks = saved(judged(stretches(body, window, anchor)).distinct().groupBy("id").agg(F.collect_list(mark).alias("marks")), "repeats")
     asked = body.join(marks.where(F.exists("marks", lambda m: m["ask"])), "id")
     at = saved(opened(asked, window), "repeat-windows")
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("m")).where("m > 1").select("h1", "h2", "first")
     first = saved(first, "repeat-firsts")  # with both sides read from files, a hot window's rows can be split in the join
     late = at.join(first, ["h1", "h2"]).where(F.struct("id", "place") != F.col("first"))
-    late = late.groupBy("id").agg(F.collect_list("place").alias("late"))
+    late = late.groupBy("id").agg(F.collect_set(F.struct("place", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))).alias("late"))
     return body.join(marks, "id", "left").join(late, "id", "left")
 
 
+def maximal(spans: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """Matches ``(start, windows, first_id, first_start)`` extended both ways: those that adjoin on one diagonal become one repeat.
+
+    Gives ``(start, n_words, first_id, first_start)``, in order of start.
+    """
+    out: list[list[int]] = []
+    for start, n, id_, first in sorted(spans, key=lambda s: (s[2], s[0] - s[3], s[0])):
+        if out and out[-1][2] == id_ and out[-1][0] - out[-1][3] == start - first and start <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + n - out[-1][0])
+        else:
+            out.append([start, n, id_, first])
+    return sorted((start, n + window - 1, id_, first) for start, n, id_, first in out)
+
+
+KEPT = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, n_words: long, first_doc_id: long, first_start: long>>"
+
+
 def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept)`` per row of ``docs``; kept: the words left, joined by one space.
+    """``(doc_id, n_words, n_removed, kept, repeats)`` per row of ``docs``; kept: the words left, joined by one space.
 
     A word goes if a window over it holds words that also begin earlier: in a smaller doc_id, or earlier in the same
-    document. Null and empty texts have no words. A null doc_id sorts before all others. Rows that repeat a doc_id with the
-    same text are one document and get the same result; with other texts they are told apart, and ordered, by a hash of the
-    text. Extra columns are ignored; an empty table gives no rows.
+    document. ``repeats`` are the maximal repeats, as word positions here and at an earlier place (the first one, or the first
+    that the same task had met). Null and empty texts have no words. A null doc_id sorts before all others, and is null as ``first_doc_id``. Rows that repeat a doc_id with
+    the same text are one document and get the same result, wherever they lie; with other texts they are told apart, and
+    ordered, by a hash of the text. Extra columns are ignored; an empty table gives no rows.
     """
+    low = (1 << TAG_SHIFT) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("repeats", pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "n_words", "first_doc_id", "first_start")])))])
         for batch in batches:
-            sizes, gone, kept = [], [], []
+            sizes, gone, kept, repeats = [], [], [], []
             for t, marks, late in zip(W.texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words, left = t.split(), 0
+                words, left, found = t.split(), 0, []
                 if marks or late:
                     tag = _tag(t)
-                    spans = [(m["place"] - tag, m["n"]) for m in marks or [] if not m["ask"]] + [(p - tag, 1) for p in late or []]
-                    spans = [(a, n) for a, n in spans if 0 <= a < len(words)]
-                    if spans:
-                        a, n = np.array(spans, np.int64).T
-                        stay = ~W.covered(a, n + window - 1, len(words))
+                    spans = [(m["place"] - tag, m["n"], m["first_id"], m["first_place"] & low) for m in marks or [] if not m["ask"]]
+                    spans += [(m["place"] - tag, 1, m["first_id"], m["first_place"] & low) for m in late or []]
+                    found = maximal([s for s in spans if 0 <= s[0] < len(words)], window)
+                    if found:
+                        a, n = np.array([s[:2] for s in found], np.int64).T
+                        stay = ~W.covered(a, n, len(words))
                         left = len(words) - int(stay.sum())
                         words = [words[i] for i in np.flatnonzero(stay).tolist()]
                 sizes.append(len(words) + left)
                 gone.append(left)
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                repeats.append([{"start": a, "n_words": n, "first_doc_id": None if d == NO_ID else d, "first_start": f} for a, n, d, f in found])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(repeats, schema.field("repeats").type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = repeated(docs, text, window, anchor).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "marks", "late")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.mapInArrow(run, KEPT)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
