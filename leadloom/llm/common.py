@@ -1,30 +1,13 @@
-"""Shared pieces of the training-data operators: the shared folder, saved stages, edges to components."""
+"""Shared pieces of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.graph import components, saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage once to the shared folder and read it back, so lost executors cost no recomputation of it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "saved", "shared_dir", "table", "text_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,41 +17,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str | Column = "text") -> Column:
     """A text with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-
-
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, component)``, component being the smallest node reached.
-
-    Alternating large-star and small-star steps: every step is a grouped minimum plus a join, both keyed by node, so no
-    component is ever gathered anywhere. Each round is saved; the loop ends when the set of edges stops changing.
-    Nodes are longs; loops (a = b) and null ends are dropped, since a node without a link is its own component.
-    """
-    now = saved(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
-    )
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = mark(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = down.groupBy("a").agg(F.min("b").alias("m"))
-        now = saved(
-            down.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(),
-            name,
-        )
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    stars = now.groupBy("a").agg(F.min("b").alias("b"))
-    roots = stars.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return stars.toDF("node", "component").union(roots)
