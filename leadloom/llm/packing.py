@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences.
 
-Token counts are small, so only they are shuffled: documents are tokenised where they are read, dealt at random into groups
-of bounded size, and each group is packed by itself. A document over the limit is cut so that only its first piece can be
+Token counts are small, so only they are shuffled: documents are tokenised where they are read, dealt by a hash of their
+place into groups of a given mean size, and each group is packed by itself. A document over the limit is cut so that only its first piece can be
 short; its full pieces are sequences of their own and take no part in the search.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 LIMIT = 2048
-#: Documents packed together in one task; more would not make fewer sequences by any measurable share.
+#: Documents packed together in one task, on average; more would not make fewer sequences by any measurable share.
 GROUP = 16384
 #: Characters above which a text is left to the tokenizers library, whose matcher has no limit on runs of white space.
 LONG_TEXT = 1 << 20
@@ -156,6 +156,11 @@ def best_two_fit(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, n_bins
 
 
+def dealt(rows: DataFrame, n_groups: int) -> DataFrame:
+    """``rows`` with ``group``, 0 to ``n_groups - 1``: by a hash of partition and place in it, so even for any number of either."""
+    return rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)).cast("long"))
+
+
 def packed(docs: DataFrame, tokenizer: str, limit: int = LIMIT, text: str = "text", group: int = GROUP) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -178,8 +183,7 @@ def packed(docs: DataFrame, tokenizer: str, limit: int = LIMIT, text: str = "tex
         sequence = np.where(short, sequence, base) + first
         return pa.table({"doc_id": part.column("doc_id"), "n_tokens": n, "crcs": part.column("crcs"), "head": head, "sequence": sequence, "offset": offset, "base": base + first + ~short})
 
-    rows = tokenised(docs, tokenizer, limit, text).withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(n_groups)).cast("long"))
-    placed = rows.groupBy("group").applyInArrow(run, f"doc_id {kind}, n_tokens long, crcs array<long>, head long, sequence long, offset long, base long")
+    placed = dealt(tokenised(docs, tokenizer, limit, text), n_groups).groupBy("group").applyInArrow(run, f"doc_id {kind}, n_tokens long, crcs array<long>, head long, sequence long, offset long, base long")
     piece = F.col("piece").cast("long")
     return placed.select("doc_id", "head", "sequence", "offset", "base", F.posexplode("crcs").alias("piece", "ids_crc32")).select(
         "doc_id",
