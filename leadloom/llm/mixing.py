@@ -16,7 +16,7 @@ from .common import saved, table, text_of
 POWER = 0.5
 SEED = 42
 #: The Poisson table of a rate up to ``MAX_RATE`` has ``COUNTS`` steps, that of a larger one as many as can be drawn. A rate over
-#: ``PART`` is the sum of draws of equal parts, as exp(-rate) would be zero. Rates have no limit, but in ``ORACLE_6``.
+#: ``PART`` is the sum of draws of equal parts, as exp(-rate) would be zero. Rates have no limit.
 MAX_RATE = 16.0
 COUNTS = 80
 PART = 400.0
@@ -97,12 +97,15 @@ ORACLE_6 = f"""
 WITH size AS (SELECT source, count(*) n_docs, sum(length(coalesce(text, ''))) n_chars FROM documents GROUP BY source),
 w AS (SELECT *, CAST(round(pow(CAST(n_chars AS DOUBLE), {POWER}), 6) AS DECIMAL(28,6)) weight FROM size),
 t AS (SELECT CAST(sum(n_chars) AS DOUBLE) all_chars, CAST(sum(weight) AS DOUBLE) all_weight FROM w),
-r AS (SELECT source, least(round(CASE WHEN n_chars > 0 THEN CAST(weight AS DOUBLE) * all_chars / (all_weight * n_chars) ELSE 1.0 END, 6), {MAX_RATE}) rate FROM w, t),
-s AS (SELECT source, rate, k, exp(-rate) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: rate / j)), 1.0) p FROM r, range(0, {COUNTS + 1}) g(k)),
-c AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) c FROM s),
-u AS (SELECT doc_id, source, text, CAST(('0x' || substr(md5('{SEED}:' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 u FROM documents),
-n AS (SELECT u.doc_id, u.source, u.text, rate, count(CASE WHEN c.c <= u.u THEN 1 END) n_copies
-      FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
-SELECT doc_id, source, CAST(k AS INTEGER) AS copy, CAST(n_copies AS INTEGER) AS n_copies, rate, md5('{SEED}:' || doc_id || ':' || k) AS mix_key, text
-FROM n, range(0, {COUNTS + 1}) g(k) WHERE k < n_copies
+r AS (SELECT source, round(CASE WHEN n_chars > 0 THEN CAST(weight AS DOUBLE) * all_chars / (all_weight * n_chars) ELSE 1.0 END, 6) rate FROM w, t),
+q AS (SELECT source, rate, greatest(CAST(ceil(rate / {PART}) AS INTEGER), 1) parts FROM r),
+e AS (SELECT *, rate / parts x, CASE WHEN rate / parts <= {MAX_RATE} THEN {COUNTS} ELSE CAST(ceil(rate / parts + 12 * sqrt(rate / parts)) AS INTEGER) + {COUNTS} END AS last FROM q),
+s AS (SELECT source, k, exp(-x) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: x / j)), 1.0) p FROM (SELECT *, unnest(range(0, last + 1)) k FROM e)),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) c FROM s),
+d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+u AS (SELECT rid, d.source, part, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || CASE part WHEN 0 THEN '' ELSE ':' || part END), 1, 13)) AS BIGINT) / 4503599627370496.0 u
+      FROM d JOIN (SELECT *, unnest(range(0, parts)) part FROM q) q ON d.source IS NOT DISTINCT FROM q.source),
+n AS (SELECT rid, count(CASE WHEN c.c <= u.u THEN 1 END) n_copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY rid)
+SELECT doc_id, d.source AS source, CAST(k AS INTEGER) AS copy, CAST(n_copies AS INTEGER) AS n_copies, rate, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k) AS mix_key, text
+FROM (SELECT rid, n_copies, unnest(range(0, n_copies)) AS k FROM n) n JOIN d USING (rid) JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
