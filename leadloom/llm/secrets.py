@@ -29,13 +29,16 @@ DISTINCT_CHARS = 8
 
 
 def _matches(text: Column, kind: int) -> Column:
-    """Matches of one kind in order: ``struct(kind, idx, gap, match)``; gap is the number of characters since the last match."""
+    """Matches of one kind in order: ``struct(kind, idx, gap, gap_bytes, match)``; gap is what lies between it and the last match."""
     pattern = F.lit(PATTERNS[kind])
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     if kind == 1:
         found = F.when(F.contains(text, F.lit("AKIA")), found).otherwise(F.array().cast("array<string>"))
     between = F.split(text, PATTERNS[kind], -1)
-    return F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), F.length(F.get(between, i)).alias("gap"), m.alias("match")))
+    size = lambda f, i: f(F.get(between, i))
+    return F.transform(
+        found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), size(F.length, i).alias("gap"), size(F.octet_length, i).alias("gap_bytes"), m.alias("match"))
+    )
 
 
 def _value(kind: Column, match: Column) -> Column:
@@ -55,17 +58,18 @@ def scanned(docs: DataFrame, text: str, owner: str) -> DataFrame:
 
 
 def candidates(scan: DataFrame) -> DataFrame:
-    """One row per candidate of each distinct text: ``doc_id, text_hash, kind, start, end, value_hash, live``.
+    """One row per candidate of each distinct text: ``doc_id, text_hash, kind, start, end, start_byte, value_hash, live``.
 
     Offsets are running sums of gaps and matches within a text and kind; matches that fail their kind's test count in the
-    sums and are then dropped.
+    sums and are then dropped. A match is ASCII, so it is as long in bytes as in characters.
     """
     rows = scan.where(F.size("found") > 0).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("found"))
     so_far = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("idx")
-    end = F.sum(F.col("gap") + F.length("match")).over(so_far).cast("long")
+    upto = lambda gap: F.sum(F.col(gap) + F.length("match")).over(so_far).cast("long")
     value = _value(F.col("kind"), F.col("match"))
-    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).withColumn("value", value)
-    return rows.where(_passes()).select("doc_id", "text_hash", "kind", "start", "end", F.xxhash64("value").alias("value_hash"), live_looking(F.col("value")).alias("live"))
+    rows = rows.withColumns({"end": upto("gap"), "end_byte": upto("gap_bytes"), "value": value})
+    rows = rows.withColumns({"start": F.col("end") - F.length("match"), "start_byte": F.col("end_byte") - F.length("match")})
+    return rows.where(_passes()).select("doc_id", "text_hash", "kind", "start", "end", "start_byte", F.xxhash64("value").alias("value_hash"), live_looking(F.col("value")).alias("live"))
 
 
 def _passes() -> Column:
@@ -91,14 +95,18 @@ def secret_spans(docs: DataFrame, text: str = "text", owner: str = "source", exa
     per owner; extra columns are ignored.
     """
     scan = scanned(docs, text, owner)
-    rows = candidates(scan).join(ownership(scan), "value_hash")
+    owned = saved(ownership(scan), "secrets-owned")  # read from files, so that the rows of a hot value can be split in the join
     verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("live"), "live").otherwise("weak")
-    spans = rows.withColumn("verdict", verdict).where((F.col("kind") < N_BASE) | (F.col("verdict") == "live"))
-    span = F.struct("start", "kind", "end", "verdict", "n_owners", "n_repos", "value_hash")
-    per_text = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    base = F.filter("spans", lambda s: s["kind"] < N_BASE)
-    clear = F.filter("spans", lambda s: (s["kind"] < N_BASE) | ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return scan, per_text.withColumn("base", base).withColumn("spans", clear)
+    rows = candidates(scan).join(owned, "value_hash").withColumn("verdict", verdict).where((F.col("kind") < N_BASE) | (F.col("verdict") == "live"))
+    # A span meets a base span if one that begins no later ends after its start, or one that begins no earlier begins before its end.
+    text_rows, base = Window.partitionBy("doc_id", "text_hash"), F.col("kind") < N_BASE
+    ahead = text_rows.orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = text_rows.orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("ended", F.max(F.when(base, F.col("end"))).over(ahead)).withColumn("begins", F.min(F.when(base, F.col("start"))).over(behind))
+    meets = F.coalesce(F.col("ended") > F.col("start"), F.lit(False)) | F.coalesce(F.col("begins") < F.col("end"), F.lit(False))
+    span = F.struct("start", "kind", "end", "verdict", "n_owners", "n_repos", "value_hash", "start_byte")
+    per_text = rows.where(base | ~meets).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return scan, per_text.withColumn("base", F.filter("spans", lambda s: s["kind"] < N_BASE))
 
 
 def _shown(spans: Column) -> Column:
@@ -128,22 +136,22 @@ def redacted(docs: DataFrame, text: str = "text", owner: str = "source", mark: s
     Spans marked live are cut out; overlapping ones are cut as one. Documents without any are unchanged, null texts stay null.
     """
     _, spans = secret_spans(docs, text, owner)
-    live = spans.withColumn("cut", F.filter("spans", lambda s: s["verdict"] == "live")).where(F.size("cut") > 0)
-    live = live.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.transform("cut", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__cut"))
-    t = F.col(text)
-    step = F.aggregate(
-        "__cut",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], t.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
-        ),
-    )
-    rows = docs.withColumn("__key", F.xxhash64(text_of(text))).join(live, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
-    rows = rows.withColumn("__step", F.when(F.col("__cut").isNotNull(), step))
-    out = rows.withColumn(text, F.when(F.col("__step").isNull(), t).otherwise(F.concat(F.col("__step.out"), F.expr(f"substring(`{text}`, cast(__step.at + 1 as int))"))))
+    at = lambda s: F.struct(s["start_byte"].alias("a"), (s["start_byte"] + s["end"] - s["start"]).alias("b"))
+    live = spans.select("doc_id", "text_hash", F.explode(F.transform(F.filter("spans", lambda s: s["verdict"] == "live"), at)).alias("cut")).select("doc_id", "text_hash", "cut.a", "cut.b")
+    # Where a cut begins after the end of all before it, what lies between is kept; overlapping cuts are one.
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    live = live.withColumn("from", F.coalesce(F.max("b").over(before), F.lit(0).cast("long")))
+    piece = F.when(F.col("a") >= F.col("from"), F.struct("from", F.col("a").alias("upto")))
+    kept = live.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_list(piece)).alias("__kept"), F.max("b").alias("__last"))
+    rows = docs.withColumn("__key", F.xxhash64(text_of(text))).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
+    # Pieces are cut by bytes, which costs as much as the piece, and by characters as much as all before it.
+    rows = rows.withColumn("__bytes", F.encode(F.col(text), "UTF-8"))
+    taken = lambda k: F.decode(F.substr(F.col("__bytes"), (k["from"] + 1).cast("int"), (k["upto"] - k["from"]).cast("int")), "UTF-8")
+    rest = F.decode(F.substr(F.col("__bytes"), (F.col("__last") + 1).cast("int")), "UTF-8")
+    cut = F.concat(F.array_join(F.transform("__kept", taken), mark), F.lit(mark), rest)
+    out = rows.withColumn(text, F.when(F.col("__kept").isNull(), F.col(text)).otherwise(cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__step").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(docs.columns)
 
 
