@@ -59,6 +59,8 @@ class Mapping:
         return [json.dumps({k: v for k, v in self.example.items() if k not in g}) for g in gone]
 
 
+#: Plain fields that a mapping may read.
+KNOWN = ("turn", "role", "text", "content", "from", "value", "system", "prompt", "completion", "response", "instruction", "input", "output", "context", "question", "answer")
 MAPPINGS = (
     Mapping("turn_row", {"turn": 0, "role": "", "text": ""}, "turn long, role string, text string", lambda r: F.array(_turn(r["role"], r["text"])), ("role", "text", "turn")),
     Mapping("messages", {"messages": [{"role": "", "content": ""}]}, "messages array<struct<role string, content string>>", lambda r: F.transform(r["messages"], lambda m: _turn(_canonical(m["role"]), m["content"]))),
@@ -70,9 +72,24 @@ MAPPINGS = (
 )
 
 
+#: A JSON string: its first characters, then the rest.
+STRING = r'(?s)("(?:[^"\\]|\\u[0-9a-fA-F]{4}|\\.){0,%d}+)(?:[^"\\]++|\\.)*+"'
+#: Characters of each string that the layout is read from; field names must not be longer.
+HEAD = 64
+#: JSON strings of any length, as Spark's own limit is lower than a long text.
+JSON = {"maxStringLen": str((1 << 31) - 1)}
+
+
 def layout(record: Column) -> Column:
-    """The nested field paths of a JSON record, sorted, in one string; null if it is no JSON."""
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), TYPES, "")
+    """The nested field paths of a JSON record, sorted, in one string; null if it is no JSON.
+
+    Strings are cut to their first ``HEAD`` characters before the record is parsed, as paths do not need the rest and a
+    parsed value has a limit of size. Plain fields that no mapping knows are left out, so they do not change the layout.
+    """
+    paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(F.regexp_replace(record, STRING % HEAD, '$1"'))), TYPES, "")
+    known = F.regexp_replace(paths, rf"(?<=[<,] ?)(?!(?:{'|'.join(KNOWN)})[,>])[^<>,:]+(?=[,>])", "")
+    known = F.regexp_replace(known, r"(?:, ?)+(?=[,>])|(?<=<)(?:, ?)+", "")
+    return F.when(known == "OBJECT<>", paths).otherwise(known)
 
 
 def fingerprint(record: Column) -> Column:
@@ -92,7 +109,7 @@ def canonical_turns(records: DataFrame, record: str, turn: str | None = None, ma
     name = turns = None
     for m in mappings:
         fits = F.col("fingerprint").isin(*[fingerprint(F.lit(x)) for x in m.examples()])
-        made = F.filter(m.turns(F.from_json("__record", m.schema)), lambda t: t.isNotNull())
+        made = F.filter(m.turns(F.from_json("__record", m.schema, JSON)), lambda t: t.isNotNull())
         name = F.when(fits, m.name) if name is None else name.when(fits, m.name)
         turns = F.when(fits, made) if turns is None else turns.when(fits, made)
     rows = rows.select(*keep, "__first", "fingerprint", name.alias("mapping"), turns.alias("__turns"))
@@ -110,9 +127,12 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame, trained: str = "assistant") -> DataFrame:
-    """``turns`` with ``segment`` for role and text, and the loss mask ``loss_start, loss_chars`` (code points of the segment)."""
+    """``turns`` with ``segment`` for role and text, and the loss mask ``loss_start, loss_chars`` (code points of the segment).
+
+    A row without role, which is a record that no mapping fits, stays with a null segment and no loss.
+    """
     role, text = escaped(F.col("role")), escaped(F.col("text"))
-    rows = turns.where(F.col("role").isNotNull()).withColumns({"__role": role, "__text": text})
+    rows = turns.withColumns({"__role": role, "__text": text})
     rows = rows.withColumn("segment", F.concat(F.lit(TURN), "__role", F.lit(TEXT), "__text", F.lit(END + "\n")))
     own = F.col("role") == trained
     start = F.length("__role") + len(TURN) + len(TEXT)
@@ -126,14 +146,15 @@ def read_back(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"role": unescaped(F.get(parts, F.lit(1))), "text": unescaped(F.get(parts, F.lit(2))), "loss": unescaped(loss)})
 
 
-DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_unmapped long"
 
 
 def digests(read: DataFrame, key: str = "conv_id") -> DataFrame:
     """Per conversation the digests of what was read back.
 
     A digest follows its input in order, so a conversation's turns meet in one task; they pass as a sorted stream of which
-    only the running digest is held. Turns with equal numbers are ordered by role and text.
+    only the running digest is held. Turns with equal numbers are ordered by role and text. Records that no mapping fits are counted in
+    ``n_unmapped`` and are no turns, so a conversation of nothing else is still there, with none.
     """
     kind = dict(read.dtypes)[key]
     names = [key, *(x.split()[0] for x in DIGEST.split(", "))]
@@ -142,8 +163,8 @@ def digests(read: DataFrame, key: str = "conv_id") -> DataFrame:
         now, state = None, None
 
         def out() -> pa.RecordBatch:
-            n, turns, chars, loss, written = state
-            return pa.RecordBatch.from_arrays([pa.array([now], schema[0].type), *(pa.array([x]) for x in (n, turns.hexdigest(), chars, loss.hexdigest(), written))], names)
+            n, turns, chars, loss, written, unmapped = state
+            return pa.RecordBatch.from_arrays([pa.array([now], schema[0].type), *(pa.array([x]) for x in (n, turns.hexdigest(), chars, loss.hexdigest(), written, unmapped))], names)
 
         for batch in batches:
             schema = batch.schema
@@ -151,7 +172,10 @@ def digests(read: DataFrame, key: str = "conv_id") -> DataFrame:
                 if state is None or k != now:
                     if state is not None:
                         yield out()
-                    now, state = k, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = k, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if size is None:
+                    state[5] += 1
+                    continue
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 if loss:
@@ -183,6 +207,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len(TURN + TEXT + END) + 1} + length({_SQL_ESCAPE % "role"}) + length({_SQL_ESCAPE % "text"})) AS BIGINT) AS formatted_chars
+  CAST(sum({len(TURN + TEXT + END) + 1} + length({_SQL_ESCAPE % "role"}) + length({_SQL_ESCAPE % "text"})) AS BIGINT) AS formatted_chars,
+  0::BIGINT AS n_unmapped
 FROM t GROUP BY conv_id
 """

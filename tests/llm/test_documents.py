@@ -299,6 +299,20 @@ def test_copied_values_are_examples_and_own_ones_are_cut(spark):
     assert cut[0].text == rows[0][1] and own not in cut[9].text and cut[9].text.endswith("é and [SECRET]") and cut[9].n_chars == len(cut[9].text)
 
 
+def test_texts_with_very_many_spans(spark):
+    rng = random.Random(6)
+    value = lambda: "".join(rng.choices("abcdefghkmXYZ0123456789", k=22))
+    text = " é ".join(f"token={value()}" if i % 3 else f"seed {value()} {value()}" for i in range(3000))
+    rows = [(1, text, "a"), (1, text, "a"), (2, "token = " + "Ab3" * 9, None), (3, "token = " + "Ab3" * 9, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in secrets.scan_secrets(docs).collect() if r.doc_id == 1]
+    shown = ",".join(f"{k}:{s}:{e}" for k, s, e in secrets_by_hand(text))
+    assert len(got) == 2 and {r.base_sha256 for r in got} == {hashlib.sha256(shown.encode()).hexdigest()} and got[0].n_assign == 2000 and got[0].spans.count("opaque") == 2000
+    cut = [r.text for r in secrets.redacted(docs).collect() if r.doc_id == 1]
+    want = re.sub(r"token=\w+", "[SECRET]", text)
+    assert cut == [re.sub(r"\b[a-zA-Z0-9]{22}\b", "[SECRET]", want)] * 2
+
+
 def test_secret_edges(odd, empty):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(empty).count() == 0
     same = secrets.redacted(odd)
@@ -322,7 +336,11 @@ def test_mixing_by_salted_keys_gives_the_same(spark, docs, monkeypatch):
 
 def test_mixing_edges(odd, empty):
     got = mixing.mixed(odd)
-    assert set(odd.columns) < set(got.columns) and got.count() >= 0
+    counts = {r.doc_id: r.n_copies for r in got.collect()}
+    assert set(odd.columns) < set(got.columns) and got.count() == sum(counts[r[0]] for r in ODD if r[0] in counts)
+    rates = odd.sparkSession.createDataFrame([(None, 30.0), ("a", 1000.0)], "source string, rate double")
+    drawn = {r.doc_id: r.n_copies for r in mixing.mixed(odd, rates).collect()}
+    assert set(drawn) == {1, 2, 3} and drawn[1] > 5 and drawn[3] > 800  # sources without a rate are not drawn
     assert mixing.mixed(empty).count() == 0
 
 
@@ -364,6 +382,12 @@ def test_encoder_equals_tokenizers():
         assert np.frombuffer(fast.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("parts, groups", [(64, 64), (1, 16), (256, 8), (7, 5)])
+def test_groups_are_even(spark, parts, groups):
+    got = packing.dealt(spark.range(64 * groups).repartition(parts), groups).groupBy("group").count().collect()
+    assert len(got) == groups and max(r["count"] for r in got) < 2 * 64
+
+
 def test_packing_edges(odd, empty):
     rows = packing.packed(odd, packing.tokenizer_path()).collect()
     assert len([r for r in rows if r.piece == 0]) == len(ODD) and [r.length for r in rows if r.doc_id in (1, 2)] == [1, 1]

@@ -58,6 +58,26 @@ def test_digest_reads_back_what_was_written(spark):
     assert set(got) == {1, 2, None} and got[2].loss_chars == 0
 
 
+def test_other_plain_fields_do_not_matter(spark):
+    records = [{"id": "x", "conversations": [{"from": "human", "value": "a", "weight": 1}]}, {"messages": [{"role": "user", "content": "a", "name": "n"}], "source": 3, "zz": True}, {"other": 1, "b": "x"}, {"prompt": "a", "url": None, "completion": "b"}]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "k long, record string")
+    got = {}
+    for r in chat.canonical_turns(rows, "record").orderBy("k", "turn").collect():
+        got.setdefault(r.k, []).append((r.mapping, r.role, r.text))
+    assert got == {0: [("from_value", "user", "a")], 1: [("messages", "user", "a")], 2: [(None, None, None)], 3: [("prompt_completion", "user", "a"), ("prompt_completion", "assistant", "b")]}
+
+
+def test_long_records_and_unmapped_ones_stay(spark):
+    long = 'say "x" \\ \u00e9\n' * 300000  # 5.1 million characters; layouts read the first 64 of each string
+    rows = [(1, json.dumps({"turn": 0, "role": "assistant", "text": long})), (2, json.dumps({"other": {"deep": [1]}})), (3, json.dumps({"messages": [{"role": "user", "content": "\\" * 65 + '"' * 70}]})), (4, None)]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, r string"), "r")
+    got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.formatted(turns))).collect()}
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert (got[2].n_turns, got[2].n_unmapped, got[3].n_turns, got[4].n_unmapped) == (0, 1, 1, 1)
+    empty = turns.limit(0)
+    assert chat.digests(chat.read_back(chat.formatted(empty))).count() == 0
+
+
 # ---- audio
 
 
