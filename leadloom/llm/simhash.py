@@ -2,14 +2,18 @@
 
 Distinct fingerprints are dealt into blocks that share two of four 16-bit bands: two fingerprints that differ in at most
 two bits agree in at least two bands, so every link lies inside a block. Each block gets a BK-tree (children keyed by
-Hamming distance to their parent) which is searched along the edges within the radius. A block over ``tree_size`` is not
-put in a tree: its fingerprints meet instead at their one-bit neighbours, groups of at most 65, which finds the same links.
-The trees travel with their blocks rather than by broadcast: together they grow with the corpus.
+Hamming distance to their parent) which is searched along the edges within the radius. A block with more fingerprints than a
+tree should hold is dealt again by two of four bands of the bits that its members need not share, first 32, then 16; after
+that only 8 bits are left, so no tree can hold more than 256. The same argument keeps every link at each step.
+
+The trees travel with their blocks rather than by broadcast: together they grow with the corpus. ``copies`` uses the same
+trees for five-word shingles and a similarity of 0.8.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,16 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 VOTES = 1 << 14
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: 1 where over half of the hashes have a 1; none: 0."""
+    votes = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), VOTES):
+        votes += np.unpackbits(hashes[a : a + VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64 bits: 1 where over half of the shingles' XXH64 have a 1. No words: 0. Repeats of a shingle count each time."""
+    """SimHash by the shingles' XXH64. No words: 0. Repeats of a shingle count each time."""
     words = text.translate(LOWER).split()
     if not words:
         return 0
@@ -36,12 +48,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     k = min(shingle, len(words))
     stop = ends[k - 1 :]
     start = np.concatenate([[0], ends[: len(words) - k] + 1])
-    votes = np.zeros(64, np.int64)
-    for a in range(0, len(stop), VOTES):
-        h = [hash64(joined[s:e], seed) for s, e in zip(start[a : a + VOTES].tolist(), stop[a : a + VOTES].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(h, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(stop), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((hash64(joined[s:e], seed) for s, e in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(stop)))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -55,13 +62,41 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+class Tree:
+    """A BK-tree over 64-bit fingerprints: the children of a node are keyed by their Hamming distance to it."""
+
+    def __init__(self) -> None:
+        self.fps: list[int] = []
+        self.children: list[dict[int, int]] = []
+
+    def within(self, fp: int, radius: int) -> Iterator[tuple[int, int]]:
+        """Place and distance of all nodes within the radius; only edges that can lead to some are followed."""
+        stack = [0] if self.fps else []
+        while stack:
+            j = stack.pop()
+            d = (self.fps[j] ^ fp).bit_count()
+            if d <= radius:
+                yield j, d
+            stack += [child for key, child in self.children[j].items() if d - radius <= key <= d + radius]
+
+    def add(self, fp: int) -> None:
+        at, j = len(self.fps), 0
+        self.fps.append(fp)
+        self.children.append({})
+        while at:
+            d = (self.fps[j] ^ fp).bit_count()
+            if (child := self.children[j].get(d)) is None:
+                self.children[j][d] = at
+                return
+            j = child
+
+
 def tree_links(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that hold the block's fingerprints together, as index pairs: a forest, not all pairs.
 
-    Each fingerprint searches the tree of those before it, following only edges whose key is within the radius of its
-    distance to the node, and is joined to each group it touches once.
+    Each fingerprint searches the tree of those before it, and is joined to each group it touches once.
     """
-    root, nodes, links = list(range(len(fps))), [], []
+    root, tree, links = list(range(len(fps))), Tree(), []
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -70,20 +105,11 @@ def tree_links(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
         return i
 
     for i, x in enumerate(fps):
-        if nodes:
-            stack = [0]
-            while stack:
-                j = stack.pop()
-                d = (fps[j] ^ x).bit_count()
-                if d <= radius and (a := top(i)) != (b := top(j)):
-                    root[a] = b
-                    links.append((i, j))
-                stack += [child for key, child in nodes[j].items() if d - radius <= key <= d + radius]
-            j = 0
-            while (child := nodes[j].get(d := (fps[j] ^ x).bit_count())) is not None:
-                j = child
-            nodes[j][d] = i
-        nodes.append({})
+        for j, _ in tree.within(x, radius):
+            if (a := top(i)) != (b := top(j)):
+                root[a] = b
+                links.append((i, j))
+        tree.add(x)
     return links
 
 
@@ -107,24 +133,47 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _blocks() -> Column:
-    """The six blocks of a fingerprint: which two bands, and their 32 bits."""
-    bands = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    return F.explode(F.array(*[F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(bands[i], 16)).bitwiseOR(bands[j]) for n, (i, j) in enumerate(pairs)]))
+PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
+def _split(free: Column, bits: int) -> Column:
+    """The six ways to keep two of four bands of the ``bits`` free low bits: ``struct(kept, free)``, kept with the way's number.
+
+    What is left free has half the bits.
+    """
+    w, full = bits // 4, (1 << bits // 4) - 1
+    band = [F.shiftrightunsigned(free, w * k).bitwiseAND(F.lit(full)) for k in range(4)]
+    ways = []
+    for n, (i, j) in enumerate(PAIRS):
+        k, m = (x for x in range(4) if x not in (i, j))
+        kept = F.shiftleft(F.lit(n).cast("long"), 2 * w).bitwiseOR(F.shiftleft(band[i], w)).bitwiseOR(band[j])
+        ways.append(F.struct(kept.alias("kept"), F.shiftleft(band[k], w).bitwiseOR(band[m]).alias("free")))
+    return F.array(*ways)
 
 
 def links(nodes: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     """Links ``(a, b)`` that connect every two ``nodes(fp, node)`` (distinct fp) within two bits, directly or through others."""
-    dealt = nodes.select(_blocks().alias("block"), "fp", "node")
-    sizes = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(sizes, "block")
-    trees = met.where(F.col("n") <= tree_size).select("block", "fp", "node").repartition("block").sortWithinPartitions("block", "node")
-    flips = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)]))
-    large = met.where(F.col("n") > tree_size).select("fp", "node").distinct().select(flips.alias("near"), "node")
-    least = large.groupBy("near").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").select("near", "b")
-    near = large.join(least, "near").where("node <> b").select(F.col("node").alias("a"), "b")
-    return trees.mapInArrow(_search, "a long, b long").union(near)
+    trees, left, keys = [], nodes.withColumn("free", F.col("fp")), []
+    for depth, bits in enumerate((64, 32, 16)):
+        left = left.withColumn("way", F.explode(_split(F.col("free"), bits))).select("fp", "node", *keys, F.col("way.kept").alias(f"key{depth}"), F.col("way.free").alias("free"))
+        keys.append(f"key{depth}")
+        if depth:
+            left = saved(left, "simhash-deeper")
+        sizes = saved(left.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "simhash-blocks")
+        met = left.join(sizes, keys)
+        if depth < 2:
+            trees.append(met.where(F.col("n") <= tree_size))
+            left = met.where(F.col("n") > tree_size).drop("n")
+            if sizes.where(F.col("n") > tree_size).isEmpty():
+                break
+        else:
+            trees.append(met)
+    found = []
+    for depth, part in enumerate(trees):
+        block = F.xxhash64(*keys[: depth + 1])  # blocks with an equal hash share a tree, which finds no less
+        rows = part.select(block.alias("block"), "fp", "node").repartition("block").sortWithinPartitions("block", "node")
+        found.append(rows.mapInArrow(_search, "a long, b long"))
+    return reduce(DataFrame.union, found)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, tree_size: int = TREE_SIZE) -> DataFrame:
