@@ -1,7 +1,9 @@
 """Duplicates: blocking keys, candidate pairs, similarities, groups and merges.
 
-Pairs come only from equal blocking keys, and within a block each row meets its nearest rows in id order and the block's
-first, so a block of any size gives pairs in proportion to its rows; blocks of up to ``near`` + 1 rows are compared in full.
+Rows that share a key form a block, and all pairs of a block are candidates. A block of more than ``full`` rows is met another
+way: rows equal in all keys stand for each other, and the others pair where they share a second key too, which makes smaller
+blocks of which the same holds. Keys are host, e-mail, phone, its last ten digits and name; bands of minimum hashes over the
+name's 3-grams serve as second keys, or as keys of their own where near names are wanted (``fuzzy``).
 Groups are connected components by repeated minimum, never gathered.
 """
 
@@ -25,7 +27,12 @@ COMPANY_THRESHOLDS = {"name": 0.85, "domain": 0.9, "email": 0.8, "phone": 0.8}
 CONTACT_THRESHOLDS = {"name": 0.85, "email": 0.9, "phone": 0.8}
 COMPANY_FIELDS = ("name", "domain", "website", "email", "phone", "address", "description")
 CONTACT_FIELDS = ("first_name", "last_name", "email", "phone", "job_title", "company")
-NEAR = 10
+#: Blocks of up to so many rows give all their pairs, so a row has at most so many partners per key.
+FULL = 1000
+KEYS = ("host_key", "email_key", "phone_key", "phone10_key", "name_key")
+#: Minimum hashes of name 3-grams: bands of two. Names whose 3-grams have a Jaccard similarity of 0.6 share one with probability 0.99.
+BANDS, BAND_ROWS = 10, 2
+ENTRIES = "array<struct<kind: int, value: string>>"
 
 
 def norm_name(c: Column) -> Column:
@@ -45,7 +52,7 @@ def norm_url(c: Column) -> Column:
 
 
 def norm_keys(df: DataFrame) -> DataFrame:
-    """``df`` with ``name_key, phone_key, url_key, host_key, email_key`` for the fields that it has; empty ones null."""
+    """``df`` with ``name_key, phone_key, phone10_key, url_key, host_key, email_key`` for the fields that it has; empty ones null."""
     none = lambda c: F.nullif(c, F.lit(""))
     keys = {}
     if "name" in df.columns:
@@ -53,7 +60,8 @@ def norm_keys(df: DataFrame) -> DataFrame:
     elif {"first_name", "last_name"} <= set(df.columns):
         keys["name_key"] = none(norm_name(F.concat_ws(" ", "first_name", "last_name")))
     if "phone" in df.columns:
-        keys["phone_key"] = none(norm_phone(F.col("phone")))
+        phone = norm_phone(F.col("phone"))
+        keys |= {"phone_key": none(phone), "phone10_key": F.when(F.length(phone) >= 10, F.substring(phone, -10, 10))}
     if "website" in df.columns:
         keys |= {"url_key": F.when(filled("website"), norm_url(F.col("website"))), "host_key": host("website")}
     if "email" in df.columns:
@@ -62,20 +70,58 @@ def norm_keys(df: DataFrame) -> DataFrame:
     return df.withColumns(keys)
 
 
-def dup_candidate_pairs(df: DataFrame, key: str = "id", keys: tuple[str, ...] = ("host_key", "email_key", "phone_key", "name_key"), near: int = NEAR, exhaustive: bool = False) -> DataFrame:
-    """Distinct ``(id_a, id_b)`` with id_a < id_b from equal keys; ``exhaustive`` compares all rows, for small tables only."""
+def name_bands(name: Column, bands: int = BANDS, rows: int = BAND_ROWS) -> Column:
+    """Array of band keys of a normalised name, null for null: minimum MD5 of its distinct 3-grams (the whole of a shorter one)."""
+    short = F.length(name) < 3
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1)))
+    grams = F.when(short, F.array(name)).otherwise(F.array_distinct(F.transform(starts, lambda i: F.substr(name, i, F.lit(3)))))
+    least = lambda k: F.array_min(F.transform(grams, lambda g: F.md5(F.concat(F.lit(f"{k}:"), g))))
+    return F.when(name.isNotNull(), F.array(*[F.concat(*[F.substring(least(b * rows + r), 1, 12) for r in range(rows)]) for b in range(bands)]))
+
+
+def dup_candidate_pairs(
+    df: DataFrame, key: str = "id", keys: tuple[str, ...] = KEYS, full: int = FULL, fuzzy: bool = False, exhaustive: bool = False
+) -> DataFrame:
+    """Distinct ``(id_a, id_b)`` with id_a < id_b of rows that share a key.
+
+    All pairs of a block of up to ``full`` rows. In a larger block a row with all keys equal to an earlier one's pairs with that
+    only; the rest pair with the block's first row, and with those that share a second key or name band (of larger blocks of
+    those: a third, and so on). What is left out there are pairs that agree in one key alone, held by more than ``full`` rows.
+    ``fuzzy`` adds name bands as keys. ``exhaustive`` compares all rows, for small tables only. Null keys share nothing; a null id pairs with nothing.
+    """
     if exhaustive:
         a, b = df.select(F.col(key).alias("id_a")), df.select(F.col(key).alias("id_b"))
         return a.join(b, F.col("id_a") < F.col("id_b"))
     given = [k for k in keys if k in df.columns]
-    long = df.select(F.col(key).alias("id"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in given]))).where("value is not null")
-    w = Window.partitionBy("kind", "value")
-    ranked = saved(long.withColumns({"rank": F.row_number().over(w.orderBy("id")), "first": F.min("id").over(w), "size": F.count("*").over(w)}).where("size > 1"), "dup-blocks")
-    ranks = F.sequence(F.col("rank") + 1, F.least(F.col("rank") + near, F.col("size").cast("int")))
-    ahead = ranked.where("rank < size").select("kind", "value", F.col("id").alias("id_a"), F.explode(ranks).alias("rank"))
-    close = ahead.join(ranked.select("kind", "value", "rank", F.col("id").alias("id_b")), ["kind", "value", "rank"]).select("id_a", "id_b")
-    far = ranked.where(F.col("rank") > near + 1).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
-    return close.union(far).where("id_a < id_b").distinct()
+    named = ["name_key"] if "name_key" in df.columns else []
+    alike = list(dict.fromkeys([*given, *named]))
+    same = F.xxhash64(F.lit(0), *alike, *[F.col(k).isNull() for k in alike])
+    entries = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("value")) for n, k in enumerate(given)]).cast(ENTRIES)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), same.alias("same"), entries.alias("keys"), *named)
+    bands = name_bands(F.col("name_key")) if named else F.lit(None).cast("array<string>")
+    banded = F.transform(bands, lambda v, n: F.struct((n + len(given)).alias("kind"), v.alias("value")))
+    every = F.concat("keys", F.coalesce(banded.cast(ENTRIES), F.array().cast(ENTRIES)))
+    # A block is named by the hash of its kinds and values; kinds come in ascending order, so a set of keys makes one block.
+    name = lambda *c: F.xxhash64(*c)
+    level = rows.select("id", "same", F.inline(every if fuzzy else F.col("keys"))).where("value is not null").select("id", "same", F.col("kind").alias("last"), name("kind", "value").alias("block"))
+    level, second, pairs = saved(level, "dup-keys"), None, []
+    while True:
+        sizes = saved(level.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "dup-blocks")
+        small = saved(level.join(sizes.where(F.col("n") <= full), "block").select("block", "id"), "dup-small")
+        pairs.append(small.select("block", F.col("id").alias("id_a")).join(small.select("block", F.col("id").alias("id_b")), "block").where("id_a < id_b").select("id_a", "id_b"))
+        large = sizes.where(F.col("n") > full)
+        if large.isEmpty():
+            return reduce(DataFrame.union, pairs).distinct()
+        inside = saved(level.join(large, "block"), "dup-large")
+        least = saved(inside.groupBy("block", "same").agg(F.min("id").alias("lead")), "dup-leads")
+        told = saved(inside.join(least, ["block", "same"]), "dup-told")
+        pairs.append(told.where("id <> lead").select(F.col("lead").alias("id_a"), F.col("id").alias("id_b")))
+        leads = told.where("id = lead")
+        pairs.append(leads.where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b")))
+        if second is None:
+            second = saved(rows.select(F.col("id").alias("__id"), F.inline(every)).where("value is not null"), "dup-second")
+        more = leads.join(second, (F.col("id") == F.col("__id")) & (F.col("kind") > F.col("last")))
+        level = saved(more.select("id", "same", F.col("kind").alias("last"), name("block", "kind", "value").alias("block")), "dup-level")
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -154,17 +200,24 @@ def _matches(df: DataFrame, pairs: DataFrame, scores: dict, thresholds: dict[str
     return met.select("id_a", "id_b", kind.alias("match_type"), "confidence", "matching_fields", "conflicting_fields", F.struct(*[F.col(f"s_{f}").alias(f) for f in fields]).alias("field_scores"))
 
 
-def company_matches(df: DataFrame, thresholds: dict[str, float] = COMPANY_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs with scores of name, domain (or website), e-mail and phone, their mean, and the type of match."""
+def company_matches(
+    df: DataFrame, thresholds: dict[str, float] = COMPANY_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None, fuzzy: bool = False
+) -> DataFrame:
+    """Candidate pairs with scores of name, domain (or website), e-mail and phone, their mean, and the type of match.
+
+    ``fuzzy`` takes as candidates also rows of near names that share no key.
+    """
     c = with_columns(df, domain="string")
     c = c.withColumn("site", F.coalesce(F.nullif("domain", F.lit("")), "website"))
-    pairs = dup_candidate_pairs(norm_keys(c)) if pairs is None else pairs
+    pairs = dup_candidate_pairs(norm_keys(c), fuzzy=fuzzy) if pairs is None else pairs
     return _matches(c, pairs, {"name": ("name", string_score), "domain": ("site", url_score), "email": ("email", email_score), "phone": ("phone", phone_score)}, thresholds, "domain", metric)
 
 
-def contact_matches(df: DataFrame, thresholds: dict[str, float] = CONTACT_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None) -> DataFrame:
+def contact_matches(
+    df: DataFrame, thresholds: dict[str, float] = CONTACT_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None, fuzzy: bool = False
+) -> DataFrame:
     c = df.withColumn("full", F.concat_ws(" ", "first_name", "last_name"))
-    pairs = dup_candidate_pairs(norm_keys(df)) if pairs is None else pairs
+    pairs = dup_candidate_pairs(norm_keys(df), fuzzy=fuzzy) if pairs is None else pairs
     return _matches(c, pairs, {"name": ("full", string_score), "email": ("email", email_score), "phone": ("phone", phone_score)}, thresholds, "email", metric)
 
 
@@ -202,7 +255,10 @@ def merge_highest_confidence(df: DataFrame, groups: DataFrame, quality: str = "d
 
 
 def merge_all(df: DataFrame, groups: DataFrame, priority: tuple[str, ...] = ("name", "domain", "website", "email", "phone", "address")) -> DataFrame:
-    """Per group: first non-blank of the priority fields, first non-null of others, union of string lists, by id order."""
+    """Per group: first non-blank of the priority fields, first non-null of others, union of string lists, by id order.
+
+    Each list of a group's row has the group's distinct strings, so a row grows with them.
+    """
     rows = _grouped(df, groups)
     kinds = dict(df.dtypes)
 

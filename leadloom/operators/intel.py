@@ -24,7 +24,11 @@ GROWTH = {
     "partnership": ((r"partnership\s+with", r"strategic\s+alliance", r"collaboration", r"joint\s+venture", r"integration\s+with", r"partner\s+with", r"ecosystem\s+partner", r"technology\s+partner"), 0.7, None, 0.6),
     "acquisition": ((r"acquired\s+by", r"acquisition\s+of", r"merger\s+with", r"bought\s+by", r"purchased\s+by", r"takeover", r"consolidation", r"strategic\s+acquisition"), 0.8, None, 0.7),
 }
-#: Per category: patterns, confidence, severity, urgency, solutions.
+GROWTH_NOTES = {
+    "hiring": "Hiring activity detected", "funding": "Funding activity detected", "expansion": "Expansion activity detected", "new_product": "Product development detected",
+    "partnership": "Partnership activity detected", "acquisition": "Acquisition activity detected",
+}
+#: Fixed values. Per category: patterns, confidence, severity, urgency, solutions.
 PAIN = {
     "scaling": ((r"scaling\s+challenges?", r"growth\s+pains?", r"capacity\s+issues?", r"infrastructure\s+limitations?", r"performance\s+bottlenecks?", r"resource\s+constraints?", r"scalability\s+concerns?"), 0.7, 0.7, 0.6, ("Cloud infrastructure scaling", "Microservices architecture", "Load balancing solutions", "Performance optimization")),
     "technology": ((r"legacy\s+systems?", r"technical\s+debt", r"outdated\s+technology", r"system\s+integration", r"modernization", r"digital\s+transformation", r"technology\s+upgrade", r"platform\s+migration"), 0.8, 0.6, 0.5, ("Technology modernization", "System migration", "API development", "Digital transformation strategy")),
@@ -35,6 +39,13 @@ PAIN = {
     "talent_acquisition": ((r"talent\s+shortage", r"hiring\s+challenges?", r"skill\s+gaps?", r"recruitment\s+difficulties", r"retention\s+issues?", r"training\s+needs?", r"expertise\s+gaps?", r"team\s+building"), 0.7, 0.6, 0.5, ("Recruitment strategy", "Training programs", "Talent retention initiatives", "Skills development")),
     "data_management": ((r"data\s+quality", r"data\s+governance", r"data\s+management", r"analytics\s+challenges?", r"reporting\s+issues?", r"data\s+visualization", r"business\s+intelligence", r"data\s+strategy"), 0.7, 0.6, 0.5, ("Data governance framework", "Analytics platform", "Data quality tools", "Business intelligence solution")),
 }
+PAIN_NOTES = {
+    "scaling": "Scaling challenge identified", "technology": "Technology challenge identified", "security": "Security concern identified", "integration": "Integration challenge identified",
+    "performance": "Performance issue identified", "cost_optimization": "Cost concern identified", "talent_acquisition": "Talent challenge identified", "data_management": "Data challenge identified",
+}
+LEGACY_SOLUTIONS = ("Technology modernization roadmap", "Gradual migration strategy", "Modern framework adoption")
+SIZE_SOLUTIONS = ("Process standardization", "Infrastructure scaling", "Team structure optimization")
+#: Word lists of technologies, competitors, risks and alternatives.
 MODERN = ("kubernetes", "docker", "microservices", "serverless", "machine learning", "ai", "blockchain", "cloud native", "react", "vue", "angular", "node.js", "python", "go", "tensorflow", "pytorch", "aws", "azure", "gcp")
 LEGACY = ("jquery", "php", "mysql", "apache", "windows server", "internet explorer", "flash", "silverlight", "asp.net")
 COMPETITOR_WORDS = ("competitor", "alternative", "vs", "versus", "compared to", "similar to", "like", "rival", "competing", "market leader")
@@ -102,12 +113,16 @@ def _of(column: str, values: dict[str, float]) -> Column:
     return reduce(lambda c, kv: c.when(F.col(column) == kv[0], F.lit(float(kv[1]))), values.items(), F.when(F.lit(False), 0.0))
 
 
+def _noted(notes: dict[str, str], kind: str) -> Column:
+    return F.concat(F.create_map(*[F.lit(x) for pair in notes.items() for x in pair])[F.col(kind)], F.lit(": "), F.col("match"))
+
+
 def growth_signals_text(companies: DataFrame) -> DataFrame:
     """``(company_id, signal_type, description, confidence, impact_score, source, evidence)`` per match."""
     rows = _found(companies, {k: v[0] for k, v in GROWTH.items()}, "signal_type")
     raised = reduce(lambda c, kv: c.when((F.col("signal_type") == kv[0]) & F.contains(F.col("match"), F.lit(kv[1][2][0])), F.lit(kv[1][2][1])), [kv for kv in GROWTH.items() if kv[1][2]], F.when(F.lit(False), 0.0))
     confidence = F.coalesce(raised, _of("signal_type", {k: v[1] for k, v in GROWTH.items()}))
-    return rows.select("company_id", "signal_type", F.concat("signal_type", F.lit(": "), "match").alias("description"), confidence.alias("confidence"), _of("signal_type", {k: v[3] for k, v in GROWTH.items()}).alias("impact_score"), "source", F.array("match").alias("evidence"))
+    return rows.select("company_id", "signal_type", _noted(GROWTH_NOTES, "signal_type").alias("description"), confidence.alias("confidence"), _of("signal_type", {k: v[3] for k, v in GROWTH.items()}).alias("impact_score"), "source", F.array("match").alias("evidence"))
 
 
 def growth_team(companies: DataFrame) -> DataFrame:
@@ -115,8 +130,9 @@ def growth_team(companies: DataFrame) -> DataFrame:
     now, before = F.col("employee_count"), F.col("previous_employee_count")
     rate = (now - before) / before
     rows = companies.where((now > 0) & (before > 0)).withColumn("rate", rate).where("rate > 0.1")
-    note = F.concat(before.cast("string"), F.lit(" to "), now.cast("string"))
-    return rows.select(F.col("id").alias("company_id"), F.lit("team_growth").alias("signal_type"), F.concat(F.lit("team_growth: "), note).alias("description"), F.lit(0.9).alias("confidence"), F.round(F.least("rate", F.lit(1.0)), 6).alias("impact_score"), F.lit("employee_data").alias("source"), F.array(note).alias("evidence"))
+    percent = F.format_string("%.1f%%", F.bround(F.col("rate") * 100, 1))
+    note = F.concat(F.lit("Employee growth: "), before.cast("string"), F.lit(" to "), now.cast("string"), F.lit(" ("), percent, F.lit(")"))
+    return rows.select(F.col("id").alias("company_id"), F.lit("team_growth").alias("signal_type"), note.alias("description"), F.lit(0.9).alias("confidence"), F.round(F.least("rate", F.lit(1.0)), 6).alias("impact_score"), F.lit("employee_data").alias("source"), F.array(F.concat(F.lit("Employee count increased by "), percent)).alias("evidence"))
 
 
 def _tech_hits(companies: DataFrame, words: tuple[str, ...]) -> DataFrame:
@@ -127,8 +143,9 @@ def _tech_hits(companies: DataFrame, words: tuple[str, ...]) -> DataFrame:
 def growth_tech(companies: DataFrame) -> DataFrame:
     """Three modern technologies or more."""
     rows = _tech_hits(companies, MODERN).where("n >= 3")
-    note = F.concat(F.lit("Uses "), F.col("n").cast("string"), F.lit(" modern technologies"))
-    return rows.select("company_id", F.lit("technology_upgrade").alias("signal_type"), note.alias("description"), F.lit(0.6).alias("confidence"), F.round(F.least(F.col("n") / 10.0, F.lit(1.0)), 6).alias("impact_score"), F.lit("technology_stack").alias("source"), F.array(note).alias("evidence"))
+    n = F.col("n").cast("string")
+    note, found = F.concat(F.lit("Modern technology adoption detected ("), n, F.lit(" technologies)")), F.concat(F.lit("Uses "), n, F.lit(" modern technologies"))
+    return rows.select("company_id", F.lit("technology_upgrade").alias("signal_type"), note.alias("description"), F.lit(0.6).alias("confidence"), F.round(F.least(F.col("n") / 10.0, F.lit(1.0)), 6).alias("impact_score"), F.lit("technology_stack").alias("source"), F.array(found).alias("evidence"))
 
 
 def growth_signals(companies: DataFrame, signal_type: str | None = None) -> DataFrame:
@@ -138,28 +155,29 @@ def growth_signals(companies: DataFrame, signal_type: str | None = None) -> Data
     return rows.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id")
 
 
-def _pain(rows: DataFrame, note: Column, keyword: Column) -> DataFrame:
-    solutions = reduce(lambda c, kv: c.when(F.col("category") == kv[0], F.array(*map(F.lit, kv[1][4]))), PAIN.items(), F.when(F.lit(False), F.array(F.lit(""))))
-    return rows.withColumns({"description": note, "keywords": F.array(keyword), "potential_solutions": solutions}).select("company_id", "category", "description", "confidence", "severity", "urgency", "source", "keywords", "potential_solutions")
+def _pain(rows: DataFrame, note: Column, keywords: Column, solutions: Column) -> DataFrame:
+    rows = rows.withColumns({"description": note, "keywords": keywords, "potential_solutions": solutions})
+    return rows.select("company_id", "category", "description", "confidence", "severity", "urgency", "source", "keywords", "potential_solutions")
 
 
 def pain_points_text(companies: DataFrame) -> DataFrame:
     rows = _found(companies, {k: v[0] for k, v in PAIN.items()}, "category")
     rows = rows.withColumns({n: _of("category", {k: v[i] for k, v in PAIN.items()}) for i, n in ((1, "confidence"), (2, "severity"), (3, "urgency"))})
-    return _pain(rows, F.concat("category", F.lit(": "), "match"), F.col("match"))
+    solutions = reduce(lambda c, kv: c.when(F.col("category") == kv[0], F.array(*map(F.lit, kv[1][4]))), PAIN.items(), F.when(F.lit(False), F.array(F.lit(""))))
+    return _pain(rows, _noted(PAIN_NOTES, "category"), F.array("match"), solutions)
 
 
 def pain_legacy(companies: DataFrame) -> DataFrame:
     """Two legacy technologies or more."""
     rows = _tech_hits(companies, LEGACY).where("n >= 2").withColumns({"category": F.lit("technology"), "confidence": F.lit(0.6), "severity": F.lit(0.5), "urgency": F.lit(0.4), "source": F.lit("technology_analysis")})
-    note = F.concat(F.col("n").cast("string"), F.lit(" legacy technologies"))
-    return _pain(rows, note, note)
+    found = F.concat(F.col("n").cast("string"), F.lit(" legacy technologies"))
+    return _pain(rows, F.concat(F.lit("Legacy technology stack detected ("), found, F.lit(")")), F.array(found), F.array(*map(F.lit, LEGACY_SOLUTIONS)))
 
 
 def pain_size(companies: DataFrame) -> DataFrame:
     """50 to 200 employees."""
     rows = companies.where(F.col("employee_count").between(50, 200)).select(F.col("id").alias("company_id"), F.lit("scaling").alias("category"), F.lit(0.5).alias("confidence"), F.lit(0.6).alias("severity"), F.lit(0.5).alias("urgency"), F.lit("size_analysis").alias("source"))
-    return _pain(rows, F.lit("Mid-size company scaling challenges"), F.lit("scaling"))
+    return _pain(rows, F.lit("Mid-size company scaling challenges"), F.array(F.lit("scaling"), F.lit("growth")), F.array(*map(F.lit, SIZE_SOLUTIONS)))
 
 
 def pain_points(companies: DataFrame, category: str | None = None) -> DataFrame:

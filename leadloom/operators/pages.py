@@ -169,7 +169,8 @@ def site_company_rollup(pages: DataFrame, infos: DataFrame, contacts: DataFrame)
 def detect_technologies(pages: DataFrame, signatures: dict = SIGNATURES) -> DataFrame:
     """``(page_id, technology, category, confidence, method)``, the best method per technology.
 
-    Body min(.7 + .1 per further pattern, .9), scripts .85, generator .9, headers .8 (if there is a headers column).
+    Body min(.7 + .1 per occurrence, .9) of the first pattern that occurs, scripts .85, generator .9, headers .8 (if there is
+    a headers column).
     """
     html = F.coalesce("html", F.lit(""))
     scripts = F.array_join(F.regexp_extract_all(html, F.lit(r"""(?i)<script[^>]+src=["']([^"']+)"""), F.lit(1)), " ")
@@ -177,8 +178,9 @@ def detect_technologies(pages: DataFrame, signatures: dict = SIGNATURES) -> Data
     rows = pages.select("page_id", html.alias("html"), scripts.alias("scripts"), generator.alias("generator"), *(["headers"] if "headers" in pages.columns else []))
     made = []
     for name, (category, body, script, header) in signatures.items():
-        n = reduce(lambda a, b: a + b, [F.col("html").rlike(f"(?i){p}").cast("int") for p in body], F.lit(0))
-        tests = [(F.least(0.6 + 0.1 * n, F.lit(0.9)), n > 0, "body")] if body else []
+        counts = [F.regexp_count("html", F.lit(f"(?i){p}")) for p in body]
+        n = F.coalesce(*[F.when(c > 0, c) for c in counts], F.lit(0))
+        tests = [(F.least(0.7 + 0.1 * n, F.lit(0.9)), n > 0, "body")] if body else []
         tests += [(F.lit(0.85), F.col("scripts").rlike("(?i)" + "|".join(script)), "script")] if script else []
         tests += [(F.lit(0.9), F.contains(F.lower("generator"), F.lit(name.lower())), "meta")] if name in META_GENERATOR else []
         if header and "headers" in pages.columns:

@@ -161,8 +161,9 @@ def score_leads(contacts: DataFrame, companies: DataFrame, as_of: str, weights:
     """``(company_id, contact_id, total_score, score_percentage, grade, breakdown, factors)`` per contact."""
     w = check_weights(weights)
     rows = lead_rows(contacts, companies, as_of)
-    total = "(" + " + ".join(f"{category_sql(c)} * CAST({x} AS DOUBLE)" for c, x in w.items()) + ")"
-    rows = rows.withColumns({c: F.round(F.expr(category_sql(c)), 6) for c in w} | {"total": F.expr(total)})
+    total = "(" + " + ".join(f"__{c} * CAST({x} AS DOUBLE)" for c, x in w.items()) + ")"
+    rows = rows.withColumns({f"__{c}": F.expr(category_sql(c)) for c in w})  # each category once; the total reads the results
+    rows = rows.withColumns({c: F.round(f"__{c}", 6) for c in w} | {"total": F.expr(total)})
     rows = rows.withColumn("score_percentage", F.round(F.col("total") / F.lit(float(sum(w.values()))) * 100, 4))
     factors = F.struct(
         F.expr(SENIORITY_SQL).alias("seniority_level"), F.expr(SIZE_SQL).alias("company_size"), F.col("c_industry").alias("industry"), F.coalesce("is_decision_maker", F.lit(False)).alias("is_decision_maker"),
@@ -174,13 +175,14 @@ def score_leads(contacts: DataFrame, companies: DataFrame, as_of: str, weights:
 def scoring_summary(scores: DataFrame) -> DataFrame:
     """``(metric, value)``: leads, mean, least and largest score, mean %, high from 70, medium from 40, low, and one row per grade."""
     p = F.col("score_percentage")
-    one = scores.agg(
-        F.count("*").cast("double").alias("total_leads"), F.round(exact_avg("total_score"), 6).alias("average_score"), F.round(exact_avg("score_percentage"), 4).alias("average_percentage"), F.min("total_score").alias("min_score"), F.max("total_score").alias("max_score"),
-        F.count_if(p >= 70).cast("double").alias("high"), F.count_if((p >= 40) & (p < 70)).cast("double").alias("medium"), F.count_if(p < 40).cast("double").alias("low"),
+    by = scores.rollup("grade").agg(
+        F.grouping("grade").alias("all"), F.count("*").cast("double").alias("total_leads"), F.round(exact_avg("total_score"), 6).alias("average_score"), F.round(exact_avg("score_percentage"), 4).alias("average_percentage"),
+        F.min("total_score").alias("min_score"), F.max("total_score").alias("max_score"), F.count_if(p >= 70).cast("double").alias("high"), F.count_if((p >= 40) & (p < 70)).cast("double").alias("medium"), F.count_if(p < 40).cast("double").alias("low"),
     )
-    names = one.columns
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("x")).select("x.*")
-    return rows.unionByName(scores.groupBy(F.concat(F.lit("grade:"), "grade").alias("metric")).agg(F.count("*").cast("double").alias("value")))
+    names = [c for c in by.columns if c not in ("grade", "all")]
+    pair = lambda name, value: F.struct(name.alias("metric"), F.col(value).alias("value"))
+    whole, one = F.array(*[pair(F.lit(n), n) for n in names]), F.array(pair(F.concat(F.lit("grade:"), "grade"), "total_leads"))
+    return by.select(F.inline(F.when(F.col("all") == 1, whole).otherwise(one)))
 
 
 def score_batch_summary(scores: DataFrame) -> DataFrame:

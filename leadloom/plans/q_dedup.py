@@ -31,15 +31,15 @@ def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE 1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
 
 
-_KEYS = f"k AS (SELECT id, nullif({_name('name')}, '') AS name_key, nullif({_phone('phone')}, '') AS phone_key, {HOST.format('website')} AS host_key, CASE WHEN contains(email, '@') THEN lower(trim(email)) END AS email_key FROM companies)"
-_PAIRS = f"""{_KEYS}, l AS (SELECT id, 'h' AS kind, host_key AS v FROM k UNION ALL SELECT id, 'e', email_key FROM k UNION ALL SELECT id, 'p', phone_key FROM k UNION ALL SELECT id, 'n', name_key FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY kind, v ORDER BY id) AS n FROM l WHERE v IS NOT NULL),
-p AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM r a JOIN r b ON a.kind = b.kind AND a.v = b.v AND a.n < b.n AND (b.n - a.n <= {D.NEAR} OR a.n = 1))"""
+_KEYS = f"""k AS (SELECT id, nullif({_name('name')}, '') AS name_key, nullif({_phone('phone')}, '') AS phone_key, CASE WHEN length({_phone('phone')}) >= 10 THEN right({_phone('phone')}, 10) END AS phone10_key,
+{HOST.format('website')} AS host_key, CASE WHEN contains(email, '@') THEN lower(trim(email)) END AS email_key FROM companies)"""
+_PAIRS = f"""{_KEYS}, l AS (SELECT id, 'h' AS kind, host_key AS v FROM k UNION ALL SELECT id, 'e', email_key FROM k UNION ALL SELECT id, 'p', phone_key FROM k UNION ALL SELECT id, 't', phone10_key FROM k UNION ALL SELECT id, 'n', name_key FROM k),
+p AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM l a JOIN l b ON a.kind = b.kind AND a.v = b.v AND a.id < b.id)"""
 
 
-@query("norm_keys", f"WITH {_KEYS} SELECT id, name_key, phone_key, host_key, email_key FROM k", "companies")
+@query("norm_keys", f"WITH {_KEYS} SELECT id, name_key, phone_key, phone10_key, host_key, email_key FROM k", "companies")
 def _(t):
-    return D.norm_keys(t.companies).select("id", "name_key", "phone_key", "host_key", "email_key")
+    return D.norm_keys(t.companies).select("id", "name_key", "phone_key", "phone10_key", "host_key", "email_key")
 
 
 @query("dup_candidate_pairs", f"WITH {_PAIRS} SELECT id_a, id_b FROM p", "companies")
@@ -47,6 +47,21 @@ def _(t):
     return D.dup_candidate_pairs(D.norm_keys(t.companies))
 
 
+def _linked(sql: str) -> str:
+    """The same over the companies of which some come again."""
+    return sql.replace("FROM companies", "FROM linked_companies").replace("JOIN companies", "JOIN linked_companies")
+
+
+_GRAMS = f"""k AS (SELECT id, nullif({_name('name')}, '') AS name_key FROM companies),
+g AS (SELECT id, CASE WHEN length(name_key) < 3 THEN [name_key] ELSE list_distinct(list_transform(range(1, length(name_key) - 1), lambda i: substr(name_key, i, 3))) END AS grams FROM k WHERE name_key IS NOT NULL),
+b AS (SELECT id, band, left(list_min(list_transform(grams, lambda g: md5((2 * band) || ':' || g))), 12) || left(list_min(list_transform(grams, lambda g: md5((2 * band + 1) || ':' || g))), 12) AS v FROM g, range(0, 10) r(band))"""
+
+
+@query("fuzzy_candidate_pairs", f"WITH {_GRAMS} SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM b x JOIN b y ON x.band = y.band AND x.v = y.v AND x.id < y.id", "companies")
+def _(t):
+    return D.dup_candidate_pairs(D.norm_keys(t.companies), keys=(), fuzzy=True)
+
+
 def _pairs(t):
     c = t.companies
     side = lambda s: c.select(F.col("id").alias(f"id_{s}"), *[F.col(x).alias(f"{x}_{s}") for x in ("name", "email", "phone", "website")])
@@ -78,67 +93,92 @@ for _key, _op, _sql, _field in (("string_similarity", D.string_similarity, _NAME
         return op(_pairs(t), f"{field}_a", f"{field}_b", "levenshtein").select("id_a", "id_b", "similarity")
 
 
+_LISTS = ", ".join(
+    f"concat_ws(',', {', '.join(f'CASE WHEN {test.format(column, least)} THEN {name!r} END' for name, column, least in (('name', 'n', 0.85), ('domain', 'd', 0.9), ('email', 'e', 0.8), ('phone', 'f', 0.8)))}) AS {title}"
+    for title, test in (("matching_fields", "{0} >= {1}"), ("conflicting_fields", "{0} < 0.3"))
+)
 _SCORED = f"""{_TABLE}, s AS (SELECT id_a, id_b, CASE WHEN trim(na) <> '' AND trim(nb) <> '' THEN round(CAST({_NAMES} AS DOUBLE), 6) END n, CASE WHEN trim(wa) <> '' AND trim(wb) <> '' THEN round(CAST({_URLS} AS DOUBLE), 6) END d,
   CASE WHEN trim(ea) <> '' AND trim(eb) <> '' THEN round(CAST({_EMAIL} AS DOUBLE), 6) END e, CASE WHEN trim(pa) <> '' AND trim(pb) <> '' THEN round(CAST({_PHONES} AS DOUBLE), 6) END f FROM j),
 c AS (SELECT *, round((coalesce(n, 0) + coalesce(d, 0) + coalesce(e, 0) + coalesce(f, 0)) / ((n IS NOT NULL)::INT + (d IS NOT NULL)::INT + (e IS NOT NULL)::INT + (f IS NOT NULL)::INT), 6) AS confidence FROM s),
-m AS (SELECT id_a, id_b, confidence, CASE WHEN confidence >= 0.9 OR coalesce(d >= 0.9, false) THEN 'exact' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'no_match' END AS match_type FROM c)"""
+m AS (SELECT id_a, id_b, confidence, CASE WHEN confidence >= 0.9 OR coalesce(d >= 0.9, false) THEN 'exact' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'no_match' END AS match_type,
+  {_LISTS}, n AS s_name, d AS s_domain, e AS s_email, f AS s_phone FROM c)"""
+
+
+def _shown(matches):
+    lists = [F.array_join(c, ",").alias(c) for c in ("matching_fields", "conflicting_fields")]
+    fields = [f for f in ("name", "domain", "email", "phone") if f in matches.schema["field_scores"].dataType.names]
+    return matches.select("id_a", "id_b", "match_type", "confidence", *lists, *[F.col(f"field_scores.{f}").alias(f"s_{f}") for f in fields])
 
 
-@query("company_matches", f"WITH {_SCORED} SELECT id_a, id_b, match_type, confidence FROM m", "companies")
+@query("company_matches", f"WITH {_linked(_SCORED)} SELECT * FROM m", "linked_companies")
 def _(t):
-    return D.company_matches(t.companies, metric="levenshtein").select("id_a", "id_b", "match_type", "confidence")
+    return _shown(D.company_matches(t.linked_companies, metric="levenshtein"))
+
+
+_FULL_NAMES = "concat_ws(' ', first_name, last_name)"
+_PEOPLE = f"""k AS (SELECT id, nullif({_name(_FULL_NAMES)}, '') AS name_key, nullif({_phone('phone')}, '') AS phone_key, CASE WHEN contains(email, '@') THEN lower(trim(email)) END AS email_key FROM contacts),
+l AS (SELECT id, 'e' AS kind, email_key AS v FROM k UNION ALL SELECT id, 'p', phone_key FROM k UNION ALL SELECT id, 't', CASE WHEN length(phone_key) >= 10 THEN right(phone_key, 10) END FROM k UNION ALL SELECT id, 'n', name_key FROM k),
+p AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM l a JOIN l b ON a.kind = b.kind AND a.v = b.v AND a.id < b.id),
+j AS (SELECT p.*, concat_ws(' ', a.first_name, a.last_name) na, concat_ws(' ', b.first_name, b.last_name) nb, a.email ea, b.email eb, a.phone pa, b.phone pb FROM p JOIN contacts a ON a.id = id_a JOIN contacts b ON b.id = id_b),
+s AS (SELECT id_a, id_b, CASE WHEN trim(na) <> '' AND trim(nb) <> '' THEN round(CAST({_NAMES} AS DOUBLE), 6) END n, CASE WHEN trim(ea) <> '' AND trim(eb) <> '' THEN round(CAST({_EMAIL} AS DOUBLE), 6) END e,
+  CASE WHEN trim(pa) <> '' AND trim(pb) <> '' THEN round(CAST({_PHONES} AS DOUBLE), 6) END f FROM j),
+c AS (SELECT *, round((coalesce(n, 0) + coalesce(e, 0) + coalesce(f, 0)) / ((n IS NOT NULL)::INT + (e IS NOT NULL)::INT + (f IS NOT NULL)::INT), 6) AS confidence FROM s)
+SELECT id_a, id_b, CASE WHEN confidence >= 0.9 OR coalesce(e >= 0.9, false) THEN 'exact' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'no_match' END AS match_type, confidence,
+  concat_ws(',', CASE WHEN n >= 0.85 THEN 'name' END, CASE WHEN e >= 0.9 THEN 'email' END, CASE WHEN f >= 0.8 THEN 'phone' END) AS matching_fields,
+  concat_ws(',', CASE WHEN n < 0.3 THEN 'name' END, CASE WHEN e < 0.3 THEN 'email' END, CASE WHEN f < 0.3 THEN 'phone' END) AS conflicting_fields, n AS s_name, e AS s_email, f AS s_phone FROM c"""
 
 
-@query("contact_matches")
+@query("contact_matches", f"WITH {_PEOPLE}", "contacts")
 def _(t):
-    return D.contact_matches(t.contacts).select("id_a", "id_b", "match_type", "confidence", F.array_join("matching_fields", ",").alias("matching_fields"))
+    return _shown(D.contact_matches(t.contacts, metric="levenshtein"))
 
 
-#: In these rows every group is one row and its near copy, so the smallest id linked is the group.
-_GROUPS = f"{_SCORED}, g AS (SELECT id, coalesce(min(id_a), id) AS group_id FROM companies LEFT JOIN m ON id_b = id AND match_type IN ('exact', 'high') GROUP BY id)"
+#: Groups by walking the links from every row to all that it reaches.
+_GROUPS = _linked(f"""{_SCORED}, e AS (SELECT id_a AS a, id_b AS b FROM m WHERE match_type IN ('exact', 'high') UNION SELECT id_b, id_a FROM m WHERE match_type IN ('exact', 'high')),
+w AS (SELECT id, id AS met FROM companies UNION SELECT w.id, e.b FROM w JOIN e ON w.met = e.a), g AS (SELECT id, min(met) AS group_id FROM w GROUP BY id)""")
 
 
 def _groups(t):
-    return D.duplicate_groups(t.companies, D.company_matches(t.companies, metric="levenshtein"))
+    return D.duplicate_groups(t.linked_companies, D.company_matches(t.linked_companies, metric="levenshtein"))
 
 
-@query("duplicate_groups", f"WITH {_GROUPS} SELECT id, group_id FROM g", "companies")
+@query("duplicate_groups", f"WITH RECURSIVE {_GROUPS} SELECT id, group_id FROM g", "linked_companies")
 def _(t):
     return _groups(t)
 
 
-@query("merge_keep_first", f"WITH {_GROUPS} SELECT group_id, arg_min(c.name, c.id) AS name, min(c.id) AS id FROM companies c JOIN g USING (id) GROUP BY 1", "companies")
+@query("merge_keep_first", f"WITH RECURSIVE {_GROUPS} SELECT group_id, arg_min(c.name, c.id) AS name, min(c.id) AS id FROM linked_companies c JOIN g USING (id) GROUP BY 1", "linked_companies")
 def _(t):
-    return D.merge_keep_first(t.companies, _groups(t)).select("group_id", "name", "id")
+    return D.merge_keep_first(t.linked_companies, _groups(t)).select("group_id", "name", "id")
 
 
-@query("merge_keep_last", f"WITH {_GROUPS} SELECT group_id, arg_max(c.name, c.id) AS name, max(c.id) AS id FROM companies c JOIN g USING (id) GROUP BY 1", "companies")
+@query("merge_keep_last", f"WITH RECURSIVE {_GROUPS} SELECT group_id, arg_max(c.name, c.id) AS name, max(c.id) AS id FROM linked_companies c JOIN g USING (id) GROUP BY 1", "linked_companies")
 def _(t):
-    return D.merge_keep_last(t.companies, _groups(t)).select("group_id", "name", "id")
+    return D.merge_keep_last(t.linked_companies, _groups(t)).select("group_id", "name", "id")
 
 
 _FULL = " + ".join(f"CAST(trim(coalesce({f}, '')) <> '' AS INT)" for f in ("name", "website", "email", "phone", "description"))
 
 
-@query("merge_most_complete", f"WITH {_GROUPS} SELECT group_id, arg_min(c.id, row(-({_FULL}), c.id)) AS id FROM companies c JOIN g USING (id) GROUP BY 1", "companies")
+@query("merge_most_complete", f"WITH RECURSIVE {_GROUPS} SELECT group_id, arg_min(c.id, row(-({_FULL}), c.id)) AS id FROM linked_companies c JOIN g USING (id) GROUP BY 1", "linked_companies")
 def _(t):
-    return D.merge_most_complete(t.companies, _groups(t)).select("group_id", "id")
+    return D.merge_most_complete(t.linked_companies, _groups(t)).select("group_id", "id")
 
 
-@query("merge_highest_confidence", f"WITH {_GROUPS} SELECT group_id, arg_min(c.id, row(-data_quality_score, c.id)) AS id FROM companies c JOIN g USING (id) GROUP BY 1", "companies")
+@query("merge_highest_confidence", f"WITH RECURSIVE {_GROUPS} SELECT group_id, arg_min(c.id, row(-data_quality_score, c.id)) AS id FROM linked_companies c JOIN g USING (id) GROUP BY 1", "linked_companies")
 def _(t):
-    return D.merge_highest_confidence(t.companies, _groups(t)).select("group_id", "id")
+    return D.merge_highest_confidence(t.linked_companies, _groups(t)).select("group_id", "id")
 
 
-@query("merge_all", f"""WITH {_GROUPS} SELECT group_id, arg_min(email, c.id) FILTER (trim(coalesce(email, '')) <> '') AS email, arg_min(phone, c.id) FILTER (trim(coalesce(phone, '')) <> '') AS phone, arg_min(employee_count, c.id) FILTER (employee_count IS NOT NULL) AS employee_count,
-coalesce((SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM unnest(flatten(list(string_split(technologies_csv, ',')) FILTER (technologies_csv IS NOT NULL))) u(x)), '') AS technologies FROM companies c JOIN g USING (id) GROUP BY group_id""", "companies")
+@query("merge_all", f"""WITH RECURSIVE {_GROUPS} SELECT group_id, arg_min(email, c.id) FILTER (trim(coalesce(email, '')) <> '') AS email, arg_min(phone, c.id) FILTER (trim(coalesce(phone, '')) <> '') AS phone, arg_min(employee_count, c.id) FILTER (employee_count IS NOT NULL) AS employee_count,
+coalesce((SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM unnest(flatten(list(string_split(technologies_csv, ',')) FILTER (technologies_csv IS NOT NULL))) u(x)), '') AS technologies FROM linked_companies c JOIN g USING (id) GROUP BY group_id""", "linked_companies")
 def _(t):
-    return D.merge_all(t.companies, _groups(t)).select("group_id", "email", "phone", "employee_count", F.array_join("technologies", ",").alias("technologies"))
+    return D.merge_all(t.linked_companies, _groups(t)).select("group_id", "email", "phone", "employee_count", F.array_join("technologies", ",").alias("technologies"))
 
 
-@query("dedup_report", f"WITH {_GROUPS}, z AS (SELECT group_id, count(*) n FROM g GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows_before, count(*) AS rows_after, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS removed FROM z", "companies")
+@query("dedup_report", f"WITH RECURSIVE {_GROUPS}, z AS (SELECT group_id, count(*) n FROM g GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows_before, count(*) AS rows_after, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS removed FROM z", "linked_companies")
 def _(t):
-    return D.dedup_report(t.companies, _groups(t))
+    return D.dedup_report(t.linked_companies, _groups(t))
 
 
 @query("exact_duplicates", "SELECT id FROM contacts QUALIFY row_number() OVER (PARTITION BY company_id, department ORDER BY id) > 1", "contacts")

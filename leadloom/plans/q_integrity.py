@@ -109,7 +109,7 @@ def _(t):
 @query("request_limit_audit", f"""
 WITH r AS (SELECT event_id, domain, CAST(floor(epoch(ts)) AS BIGINT) AS e FROM event_log),
 w AS (SELECT *, count(*) OVER m AS in_minute, count(*) OVER h AS in_hour, min(e) OVER m AS fm, min(e) OVER h AS fh FROM r
-  WINDOW m AS (PARTITION BY domain ORDER BY e RANGE BETWEEN 59 PRECEDING AND CURRENT ROW), h AS (PARTITION BY domain ORDER BY e RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW))
+  WINDOW m AS (PARTITION BY domain ORDER BY e RANGE BETWEEN 60 PRECEDING AND CURRENT ROW), h AS (PARTITION BY domain ORDER BY e RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
 SELECT event_id, in_minute, in_hour, in_minute > 1 AS over_minute, in_hour > 2 AS over_hour,
   greatest(CASE WHEN in_minute > 1 THEN fm + 60 - e ELSE 0 END, CASE WHEN in_hour > 2 THEN fh + 3600 - e ELSE 0 END) AS wait_seconds FROM w""", "event_log")
 def _(t):

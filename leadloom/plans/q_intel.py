@@ -14,25 +14,32 @@ def _q(p: str) -> str:
     return p.replace("'", "''")
 
 
+_NOTES = {
+    "hiring": "Hiring activity detected", "funding": "Funding activity detected", "expansion": "Expansion activity detected", "new_product": "Product development detected", "partnership": "Partnership activity detected", "acquisition": "Acquisition activity detected",
+    "scaling": "Scaling challenge identified", "technology": "Technology challenge identified", "security": "Security concern identified", "integration": "Integration challenge identified", "performance": "Performance issue identified",
+    "cost_optimization": "Cost concern identified", "talent_acquisition": "Talent challenge identified", "data_management": "Data challenge identified",
+}
+
+
 def _growth_sql() -> str:
     parts = []
     for kind, (patterns, base, raised, impact) in I.GROWTH.items():
         confidence = f"CASE WHEN contains(m, '{raised[0]}') THEN {raised[1]} ELSE {base} END" if raised else str(base)
-        parts += [f"SELECT id AS company_id, '{kind}' AS signal_type, '{kind}: ' || m AS description, CAST({confidence} AS DOUBLE) AS confidence, CAST({impact} AS DOUBLE) AS impact_score, 'company_description' AS source FROM (SELECT id, unnest(regexp_extract_all(lower(description), '{_q(p)}')) AS m FROM companies)" for p in patterns]
+        parts += [f"SELECT id AS company_id, '{kind}' AS signal_type, '{_NOTES[kind]}: ' || m AS description, CAST({confidence} AS DOUBLE) AS confidence, CAST({impact} AS DOUBLE) AS impact_score, 'company_description' AS source FROM (SELECT id, unnest(regexp_extract_all(lower(description), '{_q(p)}')) AS m FROM companies)" for p in patterns]
     return " UNION ALL ".join(parts)
 
 
 def _pain_sql() -> str:
     parts = []
     for kind, (patterns, c, s, u, _) in I.PAIN.items():
-        parts += [f"SELECT id AS company_id, '{kind}' AS category, '{kind}: ' || m AS description, CAST({c} AS DOUBLE) AS confidence, CAST({s} AS DOUBLE) AS severity, CAST({u} AS DOUBLE) AS urgency, 'company_description' AS source FROM (SELECT id, unnest(regexp_extract_all(lower(description), '{_q(p)}')) AS m FROM companies)" for p in patterns]
+        parts += [f"SELECT id AS company_id, '{kind}' AS category, '{_NOTES[kind]}: ' || m AS description, CAST({c} AS DOUBLE) AS confidence, CAST({s} AS DOUBLE) AS severity, CAST({u} AS DOUBLE) AS urgency, 'company_description' AS source FROM (SELECT id, unnest(regexp_extract_all(lower(description), '{_q(p)}')) AS m FROM companies)" for p in patterns]
     return " UNION ALL ".join(parts)
 
 
 _TT = "coalesce(replace(technologies_csv, ',', ' '), '')"
-TEAM = "SELECT id AS company_id, 'team_growth' AS signal_type, concat('team_growth: ', previous_employee_count, ' to ', employee_count) AS description, 0.9::DOUBLE AS confidence, round(least((employee_count - previous_employee_count) / CAST(previous_employee_count AS DOUBLE), 1.0), 6) AS impact_score, 'employee_data' AS source FROM companies WHERE employee_count > 0 AND previous_employee_count > 0 AND (employee_count - previous_employee_count) / CAST(previous_employee_count AS DOUBLE) > 0.1"
-TECH = f"SELECT id AS company_id, 'technology_upgrade' AS signal_type, concat('Uses ', n, ' modern technologies') AS description, 0.6::DOUBLE AS confidence, round(least(n / 10.0::DOUBLE, 1.0), 6) AS impact_score, 'technology_stack' AS source FROM (SELECT id, {hits_in(_TT, I.MODERN)} AS n FROM companies) WHERE n >= 3"
-LEGACY = f"SELECT id AS company_id, 'technology' AS category, concat(n, ' legacy technologies') AS description, 0.6::DOUBLE AS confidence, 0.5::DOUBLE AS severity, 0.4::DOUBLE AS urgency, 'technology_analysis' AS source FROM (SELECT id, {hits_in(_TT, I.LEGACY)} AS n FROM companies) WHERE n >= 2"
+TEAM = "SELECT id AS company_id, 'team_growth' AS signal_type, concat('Employee growth: ', previous_employee_count, ' to ', employee_count, printf(' (%.1f%%)', round_even(100.0::DOUBLE * ((employee_count - previous_employee_count) / CAST(previous_employee_count AS DOUBLE)), 1))) AS description, 0.9::DOUBLE AS confidence, round(least((employee_count - previous_employee_count) / CAST(previous_employee_count AS DOUBLE), 1.0), 6) AS impact_score, 'employee_data' AS source FROM companies WHERE employee_count > 0 AND previous_employee_count > 0 AND (employee_count - previous_employee_count) / CAST(previous_employee_count AS DOUBLE) > 0.1"
+TECH = f"SELECT id AS company_id, 'technology_upgrade' AS signal_type, concat('Modern technology adoption detected (', n, ' technologies)') AS description, 0.6::DOUBLE AS confidence, round(least(n / 10.0::DOUBLE, 1.0), 6) AS impact_score, 'technology_stack' AS source FROM (SELECT id, {hits_in(_TT, I.MODERN)} AS n FROM companies) WHERE n >= 3"
+LEGACY = f"SELECT id AS company_id, 'technology' AS category, concat('Legacy technology stack detected (', n, ' legacy technologies)') AS description, 0.6::DOUBLE AS confidence, 0.5::DOUBLE AS severity, 0.4::DOUBLE AS urgency, 'technology_analysis' AS source FROM (SELECT id, {hits_in(_TT, I.LEGACY)} AS n FROM companies) WHERE n >= 2"
 SIZE = "SELECT id AS company_id, 'scaling' AS category, 'Mid-size company scaling challenges' AS description, 0.5::DOUBLE AS confidence, 0.6::DOUBLE AS severity, 0.5::DOUBLE AS urgency, 'size_analysis' AS source FROM companies WHERE employee_count BETWEEN 50 AND 200"
 SIGNALS = f"g AS ({_growth_sql()} UNION ALL {TEAM} UNION ALL {TECH})"
 PAINS = f"p AS ({_pain_sql()} UNION ALL {LEGACY} UNION ALL {SIZE})"
@@ -45,9 +52,9 @@ def _(t):
     return I.growth_signals_text(t.companies).select(*S)
 
 
-@query("growth_team", TEAM, "companies")
+@query("growth_team", f"SELECT *, 'Employee count increased by ' || regexp_extract(description, '[(]([^)]*)[)]', 1) AS evidence FROM ({TEAM})", "companies")
 def _(t):
-    return I.growth_team(t.companies).select(*S)
+    return I.growth_team(t.companies).select(*S, F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("growth_tech", TECH, "companies")
@@ -65,14 +72,18 @@ def _(t):
     return I.pain_points_text(t.companies).select(*P)
 
 
-@query("pain_legacy", LEGACY, "companies")
+def _lists(df):
+    return df.select(*P, *[F.array_join(c, ", ").alias(c) for c in ("keywords", "potential_solutions")])
+
+
+@query("pain_legacy", f"SELECT *, regexp_extract(description, '[(]([^)]*)[)]', 1) AS keywords, 'Technology modernization roadmap, Gradual migration strategy, Modern framework adoption' AS potential_solutions FROM ({LEGACY})", "companies")
 def _(t):
-    return I.pain_legacy(t.companies).select(*P)
+    return _lists(I.pain_legacy(t.companies))
 
 
-@query("pain_size", SIZE, "companies")
+@query("pain_size", f"SELECT *, 'scaling, growth' AS keywords, 'Process standardization, Infrastructure scaling, Team structure optimization' AS potential_solutions FROM ({SIZE})", "companies")
 def _(t):
-    return I.pain_size(t.companies).select(*P)
+    return _lists(I.pain_size(t.companies))
 
 
 @query("pain_points", f"WITH {PAINS} SELECT p.*, name AS company_name FROM p JOIN companies ON id = company_id", "companies")

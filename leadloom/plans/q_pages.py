@@ -78,11 +78,11 @@ def _(t):
 
 def _signed(t):
     k = F.col("page_id") % 4
-    return t.pages.withColumn("html", F.concat(F.lit("<html>"), F.when(k == 0, '<script src="/js/jquery.min.js"></script>').when(k == 1, '<meta name="generator" content="WordPress 6.1"> wp-content wp-includes').when(k == 2, "uses Stripe via js.stripe.com").otherwise("plain")))
+    return t.pages.withColumn("html", F.concat(F.lit("<html>"), F.when(k == 0, '<script src="/js/jquery.min.js"></script>').when(k == 1, '<meta name="generator" content="WordPress 6.1"> wp-content wp-includes').when(k == 2, F.when(F.col("page_id") % 8 == 2, "uses js.stripe.com").otherwise("js.stripe.com and js.stripe.com")).otherwise("plain")))
 
 
 _TECHS = """SELECT page_id, 'jQuery' AS technology, 'frontend' AS category, 0.85::DOUBLE AS confidence, 'script' AS method FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'WordPress', 'cms', 0.9, 'meta' FROM pages WHERE page_id % 4 = 1
-UNION ALL SELECT page_id, 'Stripe', 'payment', 0.8, 'body' FROM pages WHERE page_id % 4 = 2"""
+UNION ALL SELECT page_id, 'Stripe', 'payment', CASE WHEN page_id % 8 = 2 THEN 0.8 ELSE 0.9 END, 'body' FROM pages WHERE page_id % 4 = 2"""
 
 
 @query("detect_technologies", _TECHS)

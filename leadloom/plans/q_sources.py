@@ -11,7 +11,7 @@ from ..operators import dedup as D
 from ..operators import scoring as S
 from ..sources import tables as T
 from . import pipeline as P
-from .q_dedup import _GROUPS
+from .q_dedup import _SCORED
 from .registry import query
 from .views import AS_OF
 
@@ -72,11 +72,33 @@ def _(t):
     return t.spark.read.option("header", True).csv(path).select(F.col("id").cast("long").alias("id"), "contact_name")
 
 
-@query("export_field_catalog", "SELECT count(*) AS companies FROM companies WHERE name IS NOT NULL", "companies")
+_CATALOG = {
+    "companies": "basic: id name domain website industry company_size employee_count; contact_info: phone address location; business_data: founded_year revenue_range description technology_stack social_media; "
+    "analytics: lead_score data_quality_score growth_signals pain_points competitive_landscape; metadata: created_at updated_at contacts_count scraped_data_count",
+    "contacts": "basic: id first_name last_name full_name email phone; professional: job_title department seniority_level experience_years skills; social: linkedin_url twitter_handle bio; "
+    "analytics: contact_quality_score engagement_potential is_decision_maker is_verified; metadata: created_at updated_at last_activity_date",
+}
+
+
+def _catalog_sql() -> str:
+    """Every field of the catalogue with how many rows of its table have it."""
+    from .views import FORMULAS
+
+    made = {"location": "count(*)", "growth_signals": "count(*)", "social_media": "count(*) FILTER (id % 3 = 0)"}
+    parts = []
+    for table, text in _CATALOG.items():
+        for group in text.split("; "):
+            name, fields = group.split(": ")
+            for field in fields.split():
+                n = f"count({field})" if field in FORMULAS[table] else made.get(field, "0 * count(*)") if table == "companies" else "0 * count(*)"
+                parts.append(f"SELECT '{table}' AS data_type, '{name}' AS field_group, '{field}' AS field, {n} AS n_filled FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("export_field_catalog", _catalog_sql(), "companies contacts")
 def _(t):
-    """How many companies have the catalogue's basic fields that the table holds."""
-    basic = [r.field for r in T.export_field_catalog(t.spark).where("data_type = 'companies' and field_group = 'basic'").collect() if r.field in ("id", "name")]
-    return t.companies.where(" and ".join(f"{f} is not null" for f in basic)).agg(F.count("*").alias("companies"))
+    catalog = T.export_field_catalog(t.spark)
+    return T.field_use(t.companies, catalog, "companies").union(T.field_use(t.contacts, catalog, "contacts"))
 
 
 @query("export_cap", "SELECT id FROM companies ORDER BY created_at DESC, id LIMIT 40", "companies")
@@ -109,11 +131,11 @@ def _(t):
     return rows.select("id", "processing.version", F.date_format("processing.processed_at", "yyyy-MM-dd HH:mm:ss").alias("processed_at"))
 
 
-@query("custom_dictionaries", f"WITH {_GROUPS.split(', g AS')[0]} SELECT id_a, id_b FROM m WHERE confidence >= 0.5", "companies")
+@query("custom_dictionaries", f"WITH {_SCORED} SELECT id_a, id_b, concat_ws(',', CASE WHEN s_name >= 0.5 THEN 'name' END, CASE WHEN s_domain >= 0.9 THEN 'domain' END, CASE WHEN s_email >= 0.8 THEN 'email' END, CASE WHEN s_phone >= 0.8 THEN 'phone' END) AS matching_fields FROM m", "companies")
 def _(t):
-    """Caller-given thresholds: matches of half confidence or more, name threshold lowered."""
+    """Caller-given thresholds: a name matches from 0.5 up."""
     found = D.company_matches(t.companies, thresholds={**D.COMPANY_THRESHOLDS, "name": 0.5}, metric="levenshtein")
-    return found.where("confidence >= 0.5").select("id_a", "id_b")
+    return found.select("id_a", "id_b", F.array_join("matching_fields", ",").alias("matching_fields"))
 
 
 @query("score_leads_flagship")

@@ -23,7 +23,9 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
         if sql:
             head = with_views(*views.split()) if views else ""
             body = for_duckdb(sql.strip())
-            if head and body.upper().startswith("WITH "):
+            if head and body.upper().startswith("WITH RECURSIVE "):
+                head, body = head.replace("WITH ", "WITH RECURSIVE ", 1), "," + body[14:]
+            elif head and body.upper().startswith("WITH "):
                 body = "," + body[4:]
             ORACLES[name] = f"{head}{body if body.startswith(',') else ' ' + body}"
         return f

@@ -114,6 +114,16 @@ FORMULAS = {
 }
 
 
+#: Companies of which some come again under another id: 3, 4, 5 and 6 of every ten are one group, of which 6 is linked through 5 only.
+SOURCES["linked_companies"] = SOURCES["companies"]
+FORMULAS["linked_companies"] = FORMULAS["companies"] | {
+    "name": "CASE WHEN c_custkey % 10 = 6 THEN concat('initech ', c_custkey-1) ELSE " + FORMULAS["companies"]["name"] + " END",
+    "website": "CASE c_custkey % 10 WHEN 5 THEN concat('http://globex', c_custkey-2, '.com') WHEN 6 THEN NULL ELSE " + FORMULAS["companies"]["website"] + " END",
+    "email": "CASE WHEN c_custkey % 10 = 6 THEN concat('own', c_custkey-1, '@Initech.com') WHEN c_custkey % 10 = 5 THEN concat('OWN', c_custkey, '@initech.com') ELSE " + FORMULAS["companies"]["email"] + " END",
+    "phone": "CASE WHEN c_custkey % 10 IN (5, 6) THEN NULL ELSE " + FORMULAS["companies"]["phone"] + " END",
+}
+
+
 def view_sql(name: str, spark: bool = False) -> str:
     columns = ", ".join(f"{formula} AS {column}" for column, formula in FORMULAS[name].items())
     text = f"SELECT {columns} FROM {SOURCES[name]}"
@@ -136,7 +146,7 @@ class Tables:
 
     def plain(self, name: str) -> DataFrame:
         """A derived table with exactly the columns of its formulas."""
-        if name == "companies":
+        if "nation" in SOURCES[name]:
             df = self.base("customer").join(self.base("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         else:
             df = self.base(SOURCES[name])
@@ -145,8 +155,15 @@ class Tables:
 
     @property
     def companies(self) -> DataFrame:
+        return self.nested("companies")
+
+    @property
+    def linked_companies(self) -> DataFrame:
+        return self.nested("linked_companies")
+
+    def nested(self, name: str) -> DataFrame:
         """Companies with technologies as an array, location as a struct and the two maps."""
-        df = self.plain("companies").withColumn("technologies", F.split("technologies_csv", ","))
+        df = self.plain(name).withColumn("technologies", F.split("technologies_csv", ","))
         flag = lambda n: F.col("id") % n == 0
         return df.withColumns({
             "location": F.struct("city", "state", "country"),

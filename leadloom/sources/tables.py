@@ -155,6 +155,14 @@ def export_field_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "data_type string, field_group string, field string")
 
 
+def field_use(df: DataFrame, catalog: DataFrame, data_type: str) -> DataFrame:
+    """The catalogue's rows of a data type with ``n_filled``, the rows of ``df`` that have the field; 0 where ``df`` lacks it."""
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in df.columns])).alias("x")).select("x.*")
+    rows = catalog.where(F.col("data_type") == data_type).join(long, F.col("field") == F.col("name"), "left")
+    return rows.select("data_type", "field_group", "field", F.coalesce("n", F.lit(0)).alias("n_filled"))
+
+
 def crm_field_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """The mapped columns under their names in the CRM; a mapped column that is absent is an error."""
     missing = set(mapping) - set(df.columns)

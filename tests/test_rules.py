@@ -90,8 +90,8 @@ def test_groups_join_chains_and_leave_medium_alone(spark):
 
 def test_hot_block_gives_linear_pairs_and_one_group(spark):
     rows = spark.range(200).selectExpr("id", "'Same Name' as name", "cast(null as string) as email", "cast(null as string) as phone", "cast(null as string) as website")
-    pairs = D.dup_candidate_pairs(D.norm_keys(rows))
-    assert pairs.count() < 200 * (D.NEAR + 1)
+    pairs = D.dup_candidate_pairs(D.norm_keys(rows), full=50)
+    assert pairs.count() < 400
     groups = D.duplicate_groups(rows, D.company_matches(rows, pairs=pairs))
     assert groups.select("group_id").distinct().count() == 1
 
@@ -108,3 +108,96 @@ def test_contact_sections_nest(spark):
     rows = P.page_contacts(spark.createDataFrame([(1, "http://a.com", html), (2, "http://b.com", "<p>x@gmail.com y@corp.com</p>"), (3, None, None)], "page_id long, url string, html string"))
     got = sorted((r.page_id, r.first_name, r.email, r.job_title) for r in rows.collect())
     assert got == [(1, "Ann", "ann@corp.com", "ceo"), (2, None, "y@corp.com", None)]
+
+
+# ---- candidate pairs
+
+
+def people(spark, n, **kinds):
+    rows = spark.range(n).withColumns({c: F.expr(e) for c, e in kinds.items()})
+    return D.norm_keys(rows)
+
+
+def test_a_block_gives_all_its_pairs(spark):
+    assert D.dup_candidate_pairs(people(spark, 40, name="'Acme Corp'", phone="concat('212555', id + 1000)")).count() == 40 * 39 // 2
+
+
+def test_large_blocks_keep_pairs_that_share_more(spark):
+    """300 rows hold one phone; their e-mails come in pairs, every tenth is a copy of its predecessor, and names differ by a letter or much."""
+    kinds = {"name": "concat('Initech ', md5(cast(id - id % 3 as string)), if(id % 3 = 1, 'x', ''))", "phone": "'2125550100'", "email": "concat('m', id div 2, '@corp.com')"}
+    rows = people(spark, 300, **kinds)
+    got = {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows, full=50).collect()}
+    every = {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows, exhaustive=True).collect()}
+    assert got < every and len(got) < 3000
+    assert {(a, a + 1) for a in range(0, 300, 2)} <= got and {(0, b) for b in range(1, 300)} <= got
+    near = {(a, b) for a in range(300) for b in range(a + 1, min(300, a - a % 3 + 3)) }
+    assert len(near & got) >= 0.95 * len(near)
+
+
+def test_rows_equal_in_all_keys_stand_for_each_other(spark):
+    rows = people(spark, 500, name="if(id < 480, 'Acme', concat('Zeta ', id))", phone="'2125550100'")
+    got = D.dup_candidate_pairs(rows, full=50)
+    assert got.where("id_a = 0").count() == 499 and got.count() < 1000
+    groups = D.components(got.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "t")
+    assert groups.select("component").distinct().count() == 1
+
+
+def test_near_names_are_candidates_with_high_recall(spark):
+    kinds = {"name": "concat(md5(cast(id div 2 as string)), if(id % 2 = 1, 'q', ''), ' trading house')"}
+    rows = people(spark, 400, **kinds)
+    got = {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows, fuzzy=True).collect()}
+    assert not D.dup_candidate_pairs(rows).collect()
+    assert len(got & {(a, a + 1) for a in range(0, 400, 2)}) >= 0.95 * 200
+    odd = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, "Al", None), (4, "al", None), (None, "al", None)], "id long, name string, phone string")
+    assert {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(D.norm_keys(odd), fuzzy=True).collect()} == {(3, 4)}
+    assert D.dup_candidate_pairs(D.norm_keys(odd.limit(0))).count() == 0
+
+
+# ---- request logs
+
+
+def test_request_windows_reach_over_hours(spark):
+    from leadloom.operators import windows as W
+
+    base = 1704067200 + 3590
+    rows = spark.createDataFrame([(i, base + t, "d") for i, t in enumerate([0, 30, 60, 61, 3600, 3661])], "event_id long, e long, domain string").selectExpr("event_id", "timestamp_seconds(e) as ts", "domain")
+    got = [(r.in_minute, r.in_hour) for r in W.request_limit_audit(rows, 1, 2).orderBy("event_id").collect()]
+    assert got == [(1, 1), (2, 2), (3, 3), (3, 4), (1, 5), (1, 3)]  # exactly 60 and 3600 seconds old ones count
+
+
+def test_runs_and_rates_reach_over_chunks(spark, monkeypatch):
+    import random
+
+    from leadloom.operators import windows as W
+
+    monkeypatch.setattr(W, "CHUNK", 100)
+    rng = random.Random(4)
+    ok = [rng.random() < 0.1 if 150 < i < 420 else rng.random() < 0.6 for i in range(700)]
+    ok[200:420] = [False] * 220
+    rows = spark.createDataFrame([(i, 1704067200 + 40 * i, "d", ok[i], float(i % 37)) for i in range(700)], "event_id long, e long, domain string, success boolean, response_ms double").selectExpr("event_id", "timestamp_seconds(e) as ts", "domain", "success", "response_ms")
+    run, want = 0, []
+    for x in ok:
+        run = 0 if x else run + 1
+        want.append(run)
+    assert [r.failures for r in W.failure_backoff(rows).orderBy("event_id").collect()] == want
+    got = W.recent_error_rate(rows).orderBy("event_id").collect()
+    assert [r.error_rate_10 for r in got] == [round(sum(not x for x in ok[max(0, i - 9) : i + 1]) / min(10, i + 1), 6) for i in range(700)]
+    mean = [sum(j % 37 for j in range(max(0, i - 99), i + 1)) / min(100, i + 1) for i in range(700)]
+    assert all(abs(r.mean_response_100 - m) < 1e-3 for r, m in zip(got, mean))
+
+
+def test_body_confidence_counts_occurrences(spark):
+    pages = spark.createDataFrame([(1, "x", "js.stripe.com"), (2, "x", "js.stripe.com js.stripe.com"), (3, "x", "none"), (4, "x", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.confidence for r in P.detect_technologies(pages).where("technology = 'Stripe'").collect()} == {1: 0.8, 2: 0.9}
+
+
+def test_texts_of_signals(spark):
+    from leadloom.operators import intel as I
+
+    c = spark.createDataFrame([(1, "a", "We are hiring 3 people", ["PHP", "MySQL"], 112, 100)], "id long, name string, description string, technologies array<string>, employee_count int, previous_employee_count int")
+    got = {r.signal_type: (r.description, r.evidence) for r in I.growth_signals(c).collect()}
+    assert got["hiring"] == ("Hiring activity detected: hiring 3", ["hiring 3"])
+    assert got["team_growth"] == ("Employee growth: 100 to 112 (12.0%)", ["Employee count increased by 12.0%"])
+    pains = {r.source: (r.description, r.keywords, r.potential_solutions[0]) for r in I.pain_points(c).collect()}
+    assert pains["technology_analysis"] == ("Legacy technology stack detected (2 legacy technologies)", ["2 legacy technologies"], "Technology modernization roadmap")
+    assert pains["size_analysis"] == ("Mid-size company scaling challenges", ["scaling", "growth"], "Process standardization")
