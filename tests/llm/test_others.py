@@ -116,17 +116,40 @@ def test_audio_empty(spark):
 # ---- licences
 
 
+MIT = next(t for _, t in licenses.TEMPLATES if t.startswith("Permission is hereby granted, free") and "AS IS" in t)
+PARAGRAPHS = MIT.replace(" The above copyright", "\n\nThe above copyright").replace(" THE SOFTWARE IS PROVIDED", "\n\nTHE SOFTWARE IS PROVIDED")
+
+
+def wrapped(text, width, mark=""):
+    """Lines of up to so many characters, each after a comment mark, as in the head of a source file."""
+    import textwrap
+
+    return "\n".join(f"{mark}{line}".rstrip() for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""]))
+
+
 def test_licences_by_hand(spark):
-    mit = licenses.TEMPLATES[2][1]
-    rows = [(1, None), (2, ""), (3, "x\nReleased under the M.I.T. license\ny"), (4, "intro words here\n\n" + mit.replace(". ", ".\n") + "\n\nmore"), (5, "Licensed under CC BY-NC 4.0"), (6, "licensed to drive"), (7, "word " * 20000)]
+    apache = next(t for _, t in licenses.TEMPLATES if "you may not use this file" in t)
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and "Neither the name" in t)
+    code = "\n".join(f"int f{i}(int x) {{ return x + {i}; }}" for i in range(400))
+    rows = [
+        (1, None), (2, ""), (3, "x\nReleased under the M.I.T. license\ny"), (4, "intro words here\n\n" + MIT.replace(". ", ".\n") + "\n\nmore"), (5, "Licensed under CC BY-NC 4.0"), (6, "licensed to drive"), (7, "word " * 20000),
+        (8, "Copyright (c) 2020 Jo Doe\n\n" + PARAGRAPHS + "\n\n" + code), (9, wrapped("Copyright 2020 Jo Doe\n\n" + PARAGRAPHS, 70, "# ") + "\nimport os\n" + code), (10, "The pictures on this page are mine. Licensed under CC BY 4.0. Please do not ask for more of them, there are none."),
+        (11, "/*\n" + wrapped(apache.replace(" http", "\n\nhttp").replace(" Unless", "\n\nUnless"), 60, " * ") + "\n */\n" + code), (12, code + "\n" + wrapped(bsd, 50, "// ")), (13, "This work is licensed under the GNU General Public License, version 2."),
+        (14, "all of it is, as said, licensed\nunder the MIT\nlicense and so on"), (15, MIT + "\n" + apache), (8, "Copyright (c) 2020 Jo Doe\n\n" + PARAGRAPHS + "\n\n" + code), (16, "Licensed under CC BY 4.0. " * 3000),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dice", F.lit("clash"))
-    got = {r.doc_id: r for r in licenses.scanned(df).collect()}
+    found = licenses.scanned(df).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
     assert got[4].license == "MIT" and got[4].dice == 1.0 and got[5].license == "CC-BY-NC-4.0"
     assert [got[i].license for i in (1, 2, 6, 7)] == [None] * 4 and got[1].n_matches == 0
+    assert [(got[i].licenses, got[i].n_matches) for i in (8, 9, 10, 11, 12, 13, 14, 16)] == [("MIT", 1), ("MIT", 1), ("CC-BY-4.0", 1), ("Apache-2.0", 1), ("BSD-3-Clause", 1), ("GPL-2.0", 1), ("MIT", 1), ("CC-BY-4.0", 3000)]
+    assert got[15].licenses == "Apache-2.0,MIT" and got[15].n_matches == 2
     assert licenses.scanned(df.limit(0)).count() == 0
 
 
 def test_no_match_is_passed_over():
+    """Any window that reaches the threshold holds a bigram with a telling word, so it has an anchor."""
     known = licenses.template_table()
     words = set(licenses.telling_words(known))
     for t in known:
@@ -134,6 +157,12 @@ def test_no_match_is_passed_over():
         assert t["n"] - with_word < licenses.THRESHOLD / 2 * (t["lo"] + t["n"])
 
 
+def test_an_equal_score_takes_the_first_by_name(spark):
+    two = (("B", "one two three four five six"), ("A", "one two three four five six"))
+    got = licenses.scanned(spark.createDataFrame([(1, "x one two three four five six y")], "doc_id long, text string"), templates=two).first()
+    assert (got.license, got.licenses, got.n_matches) == ("A", "A", 1)
+
+
 # ---- URLs
 
 
