@@ -24,4 +24,5 @@ ORACLES = {
     "op5_quality_rules": oracles.ORACLE_5,
     "op6_mixing_sources": mixing.ORACLE_6,
     "op8_license_scans": licenses.ORACLE_8,
+    "op9_url_filters": urls.ORACLE_9,
 }

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from itertools import combinations
 
 import compare
 import numpy as np
@@ -184,10 +185,36 @@ def test_mined_rules_equal_brute_force(spark):
     for r in rules:
         hits = [b for s, b in sets if set(r.tokens) <= s]
         assert abs(sum(hits) / len(hits) - r.confidence) < 1e-6 and len(hits) >= urls.MIN_COUNT
+    every = {x for s, _ in sets for k in (1, 2, 3) for x in combinations(sorted(s), k)}
+    sure = {x: sum(b for s, b in sets if set(x) <= s) / sum(set(x) <= s for s, _ in sets) for x in every if sum(b for s, b in sets if set(x) <= s) >= urls.MIN_COUNT}
+    sure = {x: c for x, c in sure.items() if c >= urls.MIN_CONFIDENCE}
+    assert {tuple(r.tokens) for r in rules} == {x for x, c in sure.items() if not any(set(y) < set(x) and d >= c for y, d in sure.items())}
     fit = {r.url for r in urls.matched(df, spark.createDataFrame(rules)).collect()}
     assert fit == {u for (u, _), (s, _) in zip(rows, sets) if any(set(r.tokens) <= s for r in rules)}
 
 
+@pytest.mark.parametrize("postings", [50_000, 0])
+def test_pages_are_judged_by_mined_rules(spark, tmp_path, con, monkeypatch, postings):
+    """The registered query on planted labels: mined rules decide where no listed rule does; by broadcast and by shuffle."""
+    import duckdb
+
+    monkeypatch.setattr(urls, "BROADCAST_POSTINGS", postings)
+    page = lambda i: (i, f"http://www.{'casino' if i % 3 == 0 else 'lib' + str(i % 7)}.com/{'win' if i % 3 == 0 else 'read'}/{i}?ref=x")
+    pages = [page(i) for i in range(300)] + [(900, None), (901, ""), (902, "no scheme"), (903, "http://www.casino.com/" + "a/" * 50000), (904, page(3)[1]), (904, page(3)[1]), (905, "http://x.casino.com/en/1"), (906, "http://X.Example.com/en/7")]
+    spark.createDataFrame(pages, "page_id long, url string").withColumn("html", F.lit("")).write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(i, int(i % 3 != 0 or i % 30 == 0), 0) for i in range(0, 300, 2)] + [(1, None, None), (3, 0, 0), (3, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = duckdb.connect()
+    for t in ("pages", "labels"):
+        own.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = compare.rows_of(urls.op9_url_filters(spark, str(tmp_path))), compare.oracle_rows(own, urls.ORACLE_9)
+    assert got == want and len(got[1]) == len(pages)
+    verdict = {r.page_id: r.verdict for r in urls.op9_url_filters(spark, str(tmp_path)).collect()}
+    assert verdict[3] == verdict[903] == verdict[904] == "block" and verdict[1] == verdict[900] == verdict[902] == "allow" and verdict[905] == "block" and verdict[906] == "allow"
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judged(none, none.select("url", F.lit(True).alias("bad"))).count() == 0
+
+
 # ---- pipeline
 
 
