@@ -241,7 +241,10 @@ def test_repeats_are_maximal(spark):
 
 
 def test_repeats_are_extended_both_ways():
-    assert substrings.maximal([(4, 2, 1, 10), (6, 3, 1, 12), (3, 1, 1, 9), (9, 1, 2, 15), (20, 1, 1, 26)], 20) == [(3, 25, 1, 9), (9, 20, 2, 15), (20, 20, 1, 26)]
+    spans = [(0, 4, 2, 1, 10), (0, 6, 3, 1, 12), (0, 3, 1, 1, 9), (0, 9, 1, 2, 15), (0, 20, 1, 1, 26), (2, 4, 1, 1, 10), (2, 2, 9, 1, 8)]
+    got = substrings.maximal(*np.array(spans, np.int64).T, 20)
+    assert [tuple(map(int, x)) for x in zip(*got)] == [(0, 3, 25, 1, 9), (0, 9, 20, 2, 15), (0, 20, 20, 1, 26), (2, 2, 28, 1, 8)]
+    assert all(len(x) == 0 for x in substrings.maximal(*[np.zeros(0, np.int64)] * 5, 20))
 
 
 def test_substrings_edges(odd, empty):

@@ -110,6 +110,70 @@ def test_near_copies_of_vectors_are_found(spark):
     assert len({got[i] for i in range(40)}) == 40
 
 
+def linked_by_brute_force(fps):
+    """Components over all pairs of fingerprints: most equal integers at one offset, two at least, then the share of differing bits."""
+    ids = sorted(fps)
+    root = {d: d for d in ids}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = np.array(fps[a], np.int64), np.array(fps[b], np.int64)
+            at, to = np.nonzero(x[:, None] == y[None])
+            if len(at) < audio.MIN_VOTES:
+                continue
+            offsets, votes = np.unique(at - to, return_counts=True)
+            best = max(zip(votes.tolist(), (-abs(offsets)).tolist(), offsets.tolist()))
+            start, shift = max(best[2], 0), max(-best[2], 0)
+            n = min(len(x) - start, len(y) - shift)
+            if best[0] >= audio.MIN_VOTES and n >= audio.MIN_OVERLAP:
+                wrong = np.bitwise_count((x[start : start + n] ^ y[shift : shift + n]) & 0xFFFFFFFF).sum()
+                if wrong <= audio.MAX_BIT_ERROR * 32 * n:
+                    p, q = sorted((top(a), top(b)))
+                    root[q] = p
+    return {d: top(d) for d in ids}
+
+
+def test_query_recall_against_brute_force(spark, small):
+    """The registered query on its table: no wrong link, and at least 0.9 of the pairs that share a class by all-pairs comparison."""
+    rows = audio.op3_media_columns(spark, small).collect()
+    table = spark.read.parquet(f"{small}/embeddings.parquet")
+    assert len(rows) == table.count()
+    fps = {r.rec_id: r.fp for r in audio.fingerprints(audio.played(table)).collect() if r.fp}
+    want, got = linked_by_brute_force(fps), {r.rec_id: r.class_id for r in rows}
+    pairs = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+    assert all(want[r.rec_id] == want[r.class_id] for r in rows if r.rec_id in want)
+    assert pairs and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_a_common_integer_does_not_stand_between_copies(spark):
+    """All recordings begin with one passage; noisy copies are found all the same."""
+    rng = np.random.default_rng(11)
+    head, rows = rng.normal(0, 0.3, 20), []
+    for i in range(60):
+        v = np.concatenate([head, rng.normal(0, 0.3, 60)])
+        rows += [(i, v.tolist()), (100 + i, (v + rng.normal(0, 0.01, 80)).tolist())]
+    played = audio.played(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    want = linked_by_brute_force({r.rec_id: r.fp for r in audio.fingerprints(played).collect()})
+    got = {r.rec_id: r.class_id for r in audio.aligned(played).collect()}
+    pairs = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+    assert len(pairs) > 45 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_audio_of_shared_ids_and_clashing_columns(spark):
+    a, b = melody(21), melody(22)
+    rows = [(1, a), (1, b), (2, b), (None, a), (3, melody(23)), (None, melody(24))]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes()), "x", 0) for i, x in rows], "rec_id long, pcm binary, fp string, offset int")
+    got = [(r.rec_id, r.class_id) for r in audio.aligned(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1), (1, 1), (2, 1), (None, 1), (3, 3), (None, None)]))
+    odd = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (3, [None, 0.5], "x"), (3, [None, 0.5], "x")], "vec_id long, embedding array<float>, pcm string")
+    assert audio.played(odd).count() == 4 and audio.aligned(audio.played(odd)).count() == 4
+
+
 def test_audio_empty(spark):
     assert audio.aligned(spark.createDataFrame([], "rec_id long, pcm binary")).count() == 0
 
