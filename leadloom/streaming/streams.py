@@ -1,7 +1,9 @@
 """Streams over event tables. Every ``stream_x`` is a transform that works on streaming and batch frames alike.
 
-Windowed state carries a watermark (default 10 minutes) so that it can be dropped; in append mode rows later than it are
-left out. Times are event times in ``ts``.
+All state can be dropped: windows once the watermark (default 10 minutes behind the latest event) passes their end, a job's
+state once the job has been idle for a while, ids once they are older than the watermark. In append mode a result is given out
+when it is final, and rows later than the watermark are left out and counted by Spark (``late_rows``); in update mode every
+change is given out. Times are event times in ``ts``.
 """
 
 from __future__ import annotations
@@ -9,13 +11,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg
 from ..functions.graph import shared_dir
+from ..operators import cleaning, scoring, validation
 
 LATE = "10 minutes"
+IDLE = "1 day"
 TERMINAL = ("success", "failure")
 
 
@@ -23,33 +27,44 @@ def _timed(df: DataFrame, late: str = LATE) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def stream_job_progress(events: DataFrame) -> DataFrame:
-    """Latest state per job: ``job_id, job_status, percentage, elapsed, remaining`` (seconds), from the first to the last event."""
-    t = events.withColumn("ts", F.col("ts").cast("timestamp"))
+def _sessions(events: DataFrame, idle: str, late: str):
+    """Events of a job up to an idle time: the group that a job's state is held for."""
+    return _timed(events, late).groupBy("job_id", F.session_window("ts", idle).alias("w"))
+
+
+def _begun():
+    return F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started")
+
+
+def stream_job_progress(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
+    """Latest state of each run of a job: ``job_id, started, job_status, percentage, elapsed, remaining`` (seconds, from its first to its last event)."""
     latest = F.struct("ts", "event_id")
-    a = t.groupBy("job_id").agg(F.max_by("job_status", latest).alias("job_status"), F.max_by("current_items", latest).alias("done"), F.max_by("total_items", latest).alias("total"), F.min("ts").alias("start"), F.max("ts").alias("last"))
+    a = _sessions(events, idle, late).agg(F.max_by("job_status", latest).alias("job_status"), F.max_by("current_items", latest).alias("done"), F.max_by("total_items", latest).alias("total"), F.min("ts").alias("start"), F.max("ts").alias("last"))
     elapsed = F.unix_timestamp("last") - F.unix_timestamp("start")
     pct = F.when(F.col("total") > 0, 100.0 * F.col("done") / F.col("total")).otherwise(0.0)
     remaining = F.when(F.col("done") > 0, F.round(elapsed * (F.col("total") - F.col("done")) / F.col("done"), 3))
-    return a.select("job_id", "job_status", F.round(pct, 4).alias("percentage"), elapsed.alias("elapsed"), remaining.alias("remaining"))
+    return a.select("job_id", _begun(), "job_status", F.round(pct, 4).alias("percentage"), elapsed.alias("elapsed"), remaining.alias("remaining"))
 
 
-def stream_lead_discovery(scores: DataFrame, least: float) -> DataFrame:
-    """Newly scored leads from ``least`` up, with an insight text."""
-    s = F.col("score")
+def stream_lead_discovery(contacts: DataFrame, companies: DataFrame, as_of: str, least: float) -> DataFrame:
+    """Contacts scored as they come, joined to the companies as they are, those from ``least`` % up, with an insight text."""
+    s = F.col("score_percentage")
     note = F.when(s >= 80, "hot lead").when(s >= 60, "warm lead").otherwise("lead")
-    return scores.where(s >= least).select("id", "name", "score", F.concat_ws(": ", note, "industry").alias("insight"))
+    scores = scoring.score_leads(contacts, companies, as_of).where(s >= least)
+    return scores.select("contact_id", "company_id", s.alias("score"), "grade", F.concat_ws(": ", note, "factors.industry").alias("insight"))
 
 
-def stream_job_completion(events: DataFrame) -> DataFrame:
-    """Per job its terminal events: how many succeeded and failed, and items done."""
-    done = events.where(F.col("job_status").isin(*TERMINAL))
-    return done.groupBy("job_id").agg(F.count_if(F.col("job_status") == "success").alias("succeeded"), F.count_if(F.col("job_status") == "failure").alias("failed"), F.sum("current_items").alias("items"))
+def stream_job_completion(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
+    """Per run of a job its terminal events: how many succeeded and failed, and items done."""
+    done = _sessions(events.where(F.col("job_status").isin(*TERMINAL)), idle, late)
+    a = done.agg(F.count_if(F.col("job_status") == "success").alias("succeeded"), F.count_if(F.col("job_status") == "failure").alias("failed"), F.sum("current_items").alias("items"))
+    return a.select("job_id", _begun(), "succeeded", "failed", "items")
 
 
-def stream_batch_progress(events: DataFrame) -> DataFrame:
-    """Highest percentage reached per job."""
-    return events.groupBy("job_id").agg(F.round(F.max(100.0 * F.col("current_items") / F.col("total_items")), 4).alias("percentage"))
+def stream_batch_progress(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
+    """Highest percentage reached per run of a job."""
+    a = _sessions(events, idle, late).agg(F.round(F.max(100.0 * F.col("current_items") / F.col("total_items")), 4).alias("percentage"))
+    return a.select("job_id", _begun(), "percentage")
 
 
 def stream_quality_alerts(records: DataFrame, window: str = "1 hour", limit: int = 5, late: str = LATE) -> DataFrame:
@@ -78,28 +93,50 @@ def stream_request_windows(requests: DataFrame, limit: int, window: str = "1 min
 
 
 def stream_unprocessed(scraped: DataFrame, late: str = LATE) -> DataFrame:
-    """New scraped rows, each id once: name and phone read from the raw JSON, with a validity flag."""
+    """New scraped rows, each id once, put through validation, cleaning and scoring.
+
+    Name and phone are read from the raw JSON; the phone is checked, the name cleaned, and the score is the share of contact
+    completeness that they give. A repeated id is left out if it comes within ``late`` of the first.
+    """
     rows = scraped.where(~F.col("is_processed")).withColumn("ts", F.col("scraped_at").cast("timestamp")).withWatermark("ts", late)
     rows = rows.dropDuplicatesWithinWatermark(["id"]) if scraped.isStreaming else rows.dropDuplicates(["id"])
-    name, phone = F.get_json_object("raw_data", "$.name"), F.regexp_replace(F.get_json_object("raw_data", "$.phone"), "[^0-9+]", "")
-    return rows.select("id", name.alias("name"), phone.alias("phone"), F.coalesce(phone.rlike(r"^\+1[0-9]{10}$"), F.lit(False)).alias("valid_phone"))
+    rows = rows.select("id", F.get_json_object("raw_data", "$.name").alias("name"), F.get_json_object("raw_data", "$.phone").alias("phone"))
+    rows = cleaning.clean_company_names(validation.validate_phones(rows, "phone"))
+    rows = rows.withColumns({"full_name": F.col("name_clean.value"), "phone_digits": F.length(F.regexp_replace(F.coalesce("phone", F.lit("")), "[^0-9]", ""))})
+    rows = scoring.with_columns(rows, **dict.fromkeys(("email", "job_title", "linkedin_url", "department", "contact_location", "bio"), "string"))
+    score = F.round(F.expr(scoring.category_sql("contact_completeness")), 6)
+    return rows.select("id", F.col("full_name").alias("name"), F.col("phone_check.normalized").alias("phone"), F.col("phone_check.status").alias("phone_status"), score.alias("score"))
 
 
-def run_to_end(source: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "complete", files: int = 2) -> DataFrame:
-    """Put ``source`` through a stream: its rows as files, one file a trigger, until all are read; the sink's rows.
+def late_rows(query) -> int:
+    """Rows that a stream left out because they came after the watermark (for grouped state, after Spark's partial grouping)."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
 
-    Complete mode keeps the last state of every group, append mode all rows ever given out. The sink and the checkpoint are
-    in the shared folder, so a restarted query goes on where it stopped.
+
+def run_files(folder: str, schema, spark: SparkSession, make: Callable[[DataFrame], DataFrame], mode: str = "append"):
+    """Run ``make`` over the Parquet files of ``folder/in``, one a trigger in order of arrival, until all are read.
+
+    Gives the sink's rows and the finished query. The sink and the checkpoint are in the same shared folder, so a run that is
+    started again goes on where it stopped.
     """
-    spark = source.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source.repartition(files).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    made = make(stream)
-    writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    made = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{base}/out").start()
+        query = writer.format("parquet").option("path", f"{folder}/out").start()
     else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")).start()
     query.awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{base}/out")
+    return spark.read.schema(made.schema).parquet(f"{folder}/out"), query
+
+
+def run_to_end(source: DataFrame, make: Callable[[DataFrame], DataFrame], time: str = "ts", files: int = 2, mode: str = "append") -> DataFrame:
+    """Put ``source`` through a stream: its rows in ``files`` parts in order of ``time``, file by file; the sink's rows."""
+    spark = source.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = F.col(time).cast("timestamp").cast("double")
+    lo, hi = source.agg(F.min(at), F.max(at)).first()
+    share = F.lit(0) if lo is None else F.least(F.floor((at - F.lit(lo)) * files / F.lit(max(hi - lo, 1e-6))), F.lit(files - 1))
+    parts = source.withColumn("__part", F.coalesce(share, F.lit(0)))
+    for k in range(files):  # one after the other, as files are read in order of arrival
+        parts.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(f"{folder}/in")
+    return run_files(folder, source.schema, spark, make, mode)[0]

@@ -201,3 +201,32 @@ def test_texts_of_signals(spark):
     pains = {r.source: (r.description, r.keywords, r.potential_solutions[0]) for r in I.pain_points(c).collect()}
     assert pains["technology_analysis"] == ("Legacy technology stack detected (2 legacy technologies)", ["2 legacy technologies"], "Technology modernization roadmap")
     assert pains["size_analysis"] == ("Mid-size company scaling challenges", ["scaling", "growth"], "Process standardization")
+
+
+# ---- streams
+
+
+def test_late_rows_are_left_out_and_counted(spark, tmp_path):
+    from leadloom.streaming import streams as T
+
+    day = 1704067200
+    slices = [[(1, day, "c"), (2, day + 30, "c"), (3, day + 7200, "c")], [(5, day + 7100, "c"), (6, day + 7300, "c")], [(4, day + 60, "c"), (7, day + 90000, "c")]]
+    rows = [spark.createDataFrame(x, "event_id long, e long, client_id string").selectExpr("event_id", "timestamp_seconds(e) as ts", "client_id") for x in slices]
+    for r in rows:
+        r.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got, query = T.run_files(str(tmp_path), rows[0].schema, spark, lambda df: T.stream_request_windows(df, 1, "5 minutes", "5 minutes"))
+    assert {r.window_start[11:]: r.requests for r in got.collect()} == {"00:00:00": 2, "01:55:00": 1, "02:00:00": 2}  # row 4 came two hours late, row 5 in time
+    assert T.late_rows(query) == 1
+
+
+def test_state_of_an_idle_job_is_given_out_and_dropped(spark, tmp_path):
+    from leadloom.streaming import streams as T
+
+    day = 1704067200
+    slices = [[(1, day, 7, "started", 0), (2, day + 600, 7, "progress", 40)], [(3, day + 3 * 86400, 7, "success", 100), (4, day + 3 * 86400, 8, "failure", 10)], [(5, day + 9 * 86400, 9, "started", 1)]]
+    rows = [spark.createDataFrame(x, "event_id long, e long, job_id long, job_status string, current_items int").selectExpr("event_id", "timestamp_seconds(e) as ts", "job_id", "job_status", "current_items", "100 as total_items") for x in slices]
+    for r in rows:
+        r.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got, query = T.run_files(str(tmp_path), rows[0].schema, spark, T.stream_job_progress)
+    assert sorted((r.job_id, r.job_status, r.percentage, r.elapsed) for r in got.collect()) == [(7, "progress", 40.0, 600), (7, "success", 100.0, 0), (8, "failure", 10.0, 0)]
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # only job 9 is still held
