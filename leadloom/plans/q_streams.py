@@ -5,9 +5,8 @@ Results are those that are final when the stream ends: windows and runs of jobs
 
 from __future__ import annotations
 
-from ..operators import scoring
 from ..streaming import streams as S
-from .q_scoring import _rows, _scores
+from .q_scoring import GRADE, WEIGHTS, _rows, _scores
 from .registry import query
 from .views import AS_OF
 
@@ -31,7 +30,7 @@ def _(t):
     return S.run_to_end(t.event_log, S.stream_job_progress)
 
 
-@query("stream_lead_discovery", _scores(scoring.WEIGHTS) + f""", g AS (SELECT contact_id, company_id, score_percentage AS score, {scoring.grade_sql('score_percentage')} AS grade FROM s WHERE score_percentage >= 55)
+@query("stream_lead_discovery", _scores(WEIGHTS) + f""", g AS (SELECT contact_id, company_id, score_percentage AS score, {GRADE} AS grade FROM s WHERE score_percentage >= 55)
 SELECT g.*, concat_ws(': ', CASE WHEN score >= 80 THEN 'hot lead' WHEN score >= 60 THEN 'warm lead' ELSE 'lead' END, industry) AS insight FROM g LEFT JOIN companies ON id = company_id""", "companies contacts")
 def _(t):
     contacts, companies = _rows(t)
