@@ -71,9 +71,24 @@ def _(t):
     return P.relevant_links(_linked(t))
 
 
-@query("site_company_rollup", f"WITH p AS (SELECT page_id, url, {HOST.format('url')} AS domain FROM pages) SELECT domain, arg_min(url, page_id) AS source_url FROM p WHERE domain IS NOT NULL GROUP BY 1")
+def _planted(t):
+    """Pages of known content, by page_id: a title on two of three, an address on every other, a description on three of four, a contact's phone on every fifth."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    when = lambda test, *parts: F.when(test, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise("")
+    body = F.concat(
+        when(k % 3 != 0, "<title>Shop ", n, " Inc! | Home</title>"), when(k % 2 == 0, "<div>", (k % 90 + 10).cast("string"), " Main Street, Hartford, CT 06101</div>"),
+        when(k % 4 != 0, "<p>We have sold boats and oars to people of this town for ", n, " years, and repair them.</p>"), when(k % 5 == 0, '<div class="team-member"><b>Mary Lee</b> 212-555-', F.lpad((k % 9000 + 1000).cast("string"), 4, "0"), "</div>"),
+    )
+    return t.pages.withColumn("html", body)
+
+
+@query("site_company_rollup", f"""WITH p AS (SELECT page_id, url, {HOST.format('url')} AS domain, CASE WHEN page_id % 3 <> 0 THEN 'Shop ' || page_id || ' Inc!' END AS name, CASE WHEN page_id % 2 = 0 THEN (page_id % 90 + 10) || ' Main Street, Hartford, CT 06101' END AS address,
+CASE WHEN page_id % 4 <> 0 THEN 'We have sold boats and oars to people of this town for ' || page_id || ' years, and repair them.' END AS description, CASE WHEN page_id % 5 = 0 THEN '212-555-' || lpad(CAST(page_id % 9000 + 1000 AS VARCHAR), 4, '0') END AS phone FROM pages)
+SELECT domain, arg_max(name, page_id) FILTER (name IS NOT NULL) AS name, arg_min(phone, page_id) FILTER (phone IS NOT NULL) AS phone, arg_max(address, page_id) FILTER (address IS NOT NULL) AS address,
+arg_max(description, page_id) FILTER (description IS NOT NULL) AS description, arg_min(url, page_id) AS source_url FROM p WHERE domain IS NOT NULL GROUP BY 1""")
 def _(t):
-    return P.site_company_rollup(t.pages, P.page_company_info(t.pages), P.page_contacts(_with_contacts(t))).select("domain", "source_url")
+    pages = _planted(t)
+    return P.site_company_rollup(pages, P.page_company_info(pages), P.page_contacts(pages))
 
 
 def _signed(t):
