@@ -4,70 +4,117 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import filled, first_of, for_duckdb
+from ..functions.rules import filled
 from ..operators import enrichment as N
 from ..operators import estimation as E
 from .q_select import HOST
 from .registry import query
 
-P = "p AS (SELECT *, coalesce(replace(technologies_csv, ',', ' '), '') AS tech_text, CAST(id % 3 = 0 AS INT) AS n_social, CAST(CASE WHEN id % 9 = 0 THEN NULL ELSE id * 20000 END AS BIGINT) AS funding_amount FROM companies)"
-SIZED = "coalesce(" + ", ".join(s for _, s, _ in E.SIZE_METHODS) + ")"
+#: The rules once more, by hand.
+def _hits(column: str, words: str) -> str:
+    """How many of the comma-separated words are part of the lower-cased value."""
+    return f"len(list_filter(string_split('{words}', ','), lambda w: contains(lower(coalesce({column}, '')), w)))"
 
 
-def _funded(t):
-    return t.companies.withColumn("funding_amount", F.when(F.col("id") % 9 != 0, F.col("id") * 20000))
+def _most(column: str, **groups: str) -> str:
+    """The first of the groups with the most words in the value."""
+    counts = ", ".join(_hits(column, words) for words in groups.values())
+    return f"(SELECT CASE WHEN list_max(h) > 0 THEN {list(groups)}[list_position(h, list_max(h))] END FROM (SELECT [{counts}] AS h))"
 
 
-for _name, _op, _sql in (("size_from_employees", E.size_from_employees, E.SIZE_FROM_EMPLOYEES), ("size_from_keywords", E.size_from_keywords, E.SIZE_FROM_KEYWORDS), ("size_from_technologies", E.size_from_technologies, E.SIZE_FROM_TECH), ("size_from_web_presence", E.size_from_web_presence, E.SIZE_FROM_WEB), ("size_from_context", E.size_from_context, E.SIZE_FROM_CONTEXT)):
+P = "p AS (SELECT *, replace(technologies_csv, ',', ' ') AS tech, id % 3 = 0 AS has_social, CASE WHEN id % 9 <> 0 THEN id * 20000 END AS funds FROM companies)"
+BY_EMPLOYEES = "CASE WHEN employee_count > 1000 THEN 'enterprise' WHEN employee_count > 250 THEN 'large' WHEN employee_count > 50 THEN 'medium' WHEN employee_count > 10 THEN 'small' WHEN employee_count IS NOT NULL THEN 'startup' END"
+BY_WORDS = _most(
+    "description", startup="startup,founded,early stage,seed,pre-seed,stealth,emerging,new venture,bootstrap", small="small,boutique,local,family,independent,artisan,craft,niche,specialized",
+    medium="growing,expanding,regional,mid-size,established,mature,scaling", large="large,major,leading,prominent,significant,substantial,nationwide,multi-location",
+    enterprise="enterprise,global,international,fortune,multinational,corporation,conglomerate,worldwide,industry leader,market leader",
+)
+BY_TECH = _most(
+    "tech", startup="mvp,prototype,beta,stealth mode,pre-launch,proof of concept", small="wordpress,squarespace,wix,shopify basic,basic hosting,shared hosting", medium="dedicated server,cloud hosting,cdn,professional email,crm system",
+    large="enterprise software,custom development,multiple domains,advanced analytics", enterprise="enterprise architecture,microservices,kubernetes,enterprise security,data centers,global infrastructure",
+)
+_POINTS = """((website IS NOT NULL)::INT + coalesce(starts_with(website, 'https://'), false)::INT + 2 * coalesce(contains(email, '@') AND NOT regexp_matches(lower(email), '@(gmail|yahoo|hotmail|outlook)[.]com$'), false)::INT
++ has_social::INT + coalesce(len(string_split(website, '.')) > 2, false)::INT)"""
+BY_WEB = f"CASE WHEN {_POINTS} < 2 THEN 'startup' WHEN {_POINTS} < 4 THEN 'small' WHEN {_POINTS} < 6 THEN 'medium' ELSE 'large' END"
+BY_CONTEXT = "CASE WHEN regexp_matches(lower(industry), 'finance|banking|insurance|automotive|energy') THEN 'large' WHEN regexp_matches(lower(industry), 'consulting|design|marketing|freelance') THEN 'small' WHEN regexp_matches(lower(city), 'new york|san francisco|london|tokyo|singapore') THEN 'medium' END"
+_SIZE = f"""z AS (SELECT *, {BY_EMPLOYEES} AS z1, {BY_WORDS} AS z2, {BY_TECH} AS z3, {BY_WEB} AS z4, {BY_CONTEXT} AS z5 FROM p),
+s AS (SELECT *, coalesce(z1, z2, z3, z4, z5) AS estimated_size, concat_ws(',', CASE WHEN z1 IS NOT NULL THEN 'employee_count' END, CASE WHEN z2 IS NOT NULL THEN 'keyword_analysis' END, CASE WHEN z3 IS NOT NULL THEN 'technology_analysis' END, 'website_complexity', CASE WHEN z5 IS NOT NULL THEN 'context_analysis' END) AS size_methods,
+  round((CASE WHEN z1 IS NULL THEN 0 ELSE 0.9::DOUBLE END + CASE WHEN z2 IS NULL THEN 0 ELSE 0.6::DOUBLE END + CASE WHEN z3 IS NULL THEN 0 ELSE 0.5::DOUBLE END + 0.4::DOUBLE + CASE WHEN z5 IS NULL THEN 0 ELSE 0.3::DOUBLE END) / ((z1 IS NOT NULL)::INT + (z2 IS NOT NULL)::INT + (z3 IS NOT NULL)::INT + 1 + (z5 IS NOT NULL)::INT), 6) AS size_confidence FROM z)"""
+_RANGE = "CASE estimated_size WHEN 'startup' THEN 1 WHEN 'small' THEN 11 WHEN 'medium' THEN 51 WHEN 'large' THEN 251 ELSE 1001 END AS size_min, CASE estimated_size WHEN 'startup' THEN 10 WHEN 'small' THEN 50 WHEN 'medium' THEN 250 WHEN 'large' THEN 1000 ELSE 10000 END AS size_max"
+_BASE = "CASE WHEN employee_count > 0 AND industry IS NOT NULL THEN employee_count::BIGINT * CASE lower(industry) WHEN 'technology' THEN 200000 WHEN 'finance' THEN 300000 WHEN 'healthcare' THEN 150000 WHEN 'consulting' THEN 180000 WHEN 'manufacturing' THEN 120000 WHEN 'retail' THEN 80000 WHEN 'education' THEN 60000 WHEN 'nonprofit' THEN 40000 ELSE 150000 END END"
+_ENT, _MID, _BASIC = _hits("tech", "kubernetes,microservices,enterprise,oracle,salesforce,sap,aws enterprise,azure enterprise"), _hits("tech", "aws,azure,google cloud,docker,redis,postgresql,mongodb,elasticsearch"), _hits("tech", "wordpress,shopify,squarespace,wix,basic hosting,shared hosting")
 
-    @query(_name, for_duckdb(f"WITH {P} SELECT id, {_sql} AS size FROM p"), "companies")
-    def _(t, op=_op):
-        return op(t.companies).select("id", "size")
+
+def _by_size(*values: int) -> str:
+    return "CASE estimated_size " + " ".join(f"WHEN '{n}' THEN {v}::BIGINT" for n, v in zip(("startup", "small", "medium", "large", "enterprise"), values, strict=True)) + " END"
+
+
+def _by_tech(*values: int) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {v}::BIGINT" for test, v in zip((f"{_ENT} > 0", f"{_MID} > 2", f"{_MID} > 0", f"{_BASIC} > 0"), values, strict=True)) + " END"
+
+
+def _by_funds(early: str, growth: str, late: str) -> str:
+    return f"CASE WHEN funds > 0 THEN floor(funds::DOUBLE * CASE WHEN funds < 1000000 THEN {early}::DOUBLE WHEN funds < 10000000 THEN {growth}::DOUBLE ELSE {late}::DOUBLE END)::BIGINT END"
 
 
-def _methods(methods) -> str:
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN {sql} IS NOT NULL THEN '{name}' END" for name, sql in methods) + ")"
+MODELS = {
+    "employee_industry_model": (f"floor({_BASE} * 0.5)::BIGINT", f"floor({_BASE} * 1.5)::BIGINT", _BASE),
+    "size_based_model": (_by_size(0, 100000, 1000000, 10000000, 50000000), _by_size(500000, 5000000, 50000000, 500000000, 500000000), _by_size(250000, 2550000, 25500000, 255000000, 100000000)),
+    "technology_analysis": (_by_tech(10000000, 1000000, 100000, 10000), _by_tech(500000000, 50000000, 10000000, 1000000), _by_tech(50000000, 10000000, 2000000, 200000)),
+    "funding_based_model": (_by_funds("0.1", "0.3", "0.8"), _by_funds("0.5", "1.5", "3.0"), _by_funds("0.3", "0.9", "1.9")),
+}
+_REVENUE = f"""v AS (SELECT *, {', '.join(f'{m[2]} AS v{k}' for k, m in enumerate(MODELS.values(), 1))} FROM s),
+r AS (SELECT *, coalesce(v1, v2, v3, v4) AS estimate, concat_ws(',', CASE WHEN v1 IS NOT NULL THEN 'employee_industry_model' END, CASE WHEN v2 IS NOT NULL THEN 'size_based_model' END, CASE WHEN v3 IS NOT NULL THEN 'technology_analysis' END, CASE WHEN v4 IS NOT NULL THEN 'funding_based_model' END) AS revenue_methods,
+  round((CASE WHEN v1 IS NULL THEN 0 ELSE 0.7::DOUBLE END + CASE WHEN v2 IS NULL THEN 0 ELSE 0.5::DOUBLE END + CASE WHEN v3 IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN v4 IS NULL THEN 0 ELSE 0.6::DOUBLE END) / ((v1 IS NOT NULL)::INT + (v2 IS NOT NULL)::INT + (v3 IS NOT NULL)::INT + (v4 IS NOT NULL)::INT), 6) AS revenue_confidence FROM v)"""
+_BAND = "CASE WHEN estimate IS NULL THEN NULL WHEN estimate > 1000000000 THEN 'over_1b' WHEN estimate > 500000000 THEN '500m_1b' WHEN estimate > 100000000 THEN '100m_500m' WHEN estimate > 50000000 THEN '50m_100m' WHEN estimate > 10000000 THEN '10m_50m' WHEN estimate > 1000000 THEN '1m_10m' ELSE 'under_1m' END"
+_EXEC, _DECIDE, _INFLUENCE = (f"coalesce(regexp_matches(lower(job_title), '{w}'), false)" for w in ("ceo|cto|cfo|coo|president|founder|owner", "director|vp|vice president|head|manager", "lead|senior|principal|architect"))
+_VALUE = f"""least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN {_EXEC} THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN {_DECIDE} THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN {_INFLUENCE} THEN 0.2::DOUBLE ELSE 0 END
++ CASE c_size WHEN 'enterprise' THEN 0.2::DOUBLE WHEN 'large' THEN 0.15::DOUBLE WHEN 'medium' THEN 0.1::DOUBLE ELSE 0 END + CASE lower(seniority_level) WHEN 'executive' THEN 0.15::DOUBLE WHEN 'senior' THEN 0.1::DOUBLE WHEN 'mid' THEN 0.05::DOUBLE ELSE 0 END)"""
 
 
-_SIZE = f"s AS (SELECT *, {SIZED} AS estimated_size, round({E.mean_sql([(s, w) for _, s, w in E.SIZE_METHODS])}, 6) AS size_confidence, {_methods([(n, s) for n, s, _ in E.SIZE_METHODS])} AS size_methods FROM p)"
-_RANGE = ", ".join(first_of([(f"estimated_size = '{s}'", str(r[k])) for s, r in E.SIZE_RANGES.items()]) + f" AS size_{n}" for k, n in ((0, "min"), (1, "max")))
+def _funded(t):
+    return t.companies.withColumn("funding_amount", F.when(F.col("id") % 9 != 0, F.col("id") * 20000))
+
 
+for _name, _op, _sql in (("size_from_employees", E.size_from_employees, BY_EMPLOYEES), ("size_from_keywords", E.size_from_keywords, BY_WORDS), ("size_from_technologies", E.size_from_technologies, BY_TECH), ("size_from_web_presence", E.size_from_web_presence, BY_WEB), ("size_from_context", E.size_from_context, BY_CONTEXT)):
 
-@query("estimate_size", for_duckdb(f"WITH {P}, {_SIZE} SELECT id, estimated_size, {_RANGE}, size_confidence, size_methods FROM s"), "companies")
+    @query(_name, f"WITH {P} SELECT id, {_sql} AS size FROM p", "companies")
+    def _(t, op=_op):
+        return op(t.companies).select("id", "size")
+
+
+@query("estimate_size", f"WITH {P}, {_SIZE} SELECT id, estimated_size, {_RANGE}, size_confidence, size_methods FROM s", "companies")
 def _(t):
     return E.estimate_size(t.companies).select("id", "estimated_size", "size_min", "size_max", "size_confidence", F.array_join("size_methods", ",").alias("size_methods"))
 
 
 for _name, _method in (("revenue_from_employees", "employee_industry_model"), ("revenue_from_size", "size_based_model"), ("revenue_from_technologies", "technology_analysis"), ("revenue_from_funding", "funding_based_model")):
-    _r = next(s for n, s, _ in E.REVENUE_METHODS if n == _method)
+    _low, _high, _mean = MODELS[_method]
 
-    @query(_name, for_duckdb(f"WITH {P}, {_SIZE} SELECT id, {_r[0]} AS low, {_r[1]} AS high, {_r[2]} AS estimate FROM s"), "companies")
+    @query(_name, f"WITH {P}, {_SIZE} SELECT id, {_low} AS low, {_high} AS high, {_mean} AS estimate FROM s", "companies")
     def _(t, method=_method):
         return E.revenue_from(E.estimate_size(_funded(t)), method).select("id", F.col("revenue.min").alias("low"), F.col("revenue.max").alias("high"), F.col("revenue.estimate").alias("estimate"))
 
 
-_ESTIMATE = "coalesce(" + ", ".join(s[2] for _, s, _ in E.REVENUE_METHODS) + ")"
-_REVENUE = f"r AS (SELECT *, {_ESTIMATE} AS estimate, round({E.mean_sql([(s[2], w) for _, s, w in E.REVENUE_METHODS])}, 6) AS revenue_confidence, {_methods([(n, s[2]) for n, s, _ in E.REVENUE_METHODS])} AS revenue_methods FROM s)"
-
-
-@query("estimate_revenue", for_duckdb(f"WITH {P}, {_SIZE}, {_REVENUE} SELECT id, estimate, revenue_confidence, revenue_methods FROM r"), "companies")
+@query("estimate_revenue", f"WITH {P}, {_SIZE}, {_REVENUE} SELECT id, estimate, revenue_confidence, revenue_methods FROM r", "companies")
 def _(t):
     return E.estimate_revenue(E.estimate_size(_funded(t))).select("id", F.col("revenue.estimate").alias("estimate"), "revenue_confidence", F.array_join("revenue_methods", ",").alias("revenue_methods"))
 
 
-@query("revenue_category", for_duckdb(f"WITH {P}, {_SIZE}, {_REVENUE} SELECT {E.category_sql('estimate')} AS category, count(*) AS companies FROM r GROUP BY 1"), "companies")
+@query("revenue_category", f"WITH {P}, {_SIZE}, {_REVENUE} SELECT {_BAND} AS category, count(*) AS companies FROM r GROUP BY 1", "companies")
 def _(t):
     return E.estimate_revenue(E.estimate_size(_funded(t))).groupBy(F.col("revenue_category").alias("category")).agg(F.count("*").alias("companies"))
 
 
-@query("estimate_companies", for_duckdb(f"""WITH {P}, {_SIZE}, {_REVENUE} SELECT id, estimated_size, {E.category_sql('estimate')} AS revenue_category,
-round(CASE WHEN size_confidence > 0 AND revenue_confidence > 0 THEN (size_confidence + revenue_confidence) / 2 WHEN size_confidence > 0 THEN size_confidence * 0.8 WHEN revenue_confidence > 0 THEN revenue_confidence * 0.8 ELSE 0 END, 6) AS confidence FROM r"""), "companies")
+@query("estimate_companies", f"""WITH {P}, {_SIZE}, {_REVENUE} SELECT id, estimated_size, {_BAND} AS revenue_category,
+round(CASE WHEN size_confidence > 0 AND revenue_confidence > 0 THEN (size_confidence + revenue_confidence) / 2 WHEN size_confidence > 0 THEN size_confidence * 0.8::DOUBLE WHEN revenue_confidence > 0 THEN revenue_confidence * 0.8::DOUBLE ELSE 0 END, 6) AS confidence FROM r""", "companies")
 def _(t):
     return E.estimate_companies(_funded(t)).select("id", "estimated_size", "revenue_category", "confidence")
 
 
-@query("estimate_contact_value", for_duckdb(f"""WITH {P}, {_SIZE}, c AS (SELECT id AS c_id, estimated_size AS c_size FROM s), v AS (SELECT id, round({E.VALUE}, 6) AS value_score, concat_ws(',', {', '.join(f"CASE WHEN {t} THEN '{n}' END" for n, t in E.VALUE_METHODS)}) AS value_methods FROM contacts LEFT JOIN c ON company_id = c_id)
-SELECT id, value_score, CASE WHEN value_score >= 0.8 THEN 'high' WHEN value_score >= 0.6 THEN 'medium' ELSE 'low' END AS priority, value_methods FROM v"""), "companies contacts")
+@query("estimate_contact_value", f"""WITH {P}, {_SIZE}, c AS (SELECT id AS c_id, estimated_size AS c_size FROM s), v AS (SELECT id, round({_VALUE}, 6) AS value_score,
+  concat_ws(',', CASE WHEN {_EXEC} THEN 'executive_role' END, CASE WHEN {_DECIDE} THEN 'decision_maker_role' END, CASE WHEN {_INFLUENCE} THEN 'influencer_role' END, CASE WHEN c_id IS NOT NULL THEN 'company_size_factor' END, CASE WHEN seniority_level IS NOT NULL THEN 'seniority_analysis' END) AS value_methods FROM contacts LEFT JOIN c ON company_id = c_id)
+SELECT id, value_score, CASE WHEN value_score >= 0.8 THEN 'high' WHEN value_score >= 0.6 THEN 'medium' ELSE 'low' END AS priority, value_methods FROM v""", "companies contacts")
 def _(t):
     return E.estimate_contact_value(t.contacts, E.estimate_size(t.companies)).select("id", "value_score", "priority", F.array_join("value_methods", ",").alias("value_methods"))
 
