@@ -198,21 +198,33 @@ def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor:
     return body.join(marks, "id", "left").join(late, "id", "left")
 
 
-def maximal(spans: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """Matches ``(start, windows, first_id, first_start)`` extended both ways: those that adjoin on one diagonal become one repeat.
+def maximal(text: np.ndarray, start: np.ndarray, n: np.ndarray, id_: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Matches of ``n`` windows extended both ways: those of a text that adjoin on one diagonal become one repeat.
 
-    Gives ``(start, n_words, first_id, first_start)``, in order of start.
+    A match begins at ``start`` and at ``first`` in document ``id_``. Gives text, start, words, id and first of each repeat, by text and start.
     """
-    out: list[list[int]] = []
-    for start, n, id_, first in sorted(spans, key=lambda s: (s[2], s[0] - s[3], s[0])):
-        if out and out[-1][2] == id_ and out[-1][0] - out[-1][3] == start - first and start <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + n - out[-1][0])
-        else:
-            out.append([start, n, id_, first])
-    return sorted((start, n + window - 1, id_, first) for start, n, id_, first in out)
+    order = np.lexsort((start, start - first, id_, text))
+    text, start, n, id_, first = (x[order] for x in (text, start, n, id_, first))
+    diagonal = start - first
+    other = np.append(True, (text[1:] != text[:-1]) | (id_[1:] != id_[:-1]) | (diagonal[1:] != diagonal[:-1]))[: len(text)]
+    stop = start + n
+    lift = np.cumsum(other) * (int(stop.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(stop + lift) - lift  # the furthest end so far on the same diagonal
+    new = np.flatnonzero(other | np.append(True, start[1:] > reach[:-1])[: len(text)])
+    words = reach[np.append(new[1:], len(text)) - 1] - start[new] + window - 1 if len(new) else start[new]
+    again = np.lexsort((start[new], text[new]))
+    return tuple(x[again] for x in (text[new], start[new], words, id_[new], first[new]))
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, n_words: long, first_doc_id: long, first_start: long>>"
+def _spans(column: pa.Array, names: tuple[str, ...]) -> list[np.ndarray]:
+    """Row numbers and the named fields of a column of lists of structs; null lists are empty."""
+    rows = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    return [rows, *(flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)]
+
+
+REPEAT = ("start", "n_words", "first_doc_id", "first_start")
+KEPT = f"doc_id long, n_words long, n_removed long, kept string, repeats array<struct<{', '.join(f'{c}: long' for c in REPEAT)}>>"
 
 
 def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -225,29 +237,34 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, a
     ordered, by a hash of the text. Extra columns are ignored; an empty table gives no rows.
     """
     low = (1 << TAG_SHIFT) - 1
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("repeats", pa.list_(pa.struct([(c, pa.int64()) for c in REPEAT])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("repeats", pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "n_words", "first_doc_id", "first_start")])))])
         for batch in batches:
-            sizes, gone, kept, repeats = [], [], [], []
-            for t, marks, late in zip(W.texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words, left, found = t.split(), 0, []
-                if marks or late:
-                    tag = _tag(t)
-                    spans = [(m["place"] - tag, m["n"], m["first_id"], m["first_place"] & low) for m in marks or [] if not m["ask"]]
-                    spans += [(m["place"] - tag, 1, m["first_id"], m["first_place"] & low) for m in late or []]
-                    found = maximal([s for s in spans if 0 <= s[0] < len(words)], window)
-                    if found:
-                        a, n = np.array([s[:2] for s in found], np.int64).T
-                        stay = ~W.covered(a, n, len(words))
-                        left = len(words) - int(stay.sum())
-                        words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                sizes.append(len(words) + left)
+            texts = W.texts_of(batch.column(1))
+            row, place, n, id_, first, ask = _spans(batch.column(2), ("place", "n", "first_id", "first_place", "ask"))
+            row, place, n, id_, first = (x[~ask.astype(bool)] for x in (row, place, n, id_, first))
+            late = _spans(batch.column(3), ("place", "first_id", "first_place"))
+            row, place, n, id_, first = (np.concatenate(x) for x in ((row, late[0]), (place, late[1]), (n, np.ones(len(late[0]), np.int64)), (id_, late[2]), (first, late[3])))
+            tags = np.zeros(len(texts), np.int64)
+            for i in np.unique(row).tolist():
+                tags[i] = _tag(texts[i])
+            start, mine = place - tags[row], place >> TAG_SHIFT == tags[row] >> TAG_SHIFT  # of rows that share a doc_id, each takes its own
+            row, start, size, id_, first = maximal(row[mine], start[mine], n[mine], id_[mine], first[mine] & low, window)
+            ends = np.searchsorted(row, np.arange(len(texts) + 1))
+            counts, gone, kept = [], [], []
+            for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                words, left = t.split(), 0
+                if a < b:
+                    stay = ~W.covered(start[a:b], size[a:b], len(words))
+                    left = len(words) - int(stay.sum())
+                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
+                counts.append(len(words) + left)
                 gone.append(left)
                 kept.append(b" ".join(words))
-                repeats.append([{"start": a, "n_words": n, "first_doc_id": None if d == NO_ID else d, "first_start": f} for a, n, d, f in found])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(repeats, schema.field("repeats").type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            fields = [pa.array(start), pa.array(size), pa.array(id_, mask=id_ == NO_ID), pa.array(first)]
+            repeats = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(fields, list(REPEAT)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), repeats], schema=schema)
 
     rows = repeated(docs, text, window, anchor).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "marks", "late")
     return rows.mapInArrow(run, KEPT)

@@ -308,7 +308,9 @@ def test_texts_with_very_many_spans(spark):
     text = " é ".join(f"token={value()}" if i % 3 else f"seed {value()} {value()}" for i in range(3000))
     rows = [(1, text, "a"), (1, text, "a"), (2, "token = " + "Ab3" * 9, None), (3, "token = " + "Ab3" * 9, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = [r for r in secrets.scan_secrets(docs).collect() if r.doc_id == 1]
+    rows = secrets.scan_secrets(docs).collect()
+    assert {r.doc_id: (r.n_live, r.n_example) for r in rows if r.doc_id > 1} == {2: (0, 0), 3: (0, 0)}  # few different characters: neither
+    got = [r for r in rows if r.doc_id == 1]
     shown = ",".join(f"{k}:{s}:{e}" for k, s, e in secrets_by_hand(text))
     assert len(got) == 2 and {r.base_sha256 for r in got} == {hashlib.sha256(shown.encode()).hexdigest()} and got[0].n_assign == 2000 and got[0].spans.count("opaque") == 2000
     cut = [r.text for r in secrets.redacted(docs).collect() if r.doc_id == 1]
@@ -316,6 +318,12 @@ def test_texts_with_very_many_spans(spark):
     assert cut == [re.sub(r"\b[a-zA-Z0-9]{22}\b", "[SECRET]", want)] * 2
 
 
+def test_a_null_owner_is_an_owner_of_its_own(spark):
+    rows = [(i, "password: Zz9Yy8Xx7Ww6Vv5Uu4", o) for i, o in enumerate([None, None, "a", "b"])] + [(7, "password: Qq1Ww2Ee3Rr4Tt5", None), (8, "password: Qq1Ww2Ee3Rr4Tt5", "a")]
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (0, 1), 7: (1, 0), 8: (1, 0)}
+
+
 def test_secret_edges(odd, empty):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(empty).count() == 0
     same = secrets.redacted(odd)
