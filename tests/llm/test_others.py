@@ -299,3 +299,22 @@ def test_pipeline_stages(spark, small):
     packed = packing.packed(kept[3], packing.tokenizer_path())
     assert packed.where("piece = 0").count() == kept[3].count()
     assert corpus_pipeline.run(spark, small).count() == packed.count()
+
+
+@pytest.mark.parametrize("rows", [
+    [],
+    [(None, None, None, None, None), (1, None, "en", "a", None), (2, "", "en", None, 0), (2, "", "en", None, 0)],
+    [(i % 7, " ".join(f"w{j * (i % 3 + 1)}" for j in range(60)) + f" token = {'Zz9Yy8Xx7Ww6Vv5Uu4' if i == 5 else 'short'} end", "en", "ab"[i % 2], 300) for i in range(21)] + [(None, " ".join(f"n{j}" for j in range(40)), "en", None, 5)],
+])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    """Empty tables, nulls in all columns, empty texts, repeated rows, and texts that share a doc_id."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out, sizes = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, out, str(tmp_path)).collect(), docs.schema)
+        sizes.append(out.count())
+    assert sizes[0] == sum(len((r[1] or "").split()) >= 20 for r in rows) and sizes[1] == sizes[2] <= sizes[0]
+    assert not out.where("text like '%Zz9Yy8%'").count()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.where("piece = 0").count() == sizes[3] and "doc_id" in got.columns
