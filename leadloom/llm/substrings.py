@@ -17,7 +17,6 @@ different stretches one row per batch travels under the anchor, which is enough
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
