@@ -23,7 +23,11 @@ def _(t):
     return P.page_title_desc(t.pages).select("page_id", "title")
 
 
-@query("page_descriptions")
+_META = """nullif(regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]*content=["''](.*?)["'']', 1), '')"""
+_FIRST = _plain("regexp_extract(html, '(?is)<p(?:\\s[^>]*)?>(.*?)(?:</p>|<p[\\s>]|</div>|</article>|$)', 1)")
+
+
+@query("page_descriptions", f"SELECT page_id, {_TITLE} AS title, CASE WHEN length(d) > 200 THEN left(d, 200) || '...' ELSE d END AS description FROM (SELECT *, coalesce({_META}, {_FIRST}) AS d FROM pages)")
 def _(t):
     return P.page_title_desc(t.pages)
 

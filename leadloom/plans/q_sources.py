@@ -12,6 +12,7 @@ from ..operators import scoring as S
 from ..sources import tables as T
 from . import pipeline as P
 from .q_dedup import _SCORED
+from .q_scoring import GRADE, WEIGHTS, _category, _scores
 from .registry import query
 from .views import AS_OF
 
@@ -138,7 +139,7 @@ def _(t):
     return found.select("id_a", "id_b", F.array_join("matching_fields", ",").alias("matching_fields"))
 
 
-@query("score_leads_flagship")
+@query("score_leads_flagship", _scores(WEIGHTS).replace("round(total * 100, 4) AS score_percentage", "round(total * 100, 4) AS score_percentage, " + ", ".join(f"round({_category(c)}, 6) AS {c}" for c in WEIGHTS)) + f" SELECT company_id, contact_id, total_score, {GRADE} AS grade, {', '.join(WEIGHTS)} FROM s", "companies contacts")
 def _(t):
     """Scores with their breakdown, as the entry point shows them."""
     from ..operators.select import host
