@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, licenses, mixing, oracles, packing, quality, secrets, simhash, substrings, urls
+from . import audio, chat, interactions, licenses, mixing, oracles, packing, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_url_filters": urls.op9_url_filters,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_filter_interaction_audit": interactions.op13_filter_interaction_audit,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_mixing_sources": mixing.ORACLE_6,
     "op8_license_scans": licenses.ORACLE_8,
     "op9_url_filters": urls.ORACLE_9,
+    "op13_filter_interaction_audit": interactions.ORACLE_13,
 }
