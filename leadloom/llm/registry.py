@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, interactions, licenses, mixing, oracles, packing, quality, ranked, secrets, simhash, substrings, urls
+from . import audio, chat, interactions, licenses, mixing, oracles, order_minhash, packing, quality, ranked, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_url_filters": urls.op9_url_filters,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_document_fingerprints": order_minhash.op11_document_fingerprints,
     "op12_ranked_lexical_search": ranked.op12_ranked_lexical_search,
     "op13_filter_interaction_audit": interactions.op13_filter_interaction_audit,
 }
