@@ -1,9 +1,9 @@
 """Duplicates: blocking keys, candidate pairs, similarities, groups and merges.
 
-Rows that share a key form a block, and all pairs of a block are candidates. A block of more than ``full`` rows is met another
-way: rows equal in all keys stand for each other, and the others pair where they share a second key too, which makes smaller
-blocks of which the same holds. Keys are host, e-mail, phone, its last ten digits and name; bands of minimum hashes over the
-name's 3-grams serve as second keys, or as keys of their own where near names are wanted (``fuzzy``).
+Rows that share a key form a block, and all pairs of a block are candidates. Keys are host, e-mail, phone, its last ten digits and
+name; bands of minimum hashes over the name's 3-grams are keys of their own where near names are wanted (``fuzzy``). In a block of
+more than ``full`` rows the shared key says little, and a pair is a candidate if something else speaks for it as well: a second
+equal key, or a near name or e-mail, found by an exact set-similarity join of 3-grams (``near_sets``) that loses no pair.
 Groups are connected components by repeated minimum, never gathered.
 """
 
@@ -13,7 +13,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import filled
@@ -27,8 +27,8 @@ COMPANY_THRESHOLDS = {"name": 0.85, "domain": 0.9, "email": 0.8, "phone": 0.8}
 CONTACT_THRESHOLDS = {"name": 0.85, "email": 0.9, "phone": 0.8}
 COMPANY_FIELDS = ("name", "domain", "website", "email", "phone", "address", "description")
 CONTACT_FIELDS = ("first_name", "last_name", "email", "phone", "job_title", "company")
-#: Blocks of up to so many rows give all their pairs, so a row has at most so many partners per key.
-FULL = 1000
+#: Blocks of up to so many rows give all their pairs; in larger ones values are near from this Jaccard similarity of their 3-grams on.
+FULL, NEAR = 1000, 0.6
 KEYS = ("host_key", "email_key", "phone_key", "phone10_key", "name_key")
 #: Minimum hashes of name 3-grams: bands of two. Names whose 3-grams have a Jaccard similarity of 0.6 share one with probability 0.99.
 BANDS, BAND_ROWS = 10, 2
@@ -70,40 +70,94 @@ def norm_keys(df: DataFrame) -> DataFrame:
     return df.withColumns(keys)
 
 
+def grams3(c: Column) -> Column:
+    """Distinct 3-grams of a text, the whole of a shorter one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1)))
+    return F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(3)))))
+
+
 def name_bands(name: Column, bands: int = BANDS, rows: int = BAND_ROWS) -> Column:
     """Array of band keys of a normalised name, null for null: minimum MD5 of its distinct 3-grams (the whole of a shorter one)."""
-    short = F.length(name) < 3
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1)))
-    grams = F.when(short, F.array(name)).otherwise(F.array_distinct(F.transform(starts, lambda i: F.substr(name, i, F.lit(3)))))
-    least = lambda k: F.array_min(F.transform(grams, lambda g: F.md5(F.concat(F.lit(f"{k}:"), g))))
+    least = lambda k: F.array_min(F.transform(grams3(name), lambda g: F.md5(F.concat(F.lit(f"{k}:"), g))))
     return F.when(name.isNotNull(), F.array(*[F.concat(*[F.substring(least(b * rows + r), 1, 12) for r in range(rows)]) for b in range(bands)]))
 
 
+def near_sets(sets: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """Exact set-similarity self-join of ``sets(group, value, grams)``: ``(group, value_a, value_b)`` with value_a < value_b.
+
+    Pairs of one group whose ``grams`` (distinct strings) have a Jaccard similarity of ``threshold`` or more, each once; ``value``
+    is unique in its group. The grams of a set are put in order of rarity in the group; two sets that are similar enough share
+    one of their first few (prefix filter), have about equal sizes (length filter) and enough left behind the shared gram
+    (position filter). Survivors are verified on the whole sets. Groups, values and sets that are null are left out, as are empty
+    sets. Rows grow with the sets and with the pairs that share a rare gram, not with the square of a group.
+    """
+    sets = sets.where("group is not null and value is not null and size(grams) > 0").select("group", "value", "grams")
+    tokens = saved(sets.select("group", "value", F.explode("grams").alias("gram")), "near-grams")
+    counts = saved(tokens.groupBy("group", "gram").agg(F.count("*").alias("n")), "near-counts")
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"])
+    ordered = tokens.join(counts, ["group", "gram"]).groupBy("group", "value").agg(rarest.alias("grams")).withColumn("size", F.size("grams"))
+    least = lambda share, n: F.ceil(F.round(share * n, 9)).cast("int")
+    head = F.slice("grams", 1, F.col("size") - least(F.lit(threshold), F.col("size")) + 1)
+    keyed = saved(ordered.select("group", "value", "grams", "size", F.posexplode(head).alias("pos", "gram")), "near-prefixes")
+    side = lambda s: keyed.select("group", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("value", "grams", "size", "pos")])
+    both = F.col("size_a") + F.col("size_b")
+    wanted = least(F.lit(threshold / (1 + threshold)), both)
+    left = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))  # positions count from 0
+    met = side("a").join(side("b"), ["group", "gram"]).where((F.col("value_a") < F.col("value_b")) & (left >= wanted))
+    met = met.where((F.col("size_b") >= threshold * F.col("size_a") - 1e-9) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9))
+    first = ~F.arrays_overlap(F.slice("grams_a", 1, F.col("pos_a")), F.slice("grams_b", 1, F.col("pos_b")))  # no earlier gram is shared
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    return met.where(first & (shared >= wanted)).select("group", "value_a", "value_b")
+
+
+def _near_pairs(leads: DataFrame, values: DataFrame, full: int, near: float) -> DataFrame:
+    """``(id_a, id_b)`` of rows of one block whose ``values(__id, kind, scope, value, grams)`` are near or equal.
+
+    A value that over ``full`` rows of the block hold is met through the first of them, to which the others are linked.
+    """
+    held = leads.join(values, (F.col("id") == F.col("__id")) & ~F.array_contains("kinds", F.col("kind")))
+    held = saved(held.select("id", F.xxhash64("block", "kind", "scope").alias("group"), F.xxhash64("value").alias("value"), "grams"), "dup-values")
+    classes = saved(held.groupBy("group", "value").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.any_value("grams").alias("grams")), "dup-classes")
+    pairs = saved(near_sets(classes, near), "dup-near")
+    members = saved(held.join(classes.drop("grams"), ["group", "value"]).where((F.col("n") <= full) | (F.col("id") == F.col("rep"))).select("group", "value", "id"), "dup-members")
+    side = lambda s: members.select("group", F.col("value").alias(f"value_{s}"), F.col("id").alias(f"id_{s}"))
+    met = pairs.join(side("a"), ["group", "value_a"]).join(side("b"), ["group", "value_b"]).select("id_a", "id_b")
+    met = met.union(members.where("id is not null").join(members.withColumnRenamed("id", "__other"), ["group", "value"]).select("id", "__other"))
+    links = held.join(classes.drop("grams"), ["group", "value"]).where((F.col("n") > full) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b").union(links)
+
+
 def dup_candidate_pairs(
-    df: DataFrame, key: str = "id", keys: tuple[str, ...] = KEYS, full: int = FULL, fuzzy: bool = False, exhaustive: bool = False
+    df: DataFrame, key: str = "id", keys: tuple[str, ...] = KEYS, full: int = FULL, fuzzy: bool = False, exhaustive: bool = False, near: float = NEAR
 ) -> DataFrame:
     """Distinct ``(id_a, id_b)`` with id_a < id_b of rows that share a key.
 
-    All pairs of a block of up to ``full`` rows. In a larger block a row with all keys equal to an earlier one's pairs with that
-    only; the rest pair with the block's first row, and with those that share a second key or name band (of larger blocks of
-    those: a third, and so on). What is left out there are pairs that agree in one key alone, held by more than ``full`` rows.
-    ``fuzzy`` adds name bands as keys. ``exhaustive`` compares all rows, for small tables only. Null keys share nothing; a null id pairs with nothing.
+    All pairs of a block of up to ``full`` rows. In a larger one a row with all keys equal to an earlier one's pairs with that
+    only; the others pair with the block's first row, and with each other where a second key is equal too (if over ``full`` rows
+    share both, the same holds for these: at most one level per kind of key) or where names, or the parts before the @ of e-mails of
+    one domain, are near: a Jaccard similarity of ``near`` or more of their 3-grams, all such pairs, however many rows the block
+    has. Rows that share one of the near values with over ``full`` others are met through the first of these, with which they pair.
+    ``fuzzy`` adds name bands as keys. ``exhaustive`` compares all rows, for small tables only. Null keys share nothing; a null id
+    pairs with nothing; an empty table gives no pairs.
     """
     if exhaustive:
         a, b = df.select(F.col(key).alias("id_a")), df.select(F.col(key).alias("id_b"))
         return a.join(b, F.col("id_a") < F.col("id_b"))
     given = [k for k in keys if k in df.columns]
     named = ["name_key"] if "name_key" in df.columns else []
-    alike = list(dict.fromkeys([*given, *named]))
+    mailed = ["email_key"] if "email_key" in df.columns else []
+    alike = list(dict.fromkeys([*given, *named, *mailed]))
     same = F.xxhash64(F.lit(0), *alike, *[F.col(k).isNull() for k in alike])
     entries = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("value")) for n, k in enumerate(given)]).cast(ENTRIES)
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), same.alias("same"), entries.alias("keys"), *named)
-    bands = name_bands(F.col("name_key")) if named else F.lit(None).cast("array<string>")
-    banded = F.transform(bands, lambda v, n: F.struct((n + len(given)).alias("kind"), v.alias("value")))
-    every = F.concat("keys", F.coalesce(banded.cast(ENTRIES), F.array().cast(ENTRIES)))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), same.alias("same"), entries.alias("keys"), *dict.fromkeys([*named, *mailed]))
+    if fuzzy and named:
+        banded = F.transform(name_bands(F.col("name_key")), lambda v, n: F.struct((n + len(given)).alias("kind"), v.alias("value")))
+        every = F.concat("keys", F.coalesce(banded.cast(ENTRIES), F.array().cast(ENTRIES)))
+    else:
+        every = F.col("keys")
     # A block is named by the hash of its kinds and values; kinds come in ascending order, so a set of keys makes one block.
     name = lambda *c: F.xxhash64(*c)
-    level = rows.select("id", "same", F.inline(every if fuzzy else F.col("keys"))).where("value is not null").select("id", "same", F.col("kind").alias("last"), name("kind", "value").alias("block"))
+    level = rows.select("id", "same", F.inline(every)).where("value is not null").select("id", "same", F.array("kind").alias("kinds"), name("kind", "value").alias("block"))
     level, second, pairs = saved(level, "dup-keys"), None, []
     while True:
         sizes = saved(level.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "dup-blocks")
@@ -119,9 +173,22 @@ def dup_candidate_pairs(
         leads = told.where("id = lead")
         pairs.append(leads.where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b")))
         if second is None:
-            second = saved(rows.select(F.col("id").alias("__id"), F.inline(every)).where("value is not null"), "dup-second")
-        more = leads.join(second, (F.col("id") == F.col("__id")) & (F.col("kind") > F.col("last")))
-        level = saved(more.select("id", "same", F.col("kind").alias("last"), name("block", "kind", "value").alias("block")), "dup-level")
+            second = saved(rows.select(F.col("id").alias("__id"), F.inline("keys")).where("value is not null"), "dup-second")
+            values = saved(_near_values(rows, given), "dup-near-values")
+        pairs.append(_near_pairs(leads, values, full, near))
+        more = leads.join(second, (F.col("id") == F.col("__id")) & (F.col("kind") > F.element_at("kinds", -1)))
+        level = saved(more.select("id", "same", F.concat("kinds", F.array("kind")).alias("kinds"), name("block", "kind", "value").alias("block")), "dup-level")
+
+
+def _near_values(rows: DataFrame, given: list[str]) -> DataFrame:
+    """``(__id, kind, scope, value, grams)``: names, and e-mails by domain, with their 3-grams."""
+    number = lambda k: F.lit(given.index(k) if k in given else -1)
+    user, domain = F.substring_index("email_key", "@", 1), F.substring_index("email_key", "@", -1)
+    cells = {"name_key": (F.lit(""), F.col("name_key"), F.col("name_key")), "email_key": (domain, F.col("email_key"), user)}
+    told = [F.struct(number(k).alias("kind"), scope.alias("scope"), value.alias("value"), grams3(text).alias("grams")) for k, (scope, value, text) in cells.items() if k in rows.columns]
+    if not told:
+        return rows.sparkSession.createDataFrame([], "__id long, kind int, scope string, value string, grams array<string>")
+    return rows.select(F.col("id").alias("__id"), F.inline(F.array(*told))).where("value is not null")
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -280,6 +347,10 @@ def dedup_report(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """Rows beyond the first, by key, per value of the columns."""
-    w = Window.partitionBy(*columns).orderBy(key)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n > 1").drop("__n")
+    """Rows beyond the first, by key, per value of the columns; nulls are equal. Rows that repeat the first one's key are that row.
+
+    The minima are saved before they meet the rows, so that a hot value can be split.
+    """
+    first = saved(df.groupBy(*columns).agg(F.min(key).alias("__first")), "first-of-equal").withColumnsRenamed({c: f"__{c}" for c in columns})
+    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+    return df.join(first, equal).where(F.col(key) > F.col("__first")).select(*df.columns)

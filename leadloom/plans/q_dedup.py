@@ -62,6 +62,18 @@ def _(t):
     return D.dup_candidate_pairs(D.norm_keys(t.companies), keys=(), fuzzy=True)
 
 
+_CROWD = f"""k AS (SELECT id, {_name("concat_ws(' ', first_name, last_name)")} AS v, CASE WHEN contains(email, '@') THEN lower(trim(email)) END AS mail FROM crowded_contacts),
+s AS (SELECT v, count(*) AS n, min(id) AS first FROM k GROUP BY v),
+g AS (SELECT id, v, n, first, string_split(mail, '@')[2] AS domain, list_distinct(list_transform(range(1, length(string_split(mail, '@')[1]) - 1), lambda i: substr(mail, i, 3))) AS grams FROM k JOIN s USING (v)),
+p AS (SELECT a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.v = b.v AND a.id < b.id WHERE a.n <= {D.FULL} UNION SELECT first, id FROM g WHERE n > {D.FULL} AND id <> first
+UNION SELECT a.id, b.id FROM g a JOIN g b ON a.v = b.v AND a.domain = b.domain AND a.id < b.id WHERE a.n > {D.FULL} AND len(list_intersect(a.grams, b.grams)) >= {D.NEAR} * (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) - 1e-9)"""
+
+
+@query("crowded_candidate_pairs", f"WITH {_CROWD} SELECT id_a, id_b FROM p", "crowded_contacts")
+def _(t):
+    return D.dup_candidate_pairs(D.norm_keys(t.crowded_contacts.select("id", "first_name", "last_name", "email")), keys=("name_key",))
+
+
 def _pairs(t):
     c = t.companies
     side = lambda s: c.select(F.col("id").alias(f"id_{s}"), *[F.col(x).alias(f"{x}_{s}") for x in ("name", "email", "phone", "website")])

@@ -123,6 +123,14 @@ FORMULAS["linked_companies"] = FORMULAS["companies"] | {
     "phone": "CASE WHEN c_custkey % 10 IN (5, 6) THEN NULL ELSE " + FORMULAS["companies"]["phone"] + " END",
 }
 
+#: Contacts of which four in five have one name; their e-mails are alike in part.
+SOURCES["crowded_contacts"] = SOURCES["contacts"]
+FORMULAS["crowded_contacts"] = FORMULAS["contacts"] | {
+    "first_name": "CASE WHEN o_orderkey % 10 < 8 THEN 'John' ELSE concat('Ann', o_orderkey) END",
+    "last_name": "CASE WHEN o_orderkey % 10 < 8 THEN 'Smith' ELSE concat('Lee', o_orderkey - o_orderkey % 2) END",
+    "email": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('john.smith', o_orderkey, '@Corp', o_custkey % 20, '.com') END",
+}
+
 
 def view_sql(name: str, spark: bool = False) -> str:
     columns = ", ".join(f"{formula} AS {column}" for column, formula in FORMULAS[name].items())

@@ -1,5 +1,6 @@
 """Hand rows for single rules, with values worked out from the rules."""
 
+import random
 import unicodedata
 
 import pytest
@@ -142,6 +143,60 @@ def test_rows_equal_in_all_keys_stand_for_each_other(spark):
     assert groups.select("component").distinct().count() == 1
 
 
+def three_grams(text):
+    return {text[k : k + 3] for k in range(max(1, len(text) - 2))}
+
+
+def near_by_hand(rows, near=0.6):
+    """Pairs of ids whose e-mails have one domain and near first parts."""
+    by_domain, out = {}, set()
+    for i, mail in rows:
+        user, domain = mail.split("@")
+        by_domain.setdefault(domain, []).append((i, three_grams(user)))
+    for some in by_domain.values():
+        for k, (a, x) in enumerate(some):
+            out |= {(min(a, b), max(a, b)) for b, y in some[:k] if len(x & y) >= near * len(x | y) - 1e-12}
+    return out
+
+
+@pytest.mark.parametrize("n", [900, 1100, 20000])
+def test_one_name_held_by_many_rows_loses_no_near_email(spark, n):
+    kinds = {"name": "'John Smith'", "email": "concat(substr(md5(cast(id div 3 as string)), 1, 12), id % 3, '@d', (id div 3) % 40, '.com')", "phone": "cast(null as string)"}
+    rows = people(spark, n, **kinds)
+    want = near_by_hand([(r.id, r.email_key) for r in rows.select("id", "email_key").collect()])
+    assert len(want) > n / 2
+    got = {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows).collect()}
+    assert want <= got
+    if n <= D.FULL:
+        assert len(got) == n * (n - 1) // 2
+    else:  # nothing else but links to the first row: linear in rows and pairs
+        assert got - want <= {(0, b) for b in range(1, n)}
+
+
+def test_set_join_equals_brute_force(spark):
+    rng = random.Random(2)
+    sets = {(g, v): sorted(set(rng.choices("abcdefghijklmnop" if rng.random() < 0.7 else "xyz", k=rng.randrange(1, 12)))) for g in range(3) for v in range(120)}
+    frame = spark.createDataFrame([(g, v, s) for (g, v), s in sets.items()] + [(None, 1, ["a"]), (0, None, ["a"]), (0, 900, []), (0, 901, None)], "group long, value long, grams array<string>")
+    for t in (0.5, 0.6, 0.8, 1.0):
+        want = sorted((g, a, b) for (g, a), x in sets.items() for (h, b), y in sets.items() if g == h and a < b and len(set(x) & set(y)) >= t * len(set(x) | set(y)) - 1e-12)
+        assert sorted(map(tuple, D.near_sets(frame, t).collect())) == want
+    assert D.near_sets(frame.limit(0)).count() == 0
+
+
+def test_near_values_held_by_many_are_met_through_the_first(spark):
+    """One phone; 60 rows of each of two near names, told apart by their hosts, and 40 other names."""
+    rows = people(spark, 160, name="case when id < 60 then 'Acme Trading' when id < 120 then 'Acme Tradings' else md5(cast(id as string)) end", phone="'2125550100'", website="concat('https://h', id, '.com')")
+    got = {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows, full=50).collect()}
+    assert {(0, 60)} | {(0, b) for b in range(1, 160)} | {(60, b) for b in range(61, 120)} == got
+    assert {(a, b) for a in range(60) for b in range(60, 120)} <= {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows, full=100).collect()}
+
+
+def test_exact_duplicates_with_nulls(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, None, None), (4, None, None), (5, "x", None), (6, None, "a")], "id long, p string, q string")
+    assert sorted(r.id for r in D.exact_duplicates(rows, ["p", "q"]).collect()) == [2, 4, 6]
+    assert D.exact_duplicates(rows, ["p", "q"]).columns == ["id", "p", "q"] and D.exact_duplicates(rows.limit(0), ["p"]).count() == 0
+
+
 def test_near_names_are_candidates_with_high_recall(spark):
     kinds = {"name": "concat(md5(cast(id div 2 as string)), if(id % 2 = 1, 'q', ''), ' trading house')"}
     rows = people(spark, 400, **kinds)
