@@ -1,6 +1,7 @@
 """Queries: streams, run to the end over files of the given tables and compared with SQL over the same rows.
 
-Results are those that are final when the stream ends: windows and runs of jobs that end at or before the last watermark.
+Results of windows are those that are final when the stream ends: windows that end at or before the last watermark. Job streams
+give every change, of which the last per run is compared.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ _TERMINAL = "job_status IN ('success', 'failure')"
 def _runs(where: str = "true") -> str:
     """Events by job and run: a run ends where the job's next event is a day or more away."""
     return f"""x AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM event_log WHERE {where}),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS final FROM event_log WHERE {where})"""
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x)"""
 
 
 _START = "strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS started"
-_ENDED = "GROUP BY job_id, run HAVING max(ts) + INTERVAL 1 DAY <= (SELECT final FROM m)"
+_EACH = "GROUP BY job_id, run"
 
 
-@query("stream_job_progress", f"""WITH {_runs()}, a AS (SELECT job_id, {_START}, arg_max(job_status, row(ts, event_id)) s, arg_max(current_items, row(ts, event_id)) d, arg_max(total_items, row(ts, event_id)) t, min(ts) a, max(ts) b FROM r {_ENDED})
-SELECT job_id, started, s AS job_status, round(100.0::DOUBLE * d / t, 4) AS percentage, CAST(floor(epoch(b)) - floor(epoch(a)) AS BIGINT) AS elapsed, CASE WHEN d > 0 THEN round((floor(epoch(b)) - floor(epoch(a))) * (t - d) / d, 3) END AS remaining FROM a""", "event_log")
+def _updates(t, make, *columns):
+    """The job stream in update mode; of its updates the last of each run, ended or still going."""
+    return S.last_updates(S.run_to_end(t.event_log, make, mode="update")).select(*columns)
+
+
+@query("stream_job_progress", f"""WITH {_runs()}, a AS (SELECT job_id, {_START}, arg_max(job_status, row(ts, event_id)) s, arg_max(current_items, row(ts, event_id)) d, arg_max(total_items, row(ts, event_id)) t, min(ts) a, max(ts) b FROM r {_EACH}),
+p AS (SELECT job_id, started, s AS job_status, round(100.0::DOUBLE * d / t, 4) AS percentage, CAST(floor(epoch(b)) - floor(epoch(a)) AS BIGINT) AS elapsed, CASE WHEN d > 0 THEN round((floor(epoch(b)) - floor(epoch(a))) * (t - d) / d, 3) END AS remaining, b FROM a)
+SELECT * EXCLUDE (b), strftime(date_trunc('second', b) + to_seconds(CAST(floor(remaining) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS eta FROM p""", "event_log")
 def _(t):
-    return S.run_to_end(t.event_log, S.stream_job_progress)
+    return _updates(t, S.stream_job_progress, "job_id", "started", "job_status", "percentage", "elapsed", "remaining", "eta")
 
 
 @query("stream_lead_discovery", _scores(WEIGHTS) + f""", g AS (SELECT contact_id, company_id, score_percentage AS score, {GRADE} AS grade FROM s WHERE score_percentage >= 55)
@@ -37,14 +44,14 @@ def _(t):
     return S.run_to_end(contacts, lambda df: S.stream_lead_discovery(df, companies, AS_OF, 55), time="created_at")
 
 
-@query("stream_job_completion", f"WITH {_runs(_TERMINAL)} SELECT job_id, {_START}, count(*) FILTER (job_status = 'success') AS succeeded, count(*) FILTER (job_status = 'failure') AS failed, CAST(sum(current_items) AS BIGINT) AS items FROM r {_ENDED}", "event_log")
+@query("stream_job_completion", f"WITH {_runs(_TERMINAL)} SELECT job_id, {_START}, count(*) FILTER (job_status = 'success') AS succeeded, count(*) FILTER (job_status = 'failure') AS failed, CAST(sum(current_items) AS BIGINT) AS items FROM r {_EACH}", "event_log")
 def _(t):
-    return S.run_to_end(t.event_log, S.stream_job_completion)
+    return _updates(t, S.stream_job_completion, "job_id", "started", "succeeded", "failed", "items")
 
 
-@query("stream_batch_progress", f"WITH {_runs()} SELECT job_id, {_START}, round(max(100.0::DOUBLE * current_items / total_items), 4) AS percentage FROM r {_ENDED}", "event_log")
+@query("stream_batch_progress", f"WITH {_runs()} SELECT job_id, {_START}, round(max(100.0::DOUBLE * current_items / total_items), 4) AS percentage FROM r {_EACH}", "event_log")
 def _(t):
-    return S.run_to_end(t.event_log, S.stream_batch_progress)
+    return _updates(t, S.stream_batch_progress, "job_id", "started", "percentage")
 
 
 @query("stream_quality_alerts", f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) FILTER (NOT success) AS affected FROM event_log GROUP BY date_trunc('day', ts) HAVING count(*) FILTER (NOT success) > 2 AND date_trunc('day', ts) + INTERVAL 1 DAY <= {_FINAL}", "event_log")

@@ -1,18 +1,21 @@
 """Streams over event tables. Every ``stream_x`` is a transform that works on streaming and batch frames alike.
 
 All state can be dropped: windows once the watermark (default 10 minutes behind the latest event) passes their end, a job's
-state once the job has been idle for a while, ids once they are older than the watermark. In append mode a result is given out
-when it is final, and rows later than the watermark are left out and counted by Spark (``late_rows``); in update mode every
-change is given out. Times are event times in ``ts``.
+state once the job has been idle for a while, ids once they are older than the watermark. Windows run in append mode: a result
+is given out when it is final, and rows later than the watermark are left out and counted by Spark (``late_rows``). The three job
+streams run in update mode: ``JobRuns`` holds one small state per job, gives out the job's progress with every trigger that has
+events of it, and is dropped by a timer. Times are event times in ``ts``.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.exact import exact_avg
 from ..functions.graph import shared_dir
@@ -27,23 +30,118 @@ def _timed(df: DataFrame, late: str = LATE) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def _sessions(events: DataFrame, idle: str, late: str):
-    """Events of a job up to an idle time: the group that a job's state is held for."""
-    return _timed(events, late).groupBy("job_id", F.session_window("ts", idle).alias("w"))
+RUN = "run long, job_status string, done long, total long, top double, succeeded long, failed long, items long, start double, last double, ended boolean"
+STATE = "run long, job_status string, done long, total long, top double, succeeded long, failed long, items long, start double, last double, latest long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class JobRuns(StatefulProcessor):
+    """The current run of each job. A run ends where the job's next event is ``idle`` seconds or more away.
+
+    Events of a trigger come sorted by time and id; events that come late, but before the watermark, count for the run that they
+    fall into, and the state of a job that is as old as they may be. ``run`` is the id of the first event seen of a run, so updates
+    of one run have one name. A timer set ``idle`` seconds after the last event drops the state and gives the run out as ended.
+    """
+
+    def __init__(self, idle: float):
+        self.idle = idle
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("run", STATE)
+
+    def _row(self, key: tuple, s: dict, ended: bool) -> pd.DataFrame:
+        return pd.DataFrame([{"job_id": key[0], **{k: v for k, v in s.items() if k != "latest"}, "ended": ended}])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803  names that Spark calls
+        names = [x.split()[0] for x in STATE.split(", ")]
+        s = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else None
+        before = s and s["last"]
+        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        for e in events.itertuples():
+            if s and e.at - s["last"] >= self.idle:
+                yield self._row(key, s, True)
+                s = None
+            alone = s is not None and s["start"] - e.at >= self.idle  # an older run, whose state is gone
+            at = s if s and not alone else {"run": int(e.event_id), "job_status": None, "done": None, "total": None, "top": None, "succeeded": 0, "failed": 0, "items": 0, "start": e.at, "last": e.at, "latest": None}
+            if at["latest"] is None or (e.at, e.event_id) >= (at["last"], at["latest"]):
+                at |= {"job_status": e.job_status, "done": whole(e.current_items), "total": whole(e.total_items), "last": e.at, "latest": int(e.event_id)}
+            share = 100.0 * e.current_items / e.total_items if pd.notna(e.current_items) and pd.notna(e.total_items) and e.total_items else None
+            at["top"] = share if at["top"] is None else at["top"] if share is None else max(at["top"], share)
+            at |= {"start": min(at["start"], e.at), "succeeded": at["succeeded"] + (e.job_status == "success"), "failed": at["failed"] + (e.job_status == "failure"), "items": at["items"] + (whole(e.current_items) or 0)}
+            if alone:
+                yield self._row(key, at, True)
+            else:
+                s = at
+        self.state.update(tuple(s[n] for n in names))
+        if before != s["last"]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((s["last"] + self.idle) * 1000))
+        yield self._row(key, s, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        names = [x.split()[0] for x in STATE.split(", ")]
+        if self.state.exists():
+            s = dict(zip(names, self.state.get(), strict=True))
+            self.state.clear()
+            yield self._row(key, s, True)
+
+    def close(self) -> None:
+        pass
+
+
+def whole(x) -> int | None:
+    return None if pd.isna(x) else int(x)
+
+
+def seconds(idle: str) -> float:
+    """Seconds of an interval such as ``1 day``."""
+    number, unit = idle.split()
+    return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
+def job_runs(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
+    """Runs of jobs: of a stream every change, in update mode (the session must keep state in RocksDB); of a batch the last state.
+
+    ``job_id, run, job_status, done, total`` (of the latest event), ``top`` (highest percentage), ``succeeded, failed, items``,
+    ``start, last`` (epoch seconds) and ``ended``. Events without a job or a time are left out.
+    """
+    at = events.where("job_id is not null and ts is not null")
+    at = at.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.col("ts").cast("double"))
+    kind = at.schema["job_id"].dataType.simpleString()
+    if events.isStreaming:
+        rows = at.withWatermark("ts", late).select("job_id", "event_id", "at", "ts", "job_status", "current_items", "total_items")
+        return rows.groupBy("job_id").transformWithStateInPandas(JobRuns(seconds(idle)), f"job_id {kind}, {RUN}", "Update", "EventTime")
+    latest = F.struct("ts", "event_id")
+    a = at.groupBy("job_id", F.session_window("ts", idle).alias("w")).agg(
+        F.min_by("event_id", latest).cast("long").alias("run"), F.max_by("job_status", latest).alias("job_status"), F.max_by("current_items", latest).cast("long").alias("done"), F.max_by("total_items", latest).cast("long").alias("total"),
+        F.max(F.when(F.col("total_items") != 0, 100.0 * F.col("current_items") / F.col("total_items"))).alias("top"), F.count_if(F.col("job_status") == "success").alias("succeeded"), F.count_if(F.col("job_status") == "failure").alias("failed"),
+        F.coalesce(F.sum("current_items"), F.lit(0)).cast("long").alias("items"), F.min("at").alias("start"), F.max("at").alias("last"), F.max("at").alias("__last"),
+    )
+    return a.withColumn("ended", F.lit(False)).drop("w", "__last")
+
+
+def last_updates(updates: DataFrame) -> DataFrame:
+    """The last of the updates of each run, from a sink that keeps all of them with their ``batch``."""
+    rest = [c for c in updates.columns if c not in ("job_id", "run", "batch")]
+    order = F.struct("batch", "at") if "at" in rest else F.col("batch")
+    return updates.groupBy("job_id", "run").agg(F.max_by(F.struct(*rest), order).alias("r")).select("job_id", "run", "r.*")
 
 
 def _begun():
-    return F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started")
+    return F.date_format(F.timestamp_seconds(F.floor("start")), "yyyy-MM-dd HH:mm:ss").alias("started")
 
 
 def stream_job_progress(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
-    """Latest state of each run of a job: ``job_id, started, job_status, percentage, elapsed, remaining`` (seconds, from its first to its last event)."""
-    latest = F.struct("ts", "event_id")
-    a = _sessions(events, idle, late).agg(F.max_by("job_status", latest).alias("job_status"), F.max_by("current_items", latest).alias("done"), F.max_by("total_items", latest).alias("total"), F.min("ts").alias("start"), F.max("ts").alias("last"))
-    elapsed = F.unix_timestamp("last") - F.unix_timestamp("start")
+    """State of each run of a job as it goes on: ``job_id, run, started, job_status, percentage, elapsed, remaining, eta, at, ended``.
+
+    ``elapsed`` and ``remaining`` are seconds, from the run's first event to its last (``at``), and in proportion to the items left.
+    """
+    elapsed = (F.floor("last") - F.floor("start")).cast("long")
     pct = F.when(F.col("total") > 0, 100.0 * F.col("done") / F.col("total")).otherwise(0.0)
     remaining = F.when(F.col("done") > 0, F.round(elapsed * (F.col("total") - F.col("done")) / F.col("done"), 3))
-    return a.select("job_id", _begun(), "job_status", F.round(pct, 4).alias("percentage"), elapsed.alias("elapsed"), remaining.alias("remaining"))
+    rows = job_runs(events, idle, late).select("job_id", "run", _begun(), "job_status", F.round(pct, 4).alias("percentage"), elapsed.alias("elapsed"), remaining.alias("remaining"), F.col("last").alias("at"), "ended")
+    return rows.withColumn("eta", F.date_format(F.timestamp_seconds(F.floor(F.floor("at") + F.col("remaining"))), "yyyy-MM-dd HH:mm:ss"))
 
 
 def stream_lead_discovery(contacts: DataFrame, companies: DataFrame, as_of: str, least: float) -> DataFrame:
@@ -55,16 +153,14 @@ def stream_lead_discovery(contacts: DataFrame, companies: DataFrame, as_of: str,
 
 
 def stream_job_completion(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
-    """Per run of a job its terminal events: how many succeeded and failed, and items done."""
-    done = _sessions(events.where(F.col("job_status").isin(*TERMINAL)), idle, late)
-    a = done.agg(F.count_if(F.col("job_status") == "success").alias("succeeded"), F.count_if(F.col("job_status") == "failure").alias("failed"), F.sum("current_items").alias("items"))
-    return a.select("job_id", _begun(), "succeeded", "failed", "items")
+    """Per run of a job its terminal events so far: how many succeeded and failed, and items done."""
+    rows = job_runs(events.where(F.col("job_status").isin(*TERMINAL)), idle, late)
+    return rows.select("job_id", "run", _begun(), "succeeded", "failed", "items", F.col("last").alias("at"), "ended")
 
 
 def stream_batch_progress(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
-    """Highest percentage reached per run of a job."""
-    a = _sessions(events, idle, late).agg(F.round(F.max(100.0 * F.col("current_items") / F.col("total_items")), 4).alias("percentage"))
-    return a.select("job_id", _begun(), "percentage")
+    """Highest percentage reached so far per run of a job."""
+    return job_runs(events, idle, late).select("job_id", "run", _begun(), F.round("top", 4).alias("percentage"), F.col("last").alias("at"), "ended")
 
 
 def stream_quality_alerts(records: DataFrame, window: str = "1 hour", limit: int = 5, late: str = LATE) -> DataFrame:
@@ -117,16 +213,20 @@ def run_files(folder: str, schema, spark: SparkSession, make: Callable[[DataFram
     """Run ``make`` over the Parquet files of ``folder/in``, one a trigger in order of arrival, until all are read.
 
     Gives the sink's rows and the finished query. The sink and the checkpoint are in the same shared folder, so a run that is
-    started again goes on where it stopped.
+    started again goes on where it stopped. In update mode the sink keeps every update, with the number of its ``batch``; a
+    batch that is run again replaces its own rows.
     """
+    if mode == "update":
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     made = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
     writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
     else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")).start()
+        query = writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{folder}/out" + (f"/batch={k}" if mode == "update" else ""))).start()
     query.awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{folder}/out"), query
+    schema = made.schema if mode != "update" else made.schema.add("batch", "long")
+    return spark.read.schema(schema).parquet(f"{folder}/out"), query
 
 
 def run_to_end(source: DataFrame, make: Callable[[DataFrame], DataFrame], time: str = "ts", files: int = 2, mode: str = "append") -> DataFrame:

@@ -274,14 +274,51 @@ def test_late_rows_are_left_out_and_counted(spark, tmp_path):
     assert T.late_rows(query) == 1
 
 
-def test_state_of_an_idle_job_is_given_out_and_dropped(spark, tmp_path):
+EVENTS = "event_id long, e double, job_id long, job_status string, current_items int"
+
+
+def job_files(spark, folder, slices, first=0):
+    """One file of events per slice, in order."""
+    for x in slices[first:]:
+        rows = spark.createDataFrame([(k, float(e), *rest) for k, e, *rest in x], EVENTS).selectExpr("event_id", "timestamp_seconds(e) as ts", "job_id", "job_status", "current_items", "100 as total_items")
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return rows.schema
+
+
+def test_running_job_shows_progress_and_an_idle_one_is_dropped(spark, tmp_path):
     from leadloom.streaming import streams as T
 
     day = 1704067200
-    slices = [[(1, day, 7, "started", 0), (2, day + 600, 7, "progress", 40)], [(3, day + 3 * 86400, 7, "success", 100), (4, day + 3 * 86400, 8, "failure", 10)], [(5, day + 9 * 86400, 9, "started", 1)]]
-    rows = [spark.createDataFrame(x, "event_id long, e long, job_id long, job_status string, current_items int").selectExpr("event_id", "timestamp_seconds(e) as ts", "job_id", "job_status", "current_items", "100 as total_items") for x in slices]
-    for r in rows:
-        r.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    got, query = T.run_files(str(tmp_path), rows[0].schema, spark, T.stream_job_progress)
-    assert sorted((r.job_id, r.job_status, r.percentage, r.elapsed) for r in got.collect()) == [(7, "progress", 40.0, 600), (7, "success", 100.0, 0), (8, "failure", 10.0, 0)]
-    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # only job 9 is still held
+    slices = [[(1, day, 7, "started", 0), (2, day + 600, 7, "progress", 40)], [(3, day + 1200, 7, "progress", 50), (9, day + 1100, 8, "started", 1), (10, day + 900, 7, "progress", 45)], [(4, day + 3 * 86400, 7, "success", 100), (5, day + 3 * 86400, 8, "failure", 10)], [(6, day + 9 * 86400, 9, "started", 1)], [(7, day + 9 * 86400 + 1, None, "started", 1)]]
+    schema = job_files(spark, tmp_path, slices)
+    got, query = T.run_files(str(tmp_path), schema, spark, T.stream_job_progress, mode="update")
+    rows = sorted((r.batch, r.job_id, r.run, r.job_status, r.percentage, r.elapsed, r.remaining, r.ended) for r in got.collect())
+    assert [r for r in rows if r[0] == 0] == [(0, 7, 1, "progress", 40.0, 600, 900.0, False)]  # the job still runs
+    assert [r for r in rows if r[0] == 1] == [(1, 7, 1, "progress", 50.0, 1200, 1200.0, False), (1, 8, 9, "started", 1.0, 0, 0.0, False)]
+    assert {r[1:5] + r[7:] for r in rows if r[0] > 1} == {(7, 1, "progress", 50.0, True), (8, 9, "started", 1.0, True), (7, 4, "success", 100.0, False), (8, 5, "failure", 10.0, False), (7, 4, "success", 100.0, True), (8, 5, "failure", 10.0, True), (9, 6, "started", 1.0, False)}
+    assert len({r[1:3] + r[7:] for r in rows if r[7]}) == len([r for r in rows if r[7]]) == 4  # each run ends once
+    assert [r.eta for r in got.where("batch = 0").collect()] == ["2024-01-01 00:25:00"]
+
+
+def test_restarted_job_stream_repeats_nothing_and_equals_the_batch(spark, tmp_path):
+    from leadloom.streaming import streams as T
+
+    rng, day = random.Random(4), 1704067200
+    rows = sorted((day + rng.randrange(0, 12 * 86400), rng.randrange(6)) for _ in range(160))
+    events = [(k, e, j, rng.choice(["started", "progress", "success", "failure", None]), rng.choice([None, rng.randrange(101)])) for k, (e, j) in enumerate(rows)]
+    slices = [events[k : k + 40] for k in range(0, 160, 40)]
+    schema = job_files(spark, tmp_path, slices[:2])
+    first, _ = T.run_files(str(tmp_path), schema, spark, T.stream_job_progress, mode="update")
+    before = sorted(map(repr, first.collect()))
+    job_files(spark, tmp_path, slices, 2)
+    got, _ = T.run_files(str(tmp_path), schema, spark, T.stream_job_progress, mode="update")
+    assert set(before) < set(map(repr, got.collect())) and got.distinct().count() == got.count()
+    batch = spark.read.schema(schema).parquet(f"{tmp_path}/in")
+    names = ["job_id", "run", "started", "job_status", "percentage", "elapsed", "remaining", "eta"]
+    want = sorted(map(repr, T.stream_job_progress(batch).select(names).collect()))
+    assert sorted(map(repr, T.last_updates(got).select(names).collect())) == want
+    for make, some in ((T.stream_batch_progress, ["job_id", "run", "percentage"]), (T.stream_job_completion, ["job_id", "run", "succeeded", "failed", "items"])):
+        folder = tmp_path / make.__name__
+        job_files(spark, folder, slices)
+        made, _ = T.run_files(str(folder), schema, spark, make, mode="update")
+        assert sorted(map(repr, T.last_updates(made).select(some).collect())) == sorted(map(repr, make(batch).select(some).collect()))
\ No newline at end of file
