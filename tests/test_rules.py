@@ -1,6 +1,7 @@
 """Hand rows for single rules, with values worked out from the rules."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -246,6 +247,50 @@ def test_body_confidence_counts_occurrences(spark):
     assert {r.page_id: r.confidence for r in P.detect_technologies(pages).where("technology = 'Stripe'").collect()} == {1: 0.8, 2: 0.9}
 
 
+def technologies_by_hand(html, headers):
+    """Every pattern by a regular expression of its own, methods in order, the better one wins."""
+    out, fields = [], {k.lower(): v for k, v in headers.items()}
+    tags = re.findall(r"(?is)<script([^>]*)>(.*?)</script", html)
+    said = " ".join(re.search("src=.([^'\"]*)", t)[1] if "src=" in t else body for t, body in tags)
+    generators = [m for m in re.findall("(?i)<meta name=.generator. content=.([^'\"]*)", html)]
+    for name, (_, body, script, header) in P.SIGNATURES.items():
+        if any(re.search(p, fields.get(h, ""), re.I) for h in header for p in body):
+            out.append((name, 0.8, "header"))
+        n = next((n for n in (len(re.findall(p, html, re.I)) for p in body) if n), 0)
+        out += [(name, round(min(0.7 + 0.1 * n, 0.9), 4), "content")] if n else []
+        out += [(name, 0.85, "script")] if any(re.search(p, said, re.I) for p in script) else []
+        out += [(name, 0.9, "meta_tag")] if name in P.META_GENERATOR and any(re.search(p, g, re.I) for p in body for g in generators) else []
+    best = {}
+    for name, c, m in out:
+        if name not in best or c > best[name][0]:
+            best[name] = (c, m)
+    return best
+
+
+def test_technologies_equal_one_search_per_pattern(spark):
+    from leadloom.functions.literals import Patterns, folded
+
+    rng = random.Random(8)
+    bits = [re.sub(r"\\(.)", r"\1", p) for s in P.SIGNATURES.values() for k in (1, 2) for p in s[k]] + ["\u212Aunst \u017Ftripe react\u0130", "<b>", " ", "x", "İ", "é", "\n", "reactreact"]
+    word = lambda: "".join(rng.choice([str.upper, str.lower, str])(rng.choice(bits)) for _ in range(rng.randrange(4)))
+    pages = []
+    for k in range(300):
+        html = word() + rng.choice(["", f"<script src='{word()}'>{word()}</script>", f"<SCRIPT type='x'>{word()}</script>", f"<meta name='generator' content='{word()}'>"]) + word()
+        heads = {rng.choice(["X-Powered-By", "server", "via", "CF-RAY", "other"]): word().replace("\n", " ") for _ in range(rng.randrange(3))}
+        pages.append((k, html.replace("<b>", ""), heads))
+    frame = spark.createDataFrame(pages, "page_id long, html string, headers map<string,string>")
+    got = {}
+    for r in P.detect_technologies(frame).collect():
+        got.setdefault(r.page_id, {})[r.technology] = (r.confidence, r.method)
+    assert got == {k: t for k, html, heads in pages if (t := technologies_by_hand(html, heads))}
+    lines = frame.withColumn("headers", F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"))
+    assert sorted(map(repr, P.detect_technologies(lines).collect())) == sorted(map(repr, P.detect_technologies(frame).collect()))
+    assert Patterns(["a.c", "ab", "aa"]).counts("ABC aaa axc aab") == {"a.c": 2, "ab": 2, "aa": 2} and len(folded("İıſK")) == 4
+    odd = spark.createDataFrame([(None, None, None, 1), (1, "stripe", "no header", 2), (1, "stripe", "{bad json", 3)], "page_id long, html string, headers string, category int")
+    assert [(r.page_id, r.technology, r.category) for r in P.detect_technologies(odd).collect()] == [(1, "Stripe", "payment")] * 2
+    assert P.detect_technologies(odd.limit(0)).count() == 0
+
+
 def test_texts_of_signals(spark):
     from leadloom.operators import intel as I
 
