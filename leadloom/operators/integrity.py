@@ -1,4 +1,4 @@
-"""Integrity checks and table maintenance as batch rewrites: every operator returns the rows that remain or offend."""
+"""Integrity checks and table maintenance: every operator returns the rows that remain or offend; ``sources.rewrite`` applies them to stored tables."""
 
 from __future__ import annotations
 
@@ -45,8 +45,26 @@ def append_stamped(df: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
     return df.unionByName(new.withColumns(fill), allowMissingColumns=True)
 
 
-def upsert_rows(df: DataFrame, updates: DataFrame, key: str, as_of: str) -> DataFrame:
-    """Partial updates by key: non-null values replace, matched rows get updated_at; updates without a row are ignored."""
+def last_updates(updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: of each column the last value that is not null.
+
+    The last is that with the greatest ``order``; without a column for it, by the order in which Spark reads the rows (files and
+    rows in files). Updates without a key are left out.
+    """
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    rows = updates.withColumn("__at", at).where(F.col(key).isNotNull())
+    values = [c for c in updates.columns if c not in (key, order)]
+    if not values:
+        return rows.select(key).distinct()
+    return rows.groupBy(key).agg(*[F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), F.col("__at")))[c].alias(c) for c in values])
+
+
+def upsert_rows(df: DataFrame, updates: DataFrame, key: str, as_of: str, order: str | None = None) -> DataFrame:
+    """Partial updates by key: non-null values replace, matched rows get updated_at; updates without a row are ignored.
+
+    Of several updates of one key the last value of each column counts (``last_updates``), so no row is repeated.
+    """
+    updates = last_updates(updates, key, order)
     values = [c for c in updates.columns if c != key]
     new = updates.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in values], F.lit(True).alias("__hit"))
     rows = df.join(new, F.col(key) == F.col("__key"), "left")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.graph import shared_dir
 from ..operators import integrity as I
 from ..operators import windows as W
+from ..sources import rewrite as R
 from .registry import query
 from .views import AS_OF
 
@@ -72,6 +76,45 @@ def _(t):
     return old.select("id", F.col("archived_at").isNotNull().alias("archived")).union(rest.select("id", F.lit(False).alias("archived")))
 
 
+def _stored(t, name):
+    """The table as stored files, each time in a folder of its own."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/stored-{name}-{uuid.uuid4().hex}"
+    R.store(getattr(t, name), path, parts=16)
+    return path
+
+
+@query("stored_upsert", """SELECT id, CASE WHEN id % 100 < 3 THEN 50.5 + id % 100 ELSE lead_score END AS lead_score, CASE WHEN id % 100 = 1 THEN 'Biotech' ELSE industry END AS industry, name,
+CASE WHEN id % 100 < 3 THEN '2024-04-01 00:00:00' END AS updated_at FROM companies""", "companies")
+def _(t):
+    path = _stored(t, "companies")
+    some = t.companies.where("id % 100 < 3").select("id", F.lit(1.0).alias("lead_score"), F.when(F.col("id") % 100 == 1, "Biotech").alias("industry"), F.lit(1).alias("turn"))
+    again = some.select("id", (50.5 + F.col("id") % 100).alias("lead_score"), F.lit(None).cast("string").alias("industry"), F.lit(2).alias("turn"))
+    R.upsert(t.spark, path, some.union(again), "id", AS_OF, order="turn")
+    return R.load(t.spark, path).select("id", "lead_score", "industry", "name", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@query("stored_delete", "SELECT id, name FROM companies WHERE id % 50 <> 7", "companies")
+def _(t):
+    path = _stored(t, "companies")
+    R.delete(t.spark, path, t.companies.where("id % 50 = 7").select("id"))
+    return R.load(t.spark, path).select("id", "name")
+
+
+@query("stored_retention", "SELECT id, status FROM scraping_jobs WHERE NOT (status IN ('completed', 'failed', 'cancelled') AND end_time < TIMESTAMP '2024-04-01' - INTERVAL 80 DAY)", "scraping_jobs")
+def _(t):
+    path = _stored(t, "scraping_jobs")
+    R.retain(t.spark, path, 80, "end_time", AS_OF, "status in ('completed', 'failed', 'cancelled')")
+    return R.load(t.spark, path).select("id", "status")
+
+
+@query("stored_archive", "SELECT id, name, id % 30 = 4 AS archived FROM companies", "companies")
+def _(t):
+    path = _stored(t, "companies")
+    R.archive(t.spark, path, f"{path}-archive", t.companies.where("id % 30 = 4").select("id"), AS_OF)
+    old, rest = R.load(t.spark, f"{path}-archive"), R.load(t.spark, path)
+    return old.select("id", "name", F.col("archived_at").isNotNull().alias("archived")).union(rest.select("id", "name", F.lit(False)))
+
+
 @query("batch_status_update", "SELECT CASE WHEN id % 6 = 0 THEN 'cancelled' ELSE status END AS status, count(*) AS jobs FROM scraping_jobs GROUP BY 1", "scraping_jobs")
 def _(t):
     return I.batch_status_update(t.scraping_jobs, t.scraping_jobs.where("id % 6 = 0"), {"status": "cancelled"})[0].groupBy("status").agg(F.count("*").alias("jobs"))
