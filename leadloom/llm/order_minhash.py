@@ -133,10 +133,10 @@ def compared(docs: DataFrame, text: str = "text") -> DataFrame:
     own, changed = F.col("text"), edited(F.col("text"), F.col("next_text"))
     at = F.array(F.struct(F.lit(0).alias("version"), own.alias("text")), F.struct(F.lit(1).alias("version"), changed.alias("text")))
     versions = near.select("block", "rid", "guest", "doc_id", F.explode(F.when(F.col("guest") == 1, F.slice(at, 1, 1)).otherwise(at)).alias("v"))
-    versions = versions.select("block", "rid", "guest", "doc_id", "v.version", "v.text")
+    versions = versions.select("block", (2 * F.col("rid") + F.col("v.version")).alias("sub"), "guest", "doc_id", "v.version", "v.text")
     info = F.struct("guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.when(F.col("version") == 1, F.sha2("text", 256)).alias("sha"))
-    prints = fingerprints(versions, ["block", "rid", "version"], info)
-    order = Window.partitionBy("block").orderBy("version", "rid")
+    prints = fingerprints(versions, ["block", "sub"], info).withColumns({"version": F.col("sub") % 2, "rid": F.expr("sub div 2")})
+    order = Window.partitionBy("block").orderBy("version", "sub")
     own_row = F.col("version") == 0
     pairs = prints.withColumn("next", F.lead("fingerprint").over(order)).groupBy("block", "rid").agg(
         F.max(F.when(own_row, F.col("info"))).alias("info"), F.max(F.when(own_row, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(own_row, F.col("next"))).alias("next"),
