@@ -7,6 +7,8 @@ rarest of its tokens, and a URL that holds this token is tested for the others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,13 @@ MAX_RULES = 1000
 #: A rule holds for this many bad URLs at least, however many there are. With a quarter of all URLs bad, as in the test tables, a
 #: combination that means nothing reaches 14 of 20 once in 100,000 times.
 MIN_COUNT = 20
-#: Besides, a share of the bad URLs; raise it where FP-growth over very many of them finds too much.
+#: Besides, a share of the bad URLs.
 MIN_SUPPORT = 0.0
 MIN_CONFIDENCE = 0.7
 #: Tokens of a rule at most; longer ones would tell single pages apart rather than kinds of pages.
 MAX_TOKENS = 3
+#: FP-growth lists every subset of what is frequent together, up to 2 ** WIDE of one URL; wider URLs are counted level by level.
+WIDE = 12
 #: An index of up to this many postings is broadcast; a larger one is joined by shuffle.
 BROADCAST_POSTINGS = 50_000
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,30 +87,82 @@ def posted(sets: DataFrame, rows: DataFrame) -> DataFrame:
     return saved(sets.join(rarest, "rule_id"), "url-posted")
 
 
+def _frequent(rows: DataFrame, need: int) -> DataFrame:
+    """``(token, support, n, class)`` of the tokens in ``need`` bad rows or more; tokens that stand in the same labelled rows are one class.
+
+    A class is named by its smallest token. Rows are told apart by two sums of hashes and a count.
+    """
+    at = rows.select("rid", "bad", F.explode("tokens").alias("token"))
+    mark = lambda seed: F.sum(F.xxhash64("rid", F.lit(seed)).cast("decimal(38,0)")).alias(f"m{seed}")
+    known = at.groupBy("token").agg(F.count_if("bad").alias("support"), F.count("*").alias("n"), mark(1), mark(2)).where(F.col("support") >= need)
+    known = saved(known, "url-frequent")
+    first = known.groupBy("n", "m1", "m2").agg(F.min("token").alias("class"))
+    return saved(known.join(first, ["n", "m1", "m2"]).select("token", "support", "n", "class"), "url-classes")
+
+
+def combinations_by_fp_growth(bad: DataFrame, need: int, most: int) -> DataFrame:
+    """``(items, freq)`` with 2 to ``most`` items in ``need`` rows of ``bad(items)`` or more."""
+    n = bad.count()
+    if n < need:
+        return bad.select("items", F.lit(0).cast("long").alias("freq")).limit(0)
+    found = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n).fit(bad).freqItemsets
+    return found.where((F.col("freq") >= need) & F.size("items").between(2, most)).select(F.array_sort("items").alias("items"), "freq")
+
+
+def combinations_by_level(bad: DataFrame, need: int, most: int) -> DataFrame:
+    """The same, counted level by level: a set is extended in the rows that hold it, if it is frequent itself."""
+    rows = bad.select(F.array_sort("items").alias("items"))
+    level, out = rows.select("items", F.explode(F.transform("items", lambda x: F.array(x))).alias("set")), []
+    for _ in range(most - 1):
+        longer = level.select("items", "set", F.explode(F.filter("items", lambda x: x > F.element_at("set", -1))).alias("x"))
+        level = saved(longer.select("items", F.concat("set", F.array("x")).alias("set")), "url-level")
+        counts = saved(level.groupBy("set").agg(F.count("*").alias("freq")).where(F.col("freq") >= need), "url-counts")
+        out.append(counts.select(F.col("set").alias("items"), "freq"))
+        level = level.join(counts.select("set"), "set").select("items", "set")
+    return reduce(DataFrame.union, out)
+
+
 def mined_rules(
-    labelled: DataFrame, url: str = "url", bad: str = "bad", min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS
+    labelled: DataFrame, url: str = "url", bad: str = "bad", min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, wide: int = WIDE
 ) -> DataFrame:
     """``(rule_id, tokens, post, size, confidence, support)`` mined from ``labelled(url, bad)``; support counts bad URLs.
 
-    A rule is dropped if some of its tokens alone make a rule at least as confident. Rows with a null label are left out;
-    repeated rows count each. No bad rows: no rules.
+    A rule is dropped if some of its tokens alone make a rule at least as confident. So tokens that stand in bad URLs only are
+    rules by themselves and in no other, and of tokens that always stand together (as all do of a URL that comes many times) a
+    rule has one: combinations are mined among classes of such tokens, and then made for each of their members. FP-growth lists
+    sets of any size; where a bad URL has more than ``wide`` classes left, sets of up to ``max_tokens`` are counted level by level
+    in its place, which gives the same sets. Rows with a null label are left out; repeated rows count each. No bad rows: no rules.
     """
-    rows = saved(labelled.where(F.col(bad).isNotNull()).select(tokens(url).alias("tokens"), F.col(bad).alias("bad")).where(F.size("tokens") > 0), "url-items")
-    n_bad = rows.where("bad").count()
-    least = min(1.0, max(min_support, min_count / max(1, n_bad)))
-    found = FPGrowth(itemsCol="tokens", minSupport=least).fit(rows.where("bad")).freqItemsets
-    # FP-growth rounds its share up to a count; the count is asked for again here.
-    sets = found.where((F.size("items") <= max_tokens) & (F.col("freq") >= min_count)).select(F.array_sort("items").alias("rule"), F.col("freq").alias("support"))
-    sets = posted(saved(sets.withColumn("rule_id", F.xxhash64("rule")), "url-sets"), rows)
-    total = contained(sets, rows).groupBy("rule_id").agg(F.count("*").alias("n"))
-    rules = sets.join(total, "rule_id").withColumn("confidence", F.round(F.col("support") / F.col("n"), 9)).where(F.col("confidence") >= min_confidence)
-    rules = saved(rules.select("rule_id", F.col("rule").alias("tokens"), "post", F.size("rule").alias("size"), "confidence", "support"), "url-rules")
+    rows = labelled.where(F.col(bad).isNotNull()).select(F.monotonically_increasing_id().alias("rid"), tokens(url).alias("tokens"), F.col(bad).alias("bad"))
+    rows = saved(rows.where(F.size("tokens") > 0), "url-items")
+    need = max(min_count, -(-rows.where("bad").count() * min_support // 1), 1)
+    known = _frequent(rows, int(need))
+    unsure = known.where((F.col("support") < F.col("n")) & (F.col("token") == F.col("class"))).select("token")
+    left = rows.select("rid", "bad", F.explode("tokens").alias("token")).join(unsure, "token").groupBy("rid", "bad").agg(F.array_sort(F.collect_list("token")).alias("items"))
+    left = saved(left, "url-left")
+    some = left.where("bad").select("items")
+    widest = some.agg(F.max(F.size("items"))).first()[0] or 0
+    mine = combinations_by_fp_growth if widest <= wide else combinations_by_level
+    singles = known.where("token = class").select(F.array("token").alias("rule"), "support", "n")
+    sets = saved(mine(some, int(need), max_tokens).select(F.col("items").alias("rule"), F.col("freq").alias("support")).withColumn("rule_id", F.xxhash64("rule")), "url-sets")
+    total = contained(posted(sets, left.select(F.col("items").alias("tokens"))), left.select(F.col("items").alias("tokens"))).groupBy("rule_id").agg(F.count("*").alias("n"))
+    every = singles.unionByName(sets.join(total, "rule_id").select("rule", "support", "n"))
+    sure = every.withColumn("confidence", F.round(F.col("support") / F.col("n"), 9)).where(F.col("confidence") >= min_confidence)
+    rules = saved(sure.select(F.xxhash64("rule").alias("rule_id"), "rule", F.size("rule").alias("size"), "confidence", "support"), "url-rules")
     # The proper parts of a rule, as many as its size allows, each found by its hash.
     masks = F.expr("sequence(1, cast(shiftleft(1, size) - 2 as int))")
-    parts = rules.where("size > 1").select("rule_id", "confidence", "tokens", F.explode(masks).alias("mask"))
-    parts = parts.select("rule_id", "confidence", F.xxhash64(F.expr("filter(tokens, (t, i) -> (shiftright(mask, i) & 1) = 1)")).alias("by"))
+    parts = rules.where("size > 1").select("rule_id", "confidence", "rule", F.explode(masks).alias("mask"))
+    parts = parts.select("rule_id", "confidence", F.xxhash64(F.expr("filter(rule, (t, i) -> (shiftright(mask, i) & 1) = 1)")).alias("by"))
     less = rules.select(F.col("rule_id").alias("by"), F.col("confidence").alias("by_confidence"))
-    return rules.join(parts.join(less, "by").where("by_confidence >= confidence").select("rule_id").distinct(), "rule_id", "left_anti")
+    kept = rules.join(parts.join(less, "by").where("by_confidence >= confidence").select("rule_id").distinct(), "rule_id", "left_anti")
+    members = known.select(F.col("class"), F.col("token").alias("member"))
+    for k in range(max_tokens):  # every member in place of its class
+        at = kept.where(F.col("size") > k).join(members, F.col("class") == F.get("rule", F.lit(k)))
+        at = at.withColumn("rule", F.transform("rule", lambda t, i: F.when(i == k, F.col("member")).otherwise(t))).drop("class", "member")
+        kept = saved(at.unionByName(kept.where(F.col("size") <= k)), "url-members")
+    out = kept.withColumn("rule", F.array_sort("rule")).withColumn("rule_id", F.xxhash64("rule"))
+    out = out.join(posted(out.select("rule_id", "rule"), rows).select("rule_id", "post"), "rule_id")
+    return out.select("rule_id", F.col("rule").alias("tokens"), "post", "size", "confidence", "support")
 
 
 def matched(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:

@@ -257,6 +257,54 @@ def test_mined_rules_equal_brute_force(spark):
     assert fit == {u for (u, _), (s, _) in zip(rows, sets) if any(set(r.tokens) <= s for r in rules)}
 
 
+def rules_by_hand(rows, need=20, least=0.7):
+    """Every set of up to three tokens, counted; those with no part at least as sure."""
+    from collections import Counter
+
+    n, bad = Counter(), Counter()
+    for words, is_bad in rows:
+        for size in (1, 2, 3):
+            for x in combinations(sorted(words), size):
+                n[x] += 1
+                bad[x] += is_bad
+    sure = {x: round(bad[x] / n[x], 9) for x in n if bad[x] >= need and bad[x] / n[x] >= least}
+    return sorted((x, c, bad[x]) for x, c in sure.items() if not any(sure.get(p, -1) >= c for k in range(1, len(x)) for p in combinations(x, k)))
+
+
+@pytest.mark.parametrize("wide", [12, 3])
+def test_mined_rules_equal_counts_of_every_set(spark, wide):
+    rng = random.Random(wide)
+    rows = []
+    for k in range(500):
+        bad = rng.random() < 0.4
+        path = "/".join(rng.sample([f"w{chr(97 + j)}" for j in range(9)], rng.randrange(1, 6)))
+        path += "/spam/bait" if bad and rng.random() < 0.5 else "/spam" if rng.random() < 0.15 else "/bait" if rng.random() < 0.15 else ""
+        path += "/xx/yy" if rng.random() < 0.2 else ""
+        rows.append((f"http://{'evil' if bad and rng.random() < 0.8 else 'fine'}.com/{path}", bad))
+    df = spark.createDataFrame([*rows, ("http://a.com/n", None), (None, True)], "url string, bad boolean")
+    sets = [(r.t, b) for r, (_, b) in zip(spark.createDataFrame(rows, "url string, bad boolean").select(urls.tokens("url").alias("t")).collect(), rows, strict=True)]
+    got = sorted((tuple(r.tokens), r.confidence, r.support) for r in urls.mined_rules(df, wide=wide).collect())
+    assert got == rules_by_hand(sets) and any(len(t) > 1 for t, *_ in got)
+
+
+def test_many_equal_long_urls_end_in_seconds(spark):
+    """Twenty bad rows of one URL of 200 tokens; then as many good ones of a part of it, so that no token is bad alone."""
+    import time
+
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03d}")
+    long = "http://h.com/" + "/".join(word(k) for k in range(198))
+    began = time.time()
+    rules = urls.mined_rules(spark.createDataFrame([(long + f"/{k}", True) for k in range(20)], "url string, bad boolean")).collect()
+    assert sorted(len(r.tokens) for r in rules) == [1] * 201 and {(r.confidence, r.support) for r in rules} == {(1.0, 20)}
+    part = "http://h.com/" + "/".join(word(k) for k in range(0, 198, 2))
+    rules = urls.mined_rules(spark.createDataFrame([(long, True)] * 20 + [(part, False)] * 5 + [(long, False)], "url string, bad boolean")).collect()
+    assert {(r.confidence, r.support) for r in rules} == {(round(20 / 21, 9), 20), (round(20 / 26, 9), 20)} and {len(r.tokens) for r in rules} == {1} and len(rules) == 200
+    wider = [("http://h.com/" + "/".join(word(k) for k in range(60) if k != j), True) for j in range(60)] + [("http://h.com/" + "/".join(word(k) for k in range(60)), False)] * 3
+    rules = urls.mined_rules(spark.createDataFrame(wider, "url string, bad boolean")).collect()
+    assert {len(r.tokens) for r in rules} == {1} and len(rules) == 62
+    assert time.time() - began < 200
+
+
 @pytest.mark.parametrize("postings", [50_000, 0])
 def test_pages_are_judged_by_mined_rules(spark, tmp_path, con, monkeypatch, postings):
     """The registered query on planted labels: mined rules decide where no listed rule does; by broadcast and by shuffle."""
