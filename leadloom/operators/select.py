@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graph import saved
+
 
 def all_of(*conditions: Column | None) -> Column:
     """AND of the conditions that are given; true if there are none."""
@@ -216,11 +218,59 @@ def contact_company_by_name(contacts: DataFrame, companies: DataFrame, name: str
     return contacts.join(first, F.lower(name) == F.col("__name"), "left").drop("__name")
 
 
-def dictionary_lookup(df: DataFrame, column: str, dictionary: dict[str, str], mode: str = "equals", default: str | None = None) -> DataFrame:
+#: A term table of up to this many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_TERMS = 10_000
+
+
+def _pieces(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct substrings of the given lengths."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(0)), F.lit(1)), lambda i: F.substr(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[F.when(F.length(text) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+
+
+def terms_within(values: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(value, term)`` of ``values(value)`` and ``terms(term)``, both distinct and not null, where the value contains the term.
+
+    A term is posted under the rarest of its 3-grams among the values (a shorter term under itself), a value is looked up with
+    all of its own, and what meets is verified. So neither side is held anywhere whole and no value meets all terms.
+    """
+    short = [r[0] for r in terms.where(F.length("term").between(1, 2)).select(F.length("term")).distinct().collect()]
+    at = saved(values.select("value", F.explode(_pieces(F.col("value"), (3, *sorted(short)))).alias("piece")), "term-pieces")
+    own = F.when(F.length("term") < 3, F.array("term")).otherwise(_pieces(F.col("term"), (3,)))
+    asked = saved(terms.where(F.length("term") > 0).select("term", F.explode(own).alias("piece")), "terms-asked")
+    counts = at.join(asked.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    # A piece that no value has makes its term unfindable: its count is 0 and it is the rarest.
+    post = asked.join(saved(counts, "term-counts"), "piece", "left").groupBy("term").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    post = saved(post, "term-posts")
+    post = F.broadcast(post) if post.count() <= BROADCAST_TERMS else post
+    return at.join(post, "piece").where(F.contains("value", F.col("term"))).select("value", "term")
+
+
+def _looked_up(df: DataFrame, column: str, terms: DataFrame, mode: str, default: str | None) -> DataFrame:
+    order = F.col("rank") if "rank" in terms.columns else F.lit(0)
+    known = terms.select(F.lower("term").alias("term"), F.struct(order.alias("rank"), F.lower("term").alias("term"), "label").alias("hit")).where("term <> ''")
+    first = saved(known.groupBy("term").agg(F.min("hit").alias("hit")), "term-first")
+    if mode == "equals":
+        found = first.select(F.col("term").alias("__value"), F.col("hit.label").alias("label"))
+        found = F.broadcast(found) if first.count() <= BROADCAST_TERMS else found
+    else:
+        values = df.where(F.col(column).isNotNull()).select(F.lower(column).alias("value")).distinct()
+        best = terms_within(values, first.select("term")).join(first, "term").groupBy("value").agg(F.min("hit").alias("hit"))
+        found = saved(best.select(F.col("value").alias("__value"), F.col("hit.label").alias("label")), "terms-found")
+    rows = df.drop("label").withColumn("__key", F.lower(column)).join(found, F.col("__key") == F.col("__value"), "left").withColumn("__found", F.col("__value").isNotNull())
+    return rows.withColumn("label", F.when(F.col("__found"), F.col("label")).otherwise(F.lit(default)).cast("string")).drop("__key", "__value", "__found")
+
+
+def dictionary_lookup(df: DataFrame, column: str, dictionary: dict[str, str] | DataFrame, mode: str = "equals", default: str | None = None) -> DataFrame:
     """``df`` with ``label``: of the term that the value equals or contains (any case), the first in dictionary order.
 
-    The dictionary is the caller's, so bounded by what the driver holds; it becomes literals of the plan, no join.
+    A dict is the caller's, so bounded by what the driver holds; it becomes literals of the plan, no join. A term table
+    ``(term, label[, rank])`` may be of any size: its first term by rank, then text counts; terms meet values by equal keys, or through
+    postings of 3-grams (``terms_within``). Null and empty terms of a table are left out, null values have the default label; a
+    ``label`` column of ``df`` is replaced.
     """
+    if isinstance(dictionary, DataFrame):
+        return _looked_up(df, column, dictionary, mode, default)
     value = F.lower(F.col(column))
     hit = (lambda term: value == term.lower()) if mode == "equals" else (lambda term: F.contains(value, F.lit(term.lower())))
     out = None

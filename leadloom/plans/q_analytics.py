@@ -249,7 +249,7 @@ def _(t):
     return A.query_results(t.scraped_data)
 
 
-@query("request_metrics", f"""SELECT domain, count(*) AS requests, {pct(cnt('NOT success'), 'count(*)')} AS error_pct, {avg('response_ms')} AS mean_response, round(quantile_cont(response_ms, 0.95), 4) AS p95_response,
+@query("request_metrics", f"""SELECT domain, count(*) AS requests, {pct(cnt('NOT success'), 'count(*)')} AS error_pct, {avg('response_ms')} AS mean_response, round(quantile_disc(response_ms, 0.95), 4) AS p95_response,
 round(count(*) / ((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 3600.0), 4) AS per_hour FROM event_log GROUP BY 1""", "event_log")
 def _(t):
     return A.request_metrics(t.event_log)

@@ -172,6 +172,25 @@ def _(t):
     return S.dictionary_lookup(t.contacts, "job_title", {"chief": "executive", "vp": "executive", "engineer": "technical"}, "contains", "other").groupBy("label").agg(F.count("*").alias("contacts"))
 
 
+_TERMS = "SELECT concat(CASE WHEN id % 3 = 0 THEN 'GLOBEX ' ELSE '' END, id, CASE WHEN id % 2 = 0 THEN ' ' ELSE '' END) AS term, concat('g', id % 7) AS label, id % 50 AS rank FROM companies"
+
+
+@query("term_table_contains", f"""WITH t AS ({_TERMS}), n AS (SELECT c.id, min(row(rank, lower(term), label)) AS hit FROM companies c JOIN t ON contains(lower(c.name), lower(term)) GROUP BY c.id)
+SELECT id, coalesce(hit[3], 'none') AS label FROM companies LEFT JOIN n USING (id)""", "companies")
+def _(t):
+    """A term of each company's own: its number, some with the word before or a space behind."""
+    i = F.col("id").cast("string")
+    terms = t.companies.select(F.concat(F.when(F.col("id") % 3 == 0, "GLOBEX ").otherwise(""), i, F.when(F.col("id") % 2 == 0, " ").otherwise("")).alias("term"), F.concat(F.lit("g"), (F.col("id") % 7).cast("string")).alias("label"), (F.col("id") % 50).alias("rank"))
+    return S.dictionary_lookup(t.companies, "name", terms, "contains", "none").select("id", "label")
+
+
+@query("term_table_equals", """WITH t AS (SELECT lower(last_name) AS term, min(id) AS first FROM contacts WHERE id % 3 <> 1 GROUP BY 1)
+SELECT id, CASE WHEN term IS NULL THEN 'none' ELSE concat('first ', first) END AS label FROM contacts LEFT JOIN t ON lower(last_name) = term""", "contacts")
+def _(t):
+    terms = t.contacts.where("id % 3 <> 1").select(F.upper("last_name").alias("term"), F.concat(F.lit("first "), F.col("id").cast("string")).alias("label"), F.col("id").alias("rank"))
+    return S.dictionary_lookup(t.contacts, "last_name", terms, "equals", "none").select("id", "label")
+
+
 @query("union_sources", "SELECT kind, count(*) AS n, count(email) AS emails, count(website) AS sites FROM (SELECT 'company' AS kind, email, website FROM companies UNION ALL SELECT 'contact', email, NULL FROM contacts) GROUP BY kind", "companies contacts")
 def _(t):
     both = S.union_sources(t.companies.select(F.lit("company").alias("kind"), "email", "website"), t.contacts.select(F.lit("contact").alias("kind"), "email"))
