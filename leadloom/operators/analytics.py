@@ -360,14 +360,3 @@ def competitive_summary(competitors: DataFrame, companies: DataFrame) -> DataFra
     n = competitors.groupBy(F.col("company_id").alias("id")).agg(F.count("*").alias("competitors"))
     rows = companies.select("id").join(n, "id", "left").withColumn("competitors", F.coalesce("competitors", F.lit(0)))
     return rows.withColumn("position", F.when(F.col("competitors") == 0, "open").when(F.col("competitors") <= 2, "moderate").otherwise("crowded"))
-
-
-def pipeline_report(stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
-    """``(stage, rows_in, rows_out, dropped)`` of given frames, one aggregate each."""
-    def one(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
-        both = before.agg(F.count("*").alias("rows_in"), F.lit(0).cast("long").alias("rows_out")).union(after.agg(F.lit(0).cast("long"), F.count("*")))
-        return both.agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out")).select(F.lit(name).alias("stage"), "rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("dropped"))
-
-    return reduce(lambda a, b: a.unionByName(b), [one(*s) for s in stages])
-
-

@@ -147,6 +147,11 @@ def _checks(df: DataFrame) -> dict[str, Column]:
     return out
 
 
+def checked_fields(df: DataFrame) -> list[str]:
+    """The fields of ``df`` that ``validate_records`` checks."""
+    return list(_checks(df))
+
+
 def validate_records(df: DataFrame, strict: bool = False) -> DataFrame:
     """``df`` with ``validation``, a map from field to result, for the fields that it has; strict keeps rows whose given fields are all valid."""
     checks = _checks(df)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.graph import shared_dir
 from ..operators import dedup as D
 from ..operators import scoring as S
+from ..operators import validation as V
 from ..sources import tables as T
 from . import pipeline as P
 from .q_dedup import _SCORED
 from .q_scoring import GRADE, WEIGHTS, _category, _scores
+from .q_validation import _PARTS
 from .registry import query
 from .views import AS_OF
 
@@ -126,6 +128,29 @@ def _(t):
     return P.run_pipeline(t.companies, t.contacts, _FAST)[2]
 
 
+_CHECKED = P.Config(enrich=False, estimate=False, deduplicate=False, as_of=AS_OF)
+_STRICT = P.Config(strict=True, clean=False, enrich=False, estimate=False, deduplicate=False, as_of=AS_OF)
+_ODD = f"SELECT id, 'phone' AS field FROM companies JOIN pm USING (id) WHERE phone IS NOT NULL AND pm.status <> 'valid' UNION ALL SELECT id, 'email' FROM companies JOIN m USING (id) WHERE email IS NOT NULL AND m.status NOT IN ('valid', 'role_based') UNION ALL SELECT id, 'website' FROM companies JOIN u USING (id) WHERE website IS NOT NULL AND NOT regexp_matches(u.url, '{V.URL}')"
+
+
+@query("pipeline_counts", f"""WITH {_PARTS}, x AS ({_ODD}), c AS (SELECT count(*) AS n FROM companies), k AS (SELECT count(*) AS n FROM contacts)
+SELECT 'validate:companies' AS stage, n AS rows_in, n AS rows_out, 0::BIGINT AS dropped, (SELECT count(*) FROM x) AS errors FROM c UNION ALL SELECT 'clean:companies', n, n, 0, 0 FROM c
+UNION ALL SELECT 'validate:contacts', n, n, 0, n FROM k UNION ALL SELECT 'clean:contacts', n, n, 0, 0 FROM k""", "companies contacts")
+def _(t):
+    """Every contact's last name holds digits, which is an error of each."""
+    return P.run_pipeline(t.companies, t.contacts, _CHECKED)[2]
+
+
+@query("pipeline_errors", f"WITH {_PARTS}, x AS ({_ODD}) SELECT 'validate:companies' AS stage, CAST(id AS VARCHAR) AS id, field FROM x", "companies")
+def _(t):
+    return P.run_with_errors(t.companies, t.contacts.limit(0), _STRICT)[3].select("stage", "id", "field")
+
+
+@query("pipeline_strict_counts", f"WITH {_PARTS}, x AS ({_ODD}) SELECT 'validate:companies' AS stage, count(*) AS rows_in, count(*) - (SELECT count(DISTINCT id) FROM x) AS rows_out, (SELECT count(DISTINCT id) FROM x) AS dropped, (SELECT count(*) FROM x) AS errors FROM companies", "companies")
+def _(t):
+    return P.run_pipeline(t.companies, t.contacts.where("id < 0"), _STRICT)[2].where("stage = 'validate:companies'")
+
+
 @query("finalize_records", "SELECT id, '1.0' AS version, '2024-04-01 00:00:00' AS processed_at FROM companies", "companies")
 def _(t):
     rows = P.finalize_records(t.companies, "1.0", {"clean": True}, AS_OF)
