@@ -195,9 +195,21 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+def common_characters(a: Column, b: Column) -> Column:
+    """Characters that two texts share, each as often as in both."""
+    held = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    letters = F.filter(F.array_distinct(F.split(a, "")), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(held(a, c), held(b, c)))
+
+
 def ratio(a: Column, b: Column, metric: str = "ratio") -> Column:
-    """0 if one is empty, 1 if equal, else 2M/T by matching blocks (Arrow batches), or 1 - distance / longer (native)."""
-    if metric == "levenshtein":
+    """0 if one is empty, 1 if equal, else 2M/T by matching blocks (Arrow batches), or 1 - distance / longer (native).
+
+    ``bound`` is what neither can exceed, native: the characters that both have, whatever their order, in place of the matching ones.
+    """
+    if metric == "bound":
+        near = 2.0 * common_characters(a, b) / (F.length(a) + F.length(b))
+    elif metric == "levenshtein":
         near = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)).cast("double")
     else:
         near = F.pandas_udf(_ratios, "double")(a, b)
@@ -252,40 +264,62 @@ def url_similarity(pairs: DataFrame, a: str, b: str, metric: str = "ratio") -> D
     return _scored(pairs, a, b, "similarity", url_score, metric)
 
 
-def _matches(df: DataFrame, pairs: DataFrame, scores: dict, thresholds: dict[str, float], decisive: str, metric: str) -> DataFrame:
+#: Types of match from the surest down, with the least confidence of each.
+TYPES = {"exact": 0.9, "high": 0.8, "medium": 0.6, "low": 0.4}
+
+
+def _mean(scores: list[Column]) -> Column:
+    some = F.filter(F.array(*scores), lambda s: s.isNotNull())
+    return F.when(F.size(some) > 0, F.round(F.aggregate(some, F.lit(0.0), lambda a, s: a + s) / F.size(some), 6)).otherwise(0.0)
+
+
+def _possible(met: DataFrame, scores: dict, thresholds: dict[str, float], decisive: str, least: str) -> DataFrame:
+    """The pairs that may be matches of type ``least`` or surer: those whose scores' bounds reach its confidence, or the decisive field's threshold."""
+    given = lambda c: filled(f"{c}_a") & filled(f"{c}_b")
+    bounds = {f: F.when(given(c), F.round(score(F.col(f"{c}_a"), F.col(f"{c}_b"), "bound"), 6)) for f, (c, score) in scores.items()}
+    met = met.withColumns({f"__b_{f}": b for f, b in bounds.items()})
+    reached = (_mean([F.col(f"__b_{f}") for f in scores]) >= TYPES[least]) | F.coalesce(F.col(f"__b_{decisive}") >= thresholds[decisive], F.lit(False))
+    return met.where(reached).drop(*[f"__b_{f}" for f in scores])
+
+
+def _matches(df: DataFrame, pairs: DataFrame, scores: dict, thresholds: dict[str, float], decisive: str, metric: str, least: str | None = None) -> DataFrame:
     fields = list(scores)
     side = lambda s: df.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c, _ in scores.values()])
     met = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     given = lambda c: filled(f"{c}_a") & filled(f"{c}_b")
+    met = met if least is None else _possible(met, scores, thresholds, decisive, least)
     met = met.withColumns({f"s_{f}": F.when(given(c), F.round(score(F.col(f"{c}_a"), F.col(f"{c}_b"), metric), 6)) for f, (c, score) in scores.items()})
     pick = lambda test: F.array_compact(F.array(*[F.when(test(F.col(f"s_{f}"), thresholds[f]), f) for f in fields]))
     met = met.withColumns({"matching_fields": pick(lambda s, t: s >= t), "conflicting_fields": pick(lambda s, t: (s < 0.3) & (s < t))})
-    some = F.filter(F.array(*[F.col(f"s_{f}") for f in fields]), lambda s: s.isNotNull())
-    met = met.withColumn("confidence", F.when(F.size(some) > 0, F.round(F.aggregate(some, F.lit(0.0), lambda a, s: a + s) / F.size(some), 6)).otherwise(0.0))
-    c = F.col("confidence")
-    kind = F.when((F.size(some) > 0) & ((c >= 0.9) | F.array_contains("matching_fields", decisive)), "exact").when(c >= 0.8, "high").when(c >= 0.6, "medium").when(c >= 0.4, "low").otherwise("no_match")
+    met = met.withColumn("confidence", _mean([F.col(f"s_{f}") for f in fields]))
+    c, any_ = F.col("confidence"), F.coalesce(*[F.col(f"s_{f}") for f in fields]).isNotNull()
+    kind = F.when(any_ & ((c >= TYPES["exact"]) | F.array_contains("matching_fields", decisive)), "exact").when(c >= TYPES["high"], "high").when(c >= TYPES["medium"], "medium").when(c >= TYPES["low"], "low").otherwise("no_match")
+    if least is not None:
+        met = met.where(kind.isin(*list(TYPES)[: list(TYPES).index(least) + 1]))
     return met.select("id_a", "id_b", kind.alias("match_type"), "confidence", "matching_fields", "conflicting_fields", F.struct(*[F.col(f"s_{f}").alias(f) for f in fields]).alias("field_scores"))
 
 
 def company_matches(
-    df: DataFrame, thresholds: dict[str, float] = COMPANY_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None, fuzzy: bool = False
+    df: DataFrame, thresholds: dict[str, float] = COMPANY_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None, fuzzy: bool = False, least: str | None = None
 ) -> DataFrame:
     """Candidate pairs with scores of name, domain (or website), e-mail and phone, their mean, and the type of match.
 
-    ``fuzzy`` takes as candidates also rows of near names that share no key.
+    ``fuzzy`` takes as candidates also rows of near names that share no key. ``least`` keeps matches of this type and surer ones;
+    pairs that cannot be one by the characters of their fields are left out natively before any is compared block by block.
     """
     c = with_columns(df, domain="string")
     c = c.withColumn("site", F.coalesce(F.nullif("domain", F.lit("")), "website"))
     pairs = dup_candidate_pairs(norm_keys(c), fuzzy=fuzzy) if pairs is None else pairs
-    return _matches(c, pairs, {"name": ("name", string_score), "domain": ("site", url_score), "email": ("email", email_score), "phone": ("phone", phone_score)}, thresholds, "domain", metric)
+    return _matches(c, pairs, {"name": ("name", string_score), "domain": ("site", url_score), "email": ("email", email_score), "phone": ("phone", phone_score)}, thresholds, "domain", metric, least)
 
 
 def contact_matches(
-    df: DataFrame, thresholds: dict[str, float] = CONTACT_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None, fuzzy: bool = False
+    df: DataFrame, thresholds: dict[str, float] = CONTACT_THRESHOLDS, metric: str = "ratio", pairs: DataFrame | None = None, fuzzy: bool = False, least: str | None = None
 ) -> DataFrame:
+    """The same over contacts: scores of full name, e-mail (which decides) and phone."""
     c = df.withColumn("full", F.concat_ws(" ", "first_name", "last_name"))
     pairs = dup_candidate_pairs(norm_keys(df), fuzzy=fuzzy) if pairs is None else pairs
-    return _matches(c, pairs, {"name": ("full", string_score), "email": ("email", email_score), "phone": ("phone", phone_score)}, thresholds, "email", metric)
+    return _matches(c, pairs, {"name": ("full", string_score), "email": ("email", email_score), "phone": ("phone", phone_score)}, thresholds, "email", metric, least)
 
 
 def duplicate_groups(ids: DataFrame, matches: DataFrame) -> DataFrame:

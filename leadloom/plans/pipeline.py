@@ -106,8 +106,8 @@ def run_with_errors(companies: DataFrame, contacts: DataFrame, config: Config |
         step("enrich", "contacts", enrichment.enrich_contacts)
     if config.deduplicate:
         c, k = now["companies"], now["contacts"]
-        groups = saved(dedup.duplicate_groups(c, dedup.company_matches(c, metric=config.metric)), "groups")
-        people = saved(dedup.duplicate_groups(k, dedup.contact_matches(k, metric=config.metric)), "people")
+        groups = saved(dedup.duplicate_groups(c, dedup.company_matches(c, metric=config.metric, least="high")), "groups")
+        people = saved(dedup.duplicate_groups(k, dedup.contact_matches(k, metric=config.metric, least="high")), "people")
         # Contacts of a merged company follow it to the one that stays.
         kept = dedup.merge_most_complete(c, groups).select("group_id", F.col("id").alias("__kept"))
         moved = saved(groups.join(kept, "group_id").select(F.col("id").alias("__company"), "__kept"), "moved")

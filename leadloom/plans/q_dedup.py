@@ -127,6 +127,11 @@ def _(t):
     return _shown(D.company_matches(t.linked_companies, metric="levenshtein"))
 
 
+@query("sure_company_matches", f"WITH {_linked(_SCORED)} SELECT * FROM m WHERE match_type IN ('exact', 'high')", "linked_companies")
+def _(t):
+    return _shown(D.company_matches(t.linked_companies, metric="levenshtein", least="high"))
+
+
 _FULL_NAMES = "concat_ws(' ', first_name, last_name)"
 _PEOPLE = f"""k AS (SELECT id, nullif({_name(_FULL_NAMES)}, '') AS name_key, nullif({_phone('phone')}, '') AS phone_key, CASE WHEN contains(email, '@') THEN lower(trim(email)) END AS email_key FROM contacts),
 l AS (SELECT id, 'e' AS kind, email_key AS v FROM k UNION ALL SELECT id, 'p', phone_key FROM k UNION ALL SELECT id, 't', CASE WHEN length(phone_key) >= 10 THEN right(phone_key, 10) END FROM k UNION ALL SELECT id, 'n', name_key FROM k),
@@ -151,7 +156,7 @@ w AS (SELECT id, id AS met FROM companies UNION SELECT w.id, e.b FROM w JOIN e O
 
 
 def _groups(t):
-    return D.duplicate_groups(t.linked_companies, D.company_matches(t.linked_companies, metric="levenshtein"))
+    return D.duplicate_groups(t.linked_companies, D.company_matches(t.linked_companies, metric="levenshtein", least="high"))
 
 
 @query("duplicate_groups", f"WITH RECURSIVE {_GROUPS} SELECT id, group_id FROM g", "linked_companies")

@@ -174,6 +174,25 @@ def test_one_name_held_by_many_rows_loses_no_near_email(spark, n):
         assert got - want <= {(0, b) for b in range(1, n)}
 
 
+def test_bounds_lose_no_match_and_leave_most_out(spark, capsys):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    pick = lambda some: rng.choice(some)
+    rows = [(k, pick([word(8), "Acme Corp", "Acme Corps", "acme", "", None]), pick([None, "https://h%d.com/a" % (k % 9), "h1.com"]), pick([None, word(4).replace(" ", "") + "@a.com", "info@a.com"]), pick([None, "2125550%03d" % rng.randrange(1000), "12125550100", "5550100"])) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, name string, website string, email string, phone string")
+    every = D.dup_candidate_pairs(df, exhaustive=True)
+    for metric in ("ratio", "levenshtein"):
+        for matches in (D.company_matches, lambda d, **k: D.contact_matches(d.withColumnsRenamed({"name": "first_name"}).withColumn("last_name", F.lit(None).cast("string")), **k)):
+            full = matches(df, metric=metric, pairs=every).collect()
+            for least, kinds in (("high", {"exact", "high"}), ("low", {"exact", "high", "medium", "low"})):
+                assert sorted(map(repr, matches(df, metric=metric, pairs=every, least=least).collect())) == sorted(repr(r) for r in full if r.match_type in kinds)
+    met = every.join(df.toDF("id_a", "name_a", "site_a", "email_a", "phone_a"), "id_a").join(df.toDF("id_b", "name_b", "site_b", "email_b", "phone_b"), "id_b")
+    fields = {"name": ("name", D.string_score), "domain": ("site", D.url_score), "email": ("email", D.email_score), "phone": ("phone", D.phone_score)}
+    share = D._possible(met, fields, D.COMPANY_THRESHOLDS, "domain", "high").count() / met.count()
+    print(f"pairs left to compare block by block: {share:.2f}")
+    assert share < 0.5
+
+
 def test_set_join_equals_brute_force(spark):
     rng = random.Random(2)
     sets = {(g, v): sorted(set(rng.choices("abcdefghijklmnop" if rng.random() < 0.7 else "xyz", k=rng.randrange(1, 12)))) for g in range(3) for v in range(120)}
