@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints.
 
-A record is a JSON object. The nested field paths of a record, without values and types, are hashed to its fingerprint; the
-fingerprint picks a declarative mapping that turns the record into canonical turns (role, text). Turns are then written as
+A record is a JSON object. The nested field paths of a record are hashed to its fingerprint; scalar types do not matter, but it does
+whether a field is one value, a list of parts, or now one and now the other. Fields that no mapping reads are left out with all
+below them. The fingerprint picks a declarative mapping that turns the record into canonical turns (role, text). Turns are then written as
 segments of one template: markers around role and text, control strings inside them escaped reversibly. A conversation is
 the sequence of its segments, so one with very many turns is never put into one value.
 """
@@ -26,7 +27,7 @@ CONTROL = r"(/?s>|/?INST\]|/?SYS>>|\|[^|<>\[\]]{1,32}\|>)"
 ESCAPE, UNESCAPE = rf"([<\[])(\\*){CONTROL}", rf"([<\[])\\(\\*){CONTROL}"
 #: Roles of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-TYPES = r": (BIGINT|BINARY|BOOLEAN|DATE|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT|STRING|TIMESTAMP|TIMESTAMP_NTZ|UUID|VARIANT|VOID)(?=[,>])"
+TYPES = r": (BIGINT|BINARY|BOOLEAN|DATE|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT|STRING|TIMESTAMP|TIMESTAMP_NTZ|UUID|VOID)(?=[,>])"
 
 
 def _turn(role: Column | str, text: Column) -> Column:
@@ -44,27 +45,47 @@ def _canonical(role: Column) -> Column:
     return F.coalesce(named[F.lower(role)], role)
 
 
+def _parts(content: Column) -> Column:
+    """Text of a variant: of a list the texts of its parts one after the other (a part without text, such as an image, gives none), of anything else its string."""
+    plain = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    texts = F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), plain(p), F.lit("")))
+    return F.when(F.schema_of_variant(content).startswith("ARRAY"), F.array_join(texts, "")).otherwise(F.try_variant_get(content, "$", "string"))
+
+
+#: Content of messages that is not one string in all of them.
+MIXED = ([{"text": ""}], [{}], [""], ["", {"text": ""}], [{"text": ""}, {"text": [0]}])
+
+
+def _lists(top: str, role: str, text: str) -> tuple[dict, ...]:
+    """Examples: lists of parts, texts and lists in turn, texts and other values in turn."""
+    said = [[{role: "", text: x}] for x in MIXED] + [[{role: "", text: ""}, {role: "", text: x}] for x in ([], 0)]
+    return tuple({top: x} for x in said)
+
+
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: its fields (JSON by example), which of them may be absent, the schema to read and the turns to make."""
+    """A layout: its fields (JSON by example, or several examples), which of them may be absent, the schema to read and the turns to make."""
 
     name: str
-    example: dict
+    example: dict | tuple[dict, ...]
     schema: str
     turns: Callable[[Column], Column]
     optional: tuple[str, ...] = field(default=())
 
     def examples(self) -> list[str]:
         gone = [c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
-        return [json.dumps({k: v for k, v in self.example.items() if k not in g}) for g in gone]
+        given = (self.example,) if isinstance(self.example, dict) else self.example
+        return [json.dumps({k: v for k, v in e.items() if k not in g}) for e in given for g in gone]
 
 
-#: Plain fields that a mapping may read.
-KNOWN = ("turn", "role", "text", "content", "from", "value", "system", "prompt", "completion", "response", "instruction", "input", "output", "context", "question", "answer")
+#: Fields that a mapping may read; others do not belong to the layout, nor what is below them.
+KNOWN = ("messages", "conversations", "turn", "role", "text", "content", "from", "value", "system", "prompt", "completion", "response", "instruction", "input", "output", "context", "question", "answer")
 MAPPINGS = (
     Mapping("turn_row", {"turn": 0, "role": "", "text": ""}, "turn long, role string, text string", lambda r: F.array(_turn(r["role"], r["text"])), ("role", "text", "turn")),
     Mapping("messages", {"messages": [{"role": "", "content": ""}]}, "messages array<struct<role string, content string>>", lambda r: F.transform(r["messages"], lambda m: _turn(_canonical(m["role"]), m["content"]))),
     Mapping("from_value", {"conversations": [{"from": "", "value": ""}]}, "conversations array<struct<`from` string, value string>>", lambda r: F.transform(r["conversations"], lambda m: _turn(_canonical(m["from"]), m["value"]))),
+    Mapping("messages_parts", _lists("messages", "role", "content"), "messages array<struct<role string, content variant>>", lambda r: F.transform(r["messages"], lambda m: _turn(_canonical(m["role"]), _parts(m["content"])))),
+    Mapping("from_value_parts", _lists("conversations", "from", "value"), "conversations array<struct<`from` string, value variant>>", lambda r: F.transform(r["conversations"], lambda m: _turn(_canonical(m["from"]), _parts(m["value"])))),
     Mapping("prompt_completion", {"system": "", "prompt": "", "completion": ""}, "system string, prompt string, completion string", lambda r: F.array(_said("system", r["system"]), _turn("user", r["prompt"]), _turn("assistant", r["completion"])), ("system",)),
     Mapping("prompt_response", {"system": "", "prompt": "", "response": ""}, "system string, prompt string, response string", lambda r: F.array(_said("system", r["system"]), _turn("user", r["prompt"]), _turn("assistant", r["response"])), ("system",)),
     Mapping("instruction", {"system": "", "instruction": "", "input": "", "output": ""}, "system string, instruction string, input string, output string", lambda r: F.array(_said("system", r["system"]), _turn("user", F.concat_ws("\n\n", r["instruction"], F.nullif(r["input"], F.lit("")))), _turn("assistant", r["output"])), ("system", "input")),
@@ -80,14 +101,25 @@ HEAD = 64
 JSON = {"maxStringLen": str((1 << 31) - 1)}
 
 
+def _nested(depth: int) -> str:
+    """What stands between a bracket and the one that closes it, with others inside."""
+    return "[^<>]*+" if depth == 0 else rf"(?:[^<>]++|<{_nested(depth - 1)}>)*+"
+
+
+#: A field, with its type, that no mapping reads; objects and lists in it to a depth of twelve.
+UNREAD = rf"(?<=<|, )(?!(?:{'|'.join(KNOWN)})(?:[,>]|: ))[^<>,:]+(?:: (?:VARIANT|(?:ARRAY|OBJECT)<{_nested(12)}>))?(?=[,>])"
+
+
 def layout(record: Column) -> Column:
     """The nested field paths of a JSON record, sorted, in one string; null if it is no JSON.
 
     Strings are cut to their first ``HEAD`` characters before the record is parsed, as paths do not need the rest and a
-    parsed value has a limit of size. Plain fields that no mapping knows are left out, so they do not change the layout.
+    parsed value has a limit of size. Fields that no mapping knows are left out with what is below them, so they do not change
+    the layout. Elements of a list are taken together; where one has a value and another a list or object in the same field,
+    the field is marked as mixed.
     """
     paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(F.regexp_replace(record, STRING % HEAD, '$1"'))), TYPES, "")
-    known = F.regexp_replace(paths, rf"(?<=[<,] ?)(?!(?:{'|'.join(KNOWN)})[,>])[^<>,:]+(?=[,>])", "")
+    known = F.regexp_replace(paths, UNREAD, "")
     known = F.regexp_replace(known, r"(?:, ?)+(?=[,>])|(?<=<)(?:, ?)+", "")
     return F.when(known == "OBJECT<>", paths).otherwise(known)
 

@@ -69,6 +69,33 @@ def test_other_plain_fields_do_not_matter(spark):
     assert got == {0: [("from_value", "user", "a")], 1: [("messages", "user", "a")], 2: [(None, None, None)], 3: [("prompt_completion", "user", "a"), ("prompt_completion", "assistant", "b")]}
 
 
+def test_mixed_layouts_of_all_mappings(spark):
+    """Content as a string, as parts and as both; nested fields that do not matter; what is not read is not taken for text."""
+    call = {"tool_calls": [{"id": "c", "function": {"name": "f", "arguments": "{}", "text": "no"}}], "meta": {"messages": [{"role": "x", "content": [1]}], "deep": {"deeper": [[{"text": 1}]]}}}
+    part = lambda *t: [{"type": "text", "text": x} if x is not None else {"type": "image_url", "image_url": {"url": "u", "text": "no"}} for x in t]
+    cases = [
+        ({"messages": [{"role": "user", "content": "[1] is text"}, {"role": "assistant", "content": part("hi", " there"), **call}]}, "messages_parts", [("user", "[1] is text"), ("assistant", "hi there")]),
+        ({"messages": [{"role": "human", "content": part("see", None)}, {"role": "assistant", "content": part("b")}], **call}, "messages_parts", [("user", "see"), ("assistant", "b")]),
+        ({"messages": [{"role": "user", "content": part(None)}]}, "messages_parts", [("user", "")]),
+        ({"messages": [{"role": "user", "content": ["a", "b"]}]}, "messages_parts", [("user", "ab")]),
+        ({"messages": [{"role": "user", "content": ["a", {"text": "c"}]}]}, "messages_parts", [("user", "ac")]),
+        ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": 7}]}, "messages_parts", [("user", "a"), ("assistant", "7")]),
+        ({"messages": [{"role": "user", "content": "a", **call}, {"role": "assistant", "content": None}], **call}, "messages", [("user", "a"), ("assistant", "")]),
+        ({"conversations": [{"from": "human", "value": part("a")}, {"from": "gpt", "value": "b", **call}]}, "from_value_parts", [("user", "a"), ("assistant", "b")]),
+        ({"conversations": [{"from": "human", "value": "a", **call}]}, "from_value", [("user", "a")]),
+        ({"prompt": "a", "completion": "b", **call}, "prompt_completion", [("user", "a"), ("assistant", "b")]), ({"prompt": "a", "response": "b", **call}, "prompt_response", [("user", "a"), ("assistant", "b")]),
+        ({"instruction": "a", "output": "b", **call}, "instruction", [("user", "a"), ("assistant", "b")]), ({"question": "a", "answer": "b", **call}, "question_answer", [("user", "a"), ("assistant", "b")]),
+        ({"turn": 3, "role": "user", "text": "t", **call}, "turn_row", [("user", "t")]),
+        ({"prompt": {"text": "nested"}, "completion": "b"}, None, [(None, None)]), ({"prompt": ["a"], "completion": "b"}, None, [(None, None)]), ({"messages": {"role": "user", "content": "a"}}, None, [(None, None)]), (call, None, [(None, None)]),
+    ]
+    rows = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in enumerate(cases)], "k long, record string")
+    got = {}
+    for r in chat.canonical_turns(rows, "record").orderBy("k", "turn").collect():
+        got.setdefault(r.k, []).append((r.mapping, r.role, r.text))
+    for k, (_, mapping, turns) in enumerate(cases):
+        assert got[k] == [(mapping, *t) for t in turns], cases[k]
+
+
 def test_long_records_and_unmapped_ones_stay(spark):
     long = 'say "x" \\ \u00e9\n' * 300000  # 5.1 million characters; layouts read the first 64 of each string
     rows = [(1, json.dumps({"turn": 0, "role": "assistant", "text": long})), (2, json.dumps({"other": {"deep": [1]}})), (3, json.dumps({"messages": [{"role": "user", "content": "\\" * 65 + '"' * 70}]})), (4, None)]
