@@ -102,8 +102,31 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies "
+                "this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available "
+                "at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
+#: Creative Commons licences by the elements of their names, and identifiers with the endings that the tag may have.
+_ELEMENTS = {"by": "Attribution", "sa": "ShareAlike", "nc": "NonCommercial", "nd": "NoDerivatives"}
+_COMMONS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+_ENDINGS = {"GPL-2.0": ("-only", "-or-later"), "GPL-3.0": ("-only", "-or-later"), "LGPL-2.1": ("-only", "-or-later"), "LGPL-3.0": ("-only", "-or-later"), "AGPL-3.0": ("-only", "-or-later")}
+
+
+def _notices() -> list[tuple[str, str]]:
+    """Notices that follow from names: how to view a Creative Commons licence, and the SPDX tag of every licence."""
+    out = []
+    for code in _COMMONS:
+        title = "-".join(_ELEMENTS[x] for x in code.split("-"))
+        out.append((f"CC-{code.upper()}-4.0", f"This work is licensed under the Creative Commons {title} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{code}/4.0/"))
+    for name in dict.fromkeys([n for n, _ in TEMPLATES] + [n for n, _ in out]):
+        out += [(name, f"SPDX-License-Identifier: {name}{ending}") for ending in ("", *_ENDINGS.get(name, ()))]
+    return out
+
+
+TEMPLATES += tuple(_notices())
+
 
 def template_table(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
     """Of each template its words, its distinct bigrams, and the numbers of bigrams that a window may have to reach the threshold with it."""

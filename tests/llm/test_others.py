@@ -240,6 +240,54 @@ def test_licences_by_hand(spark):
     assert licenses.scanned(df.limit(0)).count() == 0
 
 
+def licences_of_all_windows(text):
+    """Every window of every template's length, wherever it begins, compared with the template."""
+    import re
+
+    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    pairs, found = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)], set()
+    for t in licenses.template_table():
+        own = set(t["bigrams"])
+        for a in range(len(pairs)):
+            window = set(pairs[a : a + t["span"]])
+            if t["lo"] <= len(window) <= t["hi"] and round(2 * len(window & own) / (len(window) + t["n"]), 6) >= licenses.THRESHOLD:
+                found.add(t["license"])
+    return found
+
+
+def test_windows_placed_by_anchors_find_what_all_windows_find(spark, capsys):
+    """Templates with words put in, taken out and changed, in other words; held against all windows of all lengths, without anchors."""
+    rng = random.Random(12)
+    filler = "the of license software copy under terms version and you may notice public".split()
+    texts = []
+    for k in range(120):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.choice([0, 0, 1, len(words) // 20, len(words) // 12])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choices(filler, k=rng.randrange(2))
+            words = words or ["x"]
+        texts.append(" ".join(rng.choices(filler, k=rng.randrange(8)) + words + rng.choices(filler, k=rng.randrange(8))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in licenses.scanned(df).collect()}
+    want = [licences_of_all_windows(t) for t in texts]
+    assert all(got[k] <= w for k, w in enumerate(want))
+    some = [k for k, w in enumerate(want) if w]
+    hit = sum(bool(got[k]) for k in some)
+    print(f"texts with a window of some template: {len(some)}, found: {hit}")
+    assert len(some) > 60 and hit >= 0.97 * len(some)
+
+
+@pytest.mark.parametrize("tag, name", [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"), ("Nonesuch-1.0", None)])
+def test_spdx_tags(spark, tag, name):
+    df = spark.createDataFrame([(1, f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\nset -e\n")], "doc_id long, text string")
+    assert licenses.scanned(df).first().license == name
+
+
+def test_eclipse_and_commons_notices(spark):
+    rows = [(1, "/*** This program and the\n * accompanying materials are made available under the terms of the Eclipse Public\n * License 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0/ */ int x;"), (2, "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License. To view a copy of this license, visit https://creativecommons.org/licenses/by-nc-nd/4.0/.")]
+    assert {r.doc_id: r.licenses for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: "EPL-2.0", 2: "CC-BY-NC-ND-4.0"}
+
+
 def test_no_match_is_passed_over():
     """Any window that reaches the threshold holds a bigram with a telling word, so it has an anchor."""
     known = licenses.template_table()
