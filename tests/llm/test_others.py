@@ -165,10 +165,12 @@ def linked_by_brute_force(fps):
     return {d: top(d) for d in ids}
 
 
-def test_query_recall_against_brute_force(spark, small):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_recall_against_brute_force(spark, small, sf):
     """The registered query on its table: no wrong link, and at least 0.9 of the pairs that share a class by all-pairs comparison."""
-    rows = audio.op3_media_columns(spark, small).collect()
-    table = spark.read.parquet(f"{small}/embeddings.parquet")
+    folder = small.replace("sf0.001", sf)
+    rows = audio.op3_media_columns(spark, folder).collect()
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
     assert len(rows) == table.count()
     fps = {r.rec_id: r.fp for r in audio.fingerprints(audio.played(table)).collect() if r.fp}
     want, got = linked_by_brute_force(fps), {r.rec_id: r.class_id for r in rows}
