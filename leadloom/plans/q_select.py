@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import select as S
+from ..sources import paged as PG
 from .registry import query
 
 HOST = "nullif(regexp_replace(regexp_extract(lower(trim({0})), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]*)', 1), '^www\\.', ''), '')"
@@ -141,6 +142,18 @@ def _(t):
     return S.page(t.companies, 2, 20)[0].select("id", "name")
 
 
+@query("indexed_page_rows", "SELECT id, name, employee_count FROM companies ORDER BY employee_count DESC NULLS LAST, id LIMIT 40 OFFSET 80", "companies")
+def _(t):
+    rows = t.companies.select("id", "name", "employee_count")
+    return PG.page(t.spark, PG.ordered(rows, "employee_count", descending=True, parts=8), rows.schema, 3, 40)[0]
+
+
+@query("indexed_page", "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages, CAST(2 AS BIGINT) AS page, 2 < ceil(count(*) / 20.0) AS has_next, true AS has_prev, CASE WHEN 2 < ceil(count(*) / 20.0) THEN CAST(3 AS BIGINT) END AS next_page, CAST(1 AS BIGINT) AS prev_page FROM companies", "companies")
+def _(t):
+    rows = t.companies.select("id", "name")
+    return PG.page(t.spark, PG.ordered(rows, "name", parts=8), rows.schema, 2, 20)[1]
+
+
 @query("top_k_counts", "SELECT job_title AS value, count(*) AS count FROM contacts WHERE job_title IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "contacts")
 def _(t):
     return S.top_k_counts(t.contacts, "job_title", 10)

@@ -28,6 +28,17 @@ def _(t):
     return T.read_tables(t.spark, t.dir, names=("customer",))["customer"].agg(F.count("*").alias("rows"), F.count_distinct("c_mktsegment").alias("segments"))
 
 
+@query("read_csv_tables", """SELECT CAST(id AS VARCHAR) AS id, name, employee_count, lead_score, CAST(created_at AS VARCHAR) AS created_at, city, coalesce(len(string_split(technologies_csv, ',')), -1) AS n_technologies FROM companies""", "companies")
+def _(t):
+    """Companies as CSV in another order of columns, read back in their types."""
+    path = _path(t)
+    c = t.companies.select(F.to_json("location").alias("location"), F.to_json("technologies").alias("technology_stack"), "lead_score", "employee_count", "name", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "id")
+    c.write.option("header", True).option("escape", '"').csv(f"{path}/companies.csv")
+    rows = T.read_tables(t.spark, path, "csv", ("companies",))["companies"]
+    n = F.coalesce(F.size("technology_stack"), F.lit(-1)).cast("long")
+    return rows.select("id", "name", "employee_count", "lead_score", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.col("location.city").alias("city"), F.when(F.col("technology_stack").isNull(), -1).otherwise(n).cast("long").alias("n_technologies"))
+
+
 @query("conform_companies", "SELECT id, company_size, website, coalesce(len(string_split(technologies_csv, ',')), 0) AS n_technologies, city, state FROM companies", "companies")
 def _(t):
     other = t.companies.select("id", F.col("company_size").alias("size_range"), F.col("website").alias("website_url"), F.when(F.col("id") % 2 == 0, F.to_json("technologies")).otherwise(F.col("technologies_csv")).alias("technologies"), F.when(F.col("id") % 2 == 0, F.to_json("location")).otherwise(F.concat_ws(", ", "city", "state", "country")).alias("location"))

@@ -18,12 +18,31 @@ SCHEMAS = {
 }
 
 
+def typed(df: DataFrame, schema: str | None) -> DataFrame:
+    """Columns of text as the types of ``schema``: lists, structs and maps from JSON, values that are no such type null.
+
+    Columns that ``schema`` has and ``df`` lacks are null; columns that it does not name stay text, behind the others.
+    """
+    fields, has = T.StructType.fromDDL(schema).fields if schema else [], set(df.columns)
+
+    def one(f: T.StructField) -> Column:
+        if f.name not in has:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        return (F.from_json(f.name, f.dataType) if nested else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+
+    return df.select(*map(one, fields), *[c for c in df.columns if c not in {f.name for f in fields}])
+
+
 def read_tables(spark: SparkSession, folder: str, kind: str = "parquet", names: tuple[str, ...] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
-    """The lead tables of a folder, lazily, with their canonical schema for JSON; Parquet and CSV bring their own columns."""
+    """The lead tables of a folder, lazily: JSON and CSV (with a header) in their canonical schema, Parquet in its own.
+
+    CSV may have its columns in any order, lists and structs as JSON; a table without a canonical schema is read as text.
+    """
     read = {
         "parquet": lambda n: spark.read.parquet(f"{folder}/{n}.parquet"),
         "json": lambda n: spark.read.schema(SCHEMAS[n]).json(f"{folder}/{n}.json"),
-        "csv": lambda n: spark.read.option("header", True).csv(f"{folder}/{n}.csv"),
+        "csv": lambda n: typed(spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{n}.csv"), SCHEMAS.get(n)),
     }[kind]
     return {n: read(n) for n in names}
 
