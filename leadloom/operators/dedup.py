@@ -287,7 +287,8 @@ def _matches(df: DataFrame, pairs: DataFrame, scores: dict, thresholds: dict[str
     side = lambda s: df.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c, _ in scores.values()])
     met = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     given = lambda c: filled(f"{c}_a") & filled(f"{c}_b")
-    met = met if least is None else _possible(met, scores, thresholds, decisive, least)
+    if least is not None and metric == "ratio":  # saved, so that what is left is dealt out evenly before Python compares it
+        met = saved(_possible(met, scores, thresholds, decisive, least), "dup-possible")
     met = met.withColumns({f"s_{f}": F.when(given(c), F.round(score(F.col(f"{c}_a"), F.col(f"{c}_b"), metric), 6)) for f, (c, score) in scores.items()})
     pick = lambda test: F.array_compact(F.array(*[F.when(test(F.col(f"s_{f}"), thresholds[f]), f) for f in fields]))
     met = met.withColumns({"matching_fields": pick(lambda s, t: s >= t), "conflicting_fields": pick(lambda s, t: (s < 0.3) & (s < t))})
