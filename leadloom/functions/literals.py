@@ -14,7 +14,7 @@ _ALIKE = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"} | {c: chr(c + 32) for
 
 def folded(text: str) -> str:
     """``text`` with the case of ASCII letters gone, character by character."""
-    return text.translate(_ALIKE)
+    return text.lower() if text.isascii() else text.translate(_ALIKE)
 
 
 def literal(pattern: str) -> str | None:
