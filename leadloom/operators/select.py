@@ -138,14 +138,29 @@ def semi_scoped(child: DataFrame, parent: DataFrame, on: str, user_id: int) -> D
     return tenant_scope(child, user_id, parent, on)
 
 
+def company_texts() -> list[Column]:
+    """What a search over companies looks in, lower-cased."""
+    return [F.lower("name"), host("website")]
+
+
+def contact_texts() -> list[Column]:
+    """What a search over contacts looks in, lower-cased."""
+    return [F.lower("first_name"), F.lower("last_name"), F.lower("email")]
+
+
+def holds(texts: list[Column], term: str) -> Column:
+    """One of the lower-cased texts contains the term, any case; null texts contain nothing."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(t, F.lit(term.lower())), F.lit(False)) for t in texts])
+
+
 def search_companies(df: DataFrame, user_id: int, term: str) -> DataFrame:
-    """A tenant's companies whose name or host contains the term, any case."""
-    return tenant_scope(df, user_id).where(contains_any_case("name", term) | F.coalesce(F.contains(host("website"), F.lit(term.lower())), F.lit(False)))
+    """A tenant's companies whose name or host contains the term, any case. ``sources.grams`` finds the same from a stored index."""
+    return tenant_scope(df, user_id).where(holds(company_texts(), term))
 
 
 def search_contacts(df: DataFrame, user_id: int, term: str) -> DataFrame:
-    any_of = [F.coalesce(contains_any_case(c, term), F.lit(False)) for c in ("first_name", "last_name", "email")]
-    return tenant_scope(df, user_id).where(any_of[0] | any_of[1] | any_of[2])
+    """A tenant's contacts whose first or last name or e-mail contains the term, any case."""
+    return tenant_scope(df, user_id).where(holds(contact_texts(), term))
 
 
 def search_leads(companies: DataFrame, contacts: DataFrame, industry: str | None = None, city: str | None = None, min_score: float | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -222,7 +237,7 @@ def contact_company_by_name(contacts: DataFrame, companies: DataFrame, name: str
 BROADCAST_TERMS = 10_000
 
 
-def _pieces(text: Column, sizes: tuple[int, ...]) -> Column:
+def pieces(text: Column, sizes: tuple[int, ...]) -> Column:
     """Distinct substrings of the given lengths."""
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(0)), F.lit(1)), lambda i: F.substr(text, i, F.lit(n)))
     return F.array_distinct(F.concat(*[F.when(F.length(text) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
@@ -235,8 +250,8 @@ def terms_within(values: DataFrame, terms: DataFrame) -> DataFrame:
     all of its own, and what meets is verified. So neither side is held anywhere whole and no value meets all terms.
     """
     short = [r[0] for r in terms.where(F.length("term").between(1, 2)).select(F.length("term")).distinct().collect()]
-    at = saved(values.select("value", F.explode(_pieces(F.col("value"), (3, *sorted(short)))).alias("piece")), "term-pieces")
-    own = F.when(F.length("term") < 3, F.array("term")).otherwise(_pieces(F.col("term"), (3,)))
+    at = saved(values.select("value", F.explode(pieces(F.col("value"), (3, *sorted(short)))).alias("piece")), "term-pieces")
+    own = F.when(F.length("term") < 3, F.array("term")).otherwise(pieces(F.col("term"), (3,)))
     asked = saved(terms.where(F.length("term") > 0).select("term", F.explode(own).alias("piece")), "terms-asked")
     counts = at.join(asked.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
     # A piece that no value has makes its term unfindable: its count is 0 and it is the rarest.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import select as S
+from ..sources import grams as G
 from ..sources import paged as PG
 from .registry import query
 
@@ -50,6 +51,17 @@ def _(t):
     return S.search_contacts(t.contacts, 2, "LEE1").select("id", "last_name", "email")
 
 
+@query("indexed_search_companies", f"SELECT id, name FROM companies WHERE created_by = 2 AND (contains(lower(name), 'globex 1') OR coalesce(contains({HOST.format('website')}, 'globex 1'), false))", "companies")
+def _(t):
+    return G.search_companies(t.spark, G.index_companies(t.companies.select("id", "name", "website", "created_by"), parts=8), 2, "Globex 1").select("id", "name")
+
+
+@query("indexed_search_contacts", "SELECT id, last_name, email FROM contacts WHERE created_by = 2 AND (contains(lower(first_name), 'lee1') OR contains(lower(last_name), 'lee1') OR coalesce(contains(lower(email), 'lee1'), false))", "contacts")
+def _(t):
+    rows = t.contacts.select("id", "first_name", "last_name", "email", "created_by")
+    return G.search_contacts(t.spark, G.index_contacts(rows, parts=8), 2, "LEE1").select("id", "last_name", "email")
+
+
 @query("search_leads", """
 SELECT c.id, name, industry, lead_score, count(k.id) AS contact_count, city, c.created_at FROM companies c LEFT JOIN contacts k ON k.company_id = c.id
 WHERE contains(lower(industry), 'e') AND lead_score >= 30 GROUP BY ALL ORDER BY lead_score DESC NULLS LAST, c.created_at DESC, c.id LIMIT 50 OFFSET 10""", "companies contacts")
