@@ -3,7 +3,9 @@
 Rows that share a key form a block, and all pairs of a block are candidates. Keys are host, e-mail, phone, its last ten digits and
 name; bands of minimum hashes over the name's 3-grams are keys of their own where near names are wanted (``fuzzy``). In a block of
 more than ``full`` rows the shared key says little, and a pair is a candidate if something else speaks for it as well: a second
-equal key, or a near name or e-mail, found by an exact set-similarity join of 3-grams (``near_sets``) that loses no pair.
+equal key or user of an e-mail, or a near name, e-mail or phone, found by an exact set-similarity join of 3-grams (``near_sets``)
+that loses no pair. Rows that have no other field in common, so that nothing speaks against them, are linked through the first
+row of each pattern of given fields.
 Groups are connected components by repeated minimum, never gathered.
 """
 
@@ -33,6 +35,8 @@ KEYS = ("host_key", "email_key", "phone_key", "phone10_key", "name_key")
 #: Minimum hashes of name 3-grams: bands of two. Names whose 3-grams have a Jaccard similarity of 0.6 share one with probability 0.99.
 BANDS, BAND_ROWS = 10, 2
 ENTRIES = "array<struct<kind: int, value: string>>"
+#: The kind of an e-mail's user, which is a second key only.
+USER = 1000
 
 
 def norm_name(c: Column) -> Column:
@@ -111,11 +115,13 @@ def near_sets(sets: DataFrame, threshold: float = NEAR) -> DataFrame:
 
 
 def _near_pairs(leads: DataFrame, values: DataFrame, full: int, near: float) -> DataFrame:
-    """``(id_a, id_b)`` of rows of one block whose ``values(__id, kind, scope, value, grams)`` are near or equal.
+    """``(id_a, id_b)`` of rows of one block whose ``values(__id, kind, known, scope, value, grams)`` are near or equal.
+
+    Values of which a key in ``known`` made the block say nothing in it and are left out.
 
     A value that over ``full`` rows of the block hold is met through the first of them, to which the others are linked.
     """
-    held = leads.join(values, (F.col("id") == F.col("__id")) & ~F.array_contains("kinds", F.col("kind")))
+    held = leads.join(values, (F.col("id") == F.col("__id")) & ~F.arrays_overlap("kinds", "known"))
     held = saved(held.select("id", F.xxhash64("block", "kind", "scope").alias("group"), F.xxhash64("value").alias("value"), "grams"), "dup-values")
     classes = saved(held.groupBy("group", "value").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.any_value("grams").alias("grams")), "dup-classes")
     pairs = saved(near_sets(classes, near), "dup-near")
@@ -133,10 +139,12 @@ def dup_candidate_pairs(
     """Distinct ``(id_a, id_b)`` with id_a < id_b of rows that share a key.
 
     All pairs of a block of up to ``full`` rows. In a larger one a row with all keys equal to an earlier one's pairs with that
-    only; the others pair with the block's first row, and with each other where a second key is equal too (if over ``full`` rows
-    share both, the same holds for these: at most one level per kind of key) or where names, or the parts before the @ of e-mails of
-    one domain, are near: a Jaccard similarity of ``near`` or more of their 3-grams, all such pairs, however many rows the block
-    has. Rows that share one of the near values with over ``full`` others are met through the first of these, with which they pair.
+    only; the others pair with the block's first row for each pattern of given keys (16 at most), so that rows that have nothing
+    but the block's key in common are of one group. They pair with each other where a second key, or the part of e-mails before
+    the @, is equal too (if over ``full`` rows share both, the same holds for these: at most one level per kind of key) or where
+    names, phones, or the parts before the @ of e-mails of one domain are near: a Jaccard similarity of ``near`` or more of their
+    3-grams, all such pairs, however many rows the block has. Rows that share one of the near values with over ``full`` others are
+    met through the first of these, with which they pair.
     ``fuzzy`` adds name bands as keys. ``exhaustive`` compares all rows, for small tables only. Null keys share nothing; a null id
     pairs with nothing; an empty table gives no pairs.
     """
@@ -146,10 +154,13 @@ def dup_candidate_pairs(
     given = [k for k in keys if k in df.columns]
     named = ["name_key"] if "name_key" in df.columns else []
     mailed = ["email_key"] if "email_key" in df.columns else []
-    alike = list(dict.fromkeys([*given, *named, *mailed]))
+    phoned = ["phone_key"] if "phone_key" in df.columns else []
+    alike = list(dict.fromkeys([*given, *named, *mailed, *phoned]))
     same = F.xxhash64(F.lit(0), *alike, *[F.col(k).isNull() for k in alike])
     entries = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("value")) for n, k in enumerate(given)]).cast(ENTRIES)
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), same.alias("same"), entries.alias("keys"), *dict.fromkeys([*named, *mailed]))
+    fields = [k for k in alike if k != "phone10_key"]
+    pattern = reduce(lambda a, b: a + b, [F.col(k).isNotNull().cast("int") * 2**n for n, k in enumerate(fields)], F.lit(0))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), same.alias("same"), pattern.alias("pattern"), entries.alias("keys"), *[*named, *mailed, *phoned])
     if fuzzy and named:
         banded = F.transform(name_bands(F.col("name_key")), lambda v, n: F.struct((n + len(given)).alias("kind"), v.alias("value")))
         every = F.concat("keys", F.coalesce(banded.cast(ENTRIES), F.array().cast(ENTRIES)))
@@ -157,10 +168,11 @@ def dup_candidate_pairs(
         every = F.col("keys")
     # A block is named by the hash of its kinds and values; kinds come in ascending order, so a set of keys makes one block.
     name = lambda *c: F.xxhash64(*c)
-    level = rows.select("id", "same", F.inline(every)).where("value is not null").select("id", "same", F.array("kind").alias("kinds"), name("kind", "value").alias("block"))
+    level = rows.select("id", "same", "pattern", F.inline(every)).where("value is not null")
+    level = level.select("id", "same", "pattern", F.array("kind").alias("kinds"), name("kind", "value").alias("block"))
     level, second, pairs = saved(level, "dup-keys"), None, []
     while True:
-        sizes = saved(level.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "dup-blocks")
+        sizes = saved(level.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"), "dup-blocks")
         small = saved(level.join(sizes.where(F.col("n") <= full), "block").select("block", "id"), "dup-small")
         pairs.append(small.select("block", F.col("id").alias("id_a")).join(small.select("block", F.col("id").alias("id_b")), "block").where("id_a < id_b").select("id_a", "id_b"))
         large = sizes.where(F.col("n") > full)
@@ -171,23 +183,46 @@ def dup_candidate_pairs(
         told = saved(inside.join(least, ["block", "same"]), "dup-told")
         pairs.append(told.where("id <> lead").select(F.col("lead").alias("id_a"), F.col("id").alias("id_b")))
         leads = told.where("id = lead")
-        pairs.append(leads.where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b")))
+        firsts = saved(leads.groupBy("block", "pattern").agg(F.min("id").alias("first")).drop("pattern"), "dup-firsts")
+        linked = leads.join(firsts, "block").where("id <> first")
+        pairs.append(linked.select(F.least("id", "first").alias("id_a"), F.greatest("id", "first").alias("id_b")))
         if second is None:
-            second = saved(rows.select(F.col("id").alias("__id"), F.inline("keys")).where("value is not null"), "dup-second")
+            second = saved(_second_keys(rows, given), "dup-second")
             values = saved(_near_values(rows, given), "dup-near-values")
         pairs.append(_near_pairs(leads, values, full, near))
-        more = leads.join(second, (F.col("id") == F.col("__id")) & (F.col("kind") > F.element_at("kinds", -1)))
-        level = saved(more.select("id", "same", F.concat("kinds", F.array("kind")).alias("kinds"), name("block", "kind", "value").alias("block")), "dup-level")
+        more = leads.join(second, (F.col("id") == F.col("__id")) & (F.col("kind") > F.element_at("kinds", -1)) & ~F.arrays_overlap("kinds", "known"))
+        level = saved(more.select("id", "same", "pattern", F.concat("kinds", F.array("kind")).alias("kinds"), name("block", "kind", "value").alias("block")), "dup-level")
+
+
+def _numbers(given: list[str], *keys: str) -> Column:
+    """The kinds of keys as an array; -1 for one that is not used."""
+    return F.array(*[F.lit(given.index(k) if k in given else -1) for k in keys])
+
+
+def _second_keys(rows: DataFrame, given: list[str]) -> DataFrame:
+    """``(__id, kind, known, value)``: the keys of a row, and the user of its e-mail in any domain."""
+    keys = rows.select(F.col("id").alias("__id"), F.inline("keys")).select("__id", "kind", F.array().cast("array<int>").alias("known"), "value")
+    if "email_key" in rows.columns:
+        user = F.nullif(F.substring_index("email_key", "@", 1), F.lit(""))
+        keys = keys.union(rows.select("id", F.lit(USER), _numbers(given, "email_key"), user))
+    return keys.where("value is not null")
 
 
 def _near_values(rows: DataFrame, given: list[str]) -> DataFrame:
-    """``(__id, kind, scope, value, grams)``: names, and e-mails by domain, with their 3-grams."""
-    number = lambda k: F.lit(given.index(k) if k in given else -1)
-    user, domain = F.substring_index("email_key", "@", 1), F.substring_index("email_key", "@", -1)
-    cells = {"name_key": (F.lit(""), F.col("name_key"), F.col("name_key")), "email_key": (domain, F.col("email_key"), user)}
-    told = [F.struct(number(k).alias("kind"), scope.alias("scope"), value.alias("value"), grams3(text).alias("grams")) for k, (scope, value, text) in cells.items() if k in rows.columns]
+    """``(__id, kind, known, scope, value, grams)``: names, phones, and e-mails by domain, with their 3-grams."""
+    user, domain, none = F.substring_index("email_key", "@", 1), F.substring_index("email_key", "@", -1), F.lit("")
+    cells = {
+        "name_key": (_numbers(given, "name_key"), none, F.col("name_key"), F.col("name_key")),
+        "email_key": (_numbers(given, "email_key"), domain, F.col("email_key"), user),
+        "phone_key": (_numbers(given, "phone_key", "phone10_key"), none, F.col("phone_key"), F.col("phone_key")),
+    }
+    told = [
+        F.struct(F.lit(k).alias("kind"), known.alias("known"), scope.alias("scope"), value.alias("value"), grams3(text).alias("grams"))
+        for k, (known, scope, value, text) in cells.items()
+        if k in rows.columns
+    ]
     if not told:
-        return rows.sparkSession.createDataFrame([], "__id long, kind int, scope string, value string, grams array<string>")
+        return rows.sparkSession.createDataFrame([], "__id long, kind string, known array<int>, scope string, value string, grams array<string>")
     return rows.select(F.col("id").alias("__id"), F.inline(F.array(*told))).where("value is not null")
 
 

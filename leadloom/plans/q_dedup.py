@@ -62,10 +62,13 @@ def _(t):
     return D.dup_candidate_pairs(D.norm_keys(t.companies), keys=(), fuzzy=True)
 
 
+#: In a large block rows without e-mail are equal in all keys, and all are linked to the first row with and without one.
 _CROWD = f"""k AS (SELECT id, {_name("concat_ws(' ', first_name, last_name)")} AS v, CASE WHEN contains(email, '@') THEN lower(trim(email)) END AS mail FROM crowded_contacts),
-s AS (SELECT v, count(*) AS n, min(id) AS first FROM k GROUP BY v),
-g AS (SELECT id, v, n, first, string_split(mail, '@')[2] AS domain, list_distinct(list_transform(range(1, length(string_split(mail, '@')[1]) - 1), lambda i: substr(mail, i, 3))) AS grams FROM k JOIN s USING (v)),
-p AS (SELECT a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.v = b.v AND a.id < b.id WHERE a.n <= {D.FULL} UNION SELECT first, id FROM g WHERE n > {D.FULL} AND id <> first
+s AS (SELECT v, count(*) AS n, min(id) FILTER (mail IS NOT NULL) AS mailed, min(id) FILTER (mail IS NULL) AS bare FROM k GROUP BY v),
+g AS (SELECT id, v, n, mail, mailed, bare, string_split(mail, '@')[1] AS user_part, string_split(mail, '@')[2] AS domain, list_distinct(list_transform(range(1, length(string_split(mail, '@')[1]) - 1), lambda i: substr(mail, i, 3))) AS grams FROM k JOIN s USING (v)),
+f AS (SELECT id, mailed AS o FROM g WHERE n > {D.FULL} AND (mail IS NOT NULL OR id = bare) UNION ALL SELECT id, bare FROM g WHERE n > {D.FULL}),
+p AS (SELECT a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.v = b.v AND a.id < b.id WHERE a.n <= {D.FULL} UNION SELECT least(id, o), greatest(id, o) FROM f WHERE id <> o
+UNION SELECT a.id, b.id FROM g a JOIN g b ON a.v = b.v AND a.user_part = b.user_part AND a.id < b.id WHERE a.n > {D.FULL}
 UNION SELECT a.id, b.id FROM g a JOIN g b ON a.v = b.v AND a.domain = b.domain AND a.id < b.id WHERE a.n > {D.FULL} AND len(list_intersect(a.grams, b.grams)) >= {D.NEAR} * (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) - 1e-9)"""
 
 

@@ -211,6 +211,29 @@ def test_near_values_held_by_many_are_met_through_the_first(spark):
     assert {(a, b) for a in range(60) for b in range(60, 120)} <= {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows, full=100).collect()}
 
 
+def test_groups_of_a_large_block_with_missing_fields_are_whole(spark):
+    """One name; 200 rows have only an e-mail, only a phone, both or neither, all unlike each other. Nothing but the name speaks for or
+    against two rows that share no other field, so brute force makes one group of them; 60 rows of another name have all fields."""
+    far = "translate(md5(cast(id as string)), '0123456789', 'ghijklmnop')"
+    kinds = {
+        "name": "if(id < 200, 'John Smith', 'Ann Lee')", "email": f"if(id < 200 and id % 4 in (1, 3), null, concat({far}, '@d', id, '.com'))",
+        "phone": "if(id < 200 and id % 4 in (0, 3), null, translate(cast(1000000000 + id * 7368787 as string), '0', cast(id % 9 + 1 as string)))",
+    }
+    rows = people(spark, 260, **kinds).withColumn("website", F.lit(None).cast("string"))
+    some = D.dup_candidate_pairs(rows, full=50).cache()
+    assert some.count() < 260 * 10
+    groups = lambda pairs: {r.id: r.group_id for r in D.duplicate_groups(rows, D.company_matches(rows, pairs=pairs, metric="levenshtein", least="high")).collect()}
+    got, want = groups(some), groups(D.dup_candidate_pairs(rows, exhaustive=True))
+    assert got == want and sum(g == 0 for g in want.values()) == 200
+
+
+def test_large_blocks_meet_equal_users_and_near_phones(spark):
+    rows = people(spark, 200, name="'John Smith'", email="if(id < 100, concat(md5(cast(id div 2 as string)), '@d', id, '.com'), null)", phone="if(id < 100, null, concat(substr(translate(md5(cast(id div 2 as string)), 'abcdef', '123456'), 1, 9), id % 2))")
+    got = {(r.id_a, r.id_b) for r in D.dup_candidate_pairs(rows, full=50).collect()}
+    assert {(a, a + 1) for a in range(0, 200, 2)} <= got
+    assert {(a, b) for a, b in got if a not in (0, 100) and b != 100} == {(a, a + 1) for a in range(2, 200, 2)} - {(100, 101)}
+
+
 def test_exact_duplicates_with_nulls(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, None, None), (4, None, None), (5, "x", None), (6, None, "a")], "id long, p string, q string")
     assert sorted(r.id for r in D.exact_duplicates(rows, ["p", "q"]).collect()) == [2, 4, 6]
