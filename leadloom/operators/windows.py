@@ -21,21 +21,30 @@ def exact_mean(column: str, window):
 def request_limit_audit(requests: DataFrame, per_minute: int = 60, per_hour: int = 1000, key: str = "domain") -> DataFrame:
     """Requests with those of the last 60 and 3600 seconds up to them, which limit they break and the wait needed (seconds).
 
-    A request that is exactly as old as the limit's span still counts. Windows are cut by key and hour; each hour takes the
-    one before it along, which is as far back as a window reaches, so a busy key is spread over its hours.
+    A request that is exactly as old as the limit's span still counts. Requests are counted by key and second first, and windows
+    over these counts are cut by key and hour; each hour takes the one before it along, which is as far back as a window reaches.
+    So a window holds 7,200 rows at most, however busy a key is, and its requests meet their second's counts in a join. Null keys
+    are one key; requests without a time are counted together by key and break limits as if they were of one second.
     """
-    rows = requests.withColumn("epoch", _epoch()).withColumn("__hour", F.floor(F.col("epoch") / 3600))
-    rows = rows.withColumn("__in", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__hour", F.col("__hour") + F.col("__in"))
-    w = Window.partitionBy(key, "__hour").orderBy("epoch")
+    epoch = _epoch()
+    seconds = requests.groupBy(F.col(key).alias("__key"), epoch.alias("__at")).agg(F.count("*").alias("__n"))
+    taken = F.when(F.col("__at").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    seconds = seconds.withColumn("__in", F.explode(taken)).withColumn("__hour", F.floor(F.col("__at") / 3600) + F.col("__in"))
+    w = Window.partitionBy("__key", "__hour").orderBy("__at")
     minute, hour = w.rangeBetween(-60, 0), w.rangeBetween(-3600, 0)
-    rows = rows.withColumns({"in_minute": F.count("*").over(minute), "in_hour": F.count("*").over(hour), "first_minute": F.min("epoch").over(minute), "first_hour": F.min("epoch").over(hour)})
+    counts = {"in_minute": F.sum("__n").over(minute), "in_hour": F.sum("__n").over(hour)}
+    firsts = {"__first_minute": F.min("__at").over(minute), "__first_hour": F.min("__at").over(hour)}
+    seconds = seconds.withColumns(counts | firsts).where("__in = 0")
     over_minute, over_hour = F.col("in_minute") > per_minute, F.col("in_hour") > per_hour
     wait = F.greatest(
-        F.when(over_minute, F.col("first_minute") + 60 - F.col("epoch")).otherwise(F.lit(0)),
-        F.when(over_hour, F.col("first_hour") + 3600 - F.col("epoch")).otherwise(F.lit(0)),
+        F.when(over_minute, F.col("__first_minute") + 60 - F.col("__at")).otherwise(F.lit(0)),
+        F.when(over_hour, F.col("__first_hour") + 3600 - F.col("__at")).otherwise(F.lit(0)),
     )
-    rows = rows.where("__in = 0").withColumns({"over_minute": over_minute, "over_hour": over_hour, "wait_seconds": wait.cast("long")})
-    return rows.drop("epoch", "first_minute", "first_hour", "__hour", "__in")
+    found = seconds.withColumns({"over_minute": over_minute, "over_hour": over_hour, "wait_seconds": wait.cast("long")})
+    found = saved(found.drop("__n", "__in", "__hour", "__first_minute", "__first_hour"), "request-seconds")
+    own = requests.drop("in_minute", "in_hour", "over_minute", "over_hour", "wait_seconds").withColumn("__epoch", epoch)
+    rows = own.join(found, F.col(key).eqNullSafe(F.col("__key")) & F.col("__epoch").eqNullSafe(F.col("__at")))
+    return rows.drop("__epoch", "__key", "__at")
 
 
 def numbered(requests: DataFrame, key: str, order: str) -> DataFrame:

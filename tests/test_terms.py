@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import analytics as A
 from leadloom.operators import select as S
+from leadloom.operators import windows as W
 
 
 def label_by_hand(value, terms, mode, default):
@@ -48,3 +49,20 @@ def test_percentile_is_within_its_bound(spark):
             n, rank = len(r.x), -(-95 * len(r.x) // 100)
             lo, hi = rank - n / accuracy - 1, rank + n / accuracy + 1
             assert r.x[max(0, int(lo) - 1)] <= got[r.domain] <= r.x[min(n - 1, int(hi))]
+
+
+def test_limits_of_a_busy_second_null_keys_and_null_times(spark):
+    rng = random.Random(4)
+    seconds = [100, 160, 161, 3599, 3600, 3700, 7200, 7201, 90_000]
+    rows = [(k, rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([100, 100, 100, *seconds, None])) for k in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, domain string, at long").selectExpr("event_id", "domain", "cast(timestamp_seconds(at) as timestamp_ntz) as ts", "at", "'mine' as in_hour")
+    got = W.request_limit_audit(df, 40, 70).collect()
+    assert len(got) == 400
+    for r in got:
+        near = lambda span: [a for _, d, a in rows if d == r.domain and (a is None if r.at is None else a is not None and r.at - span <= a <= r.at)]
+        minute, hour = near(60), near(3600)
+        assert (r.in_minute, r.in_hour, r.over_minute, r.over_hour) == (len(minute), len(hour), len(minute) > 40, len(hour) > 70)
+        if r.at is not None:
+            waits = [min(minute) + 60 - r.at if len(minute) > 40 else 0, min(hour) + 3600 - r.at if len(hour) > 70 else 0]
+            assert r.wait_seconds == max(waits)
+    assert W.request_limit_audit(df.limit(0)).count() == 0
