@@ -102,7 +102,10 @@ def near_sets(sets: DataFrame, threshold: float = NEAR) -> DataFrame:
     ordered = tokens.join(counts, ["group", "gram"]).groupBy("group", "value").agg(rarest.alias("grams")).withColumn("size", F.size("grams"))
     least = lambda share, n: F.ceil(F.round(share * n, 9)).cast("int")
     head = F.slice("grams", 1, F.col("size") - least(F.lit(threshold), F.col("size")) + 1)
-    keyed = saved(ordered.select("group", "value", "grams", "size", F.posexplode(head).alias("pos", "gram")), "near-prefixes")
+    # Small in bytes but not in work, so dealt out evenly: rows that were read as one small file would be compared in one task.
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = ordered.select("group", "value", "grams", "size", F.posexplode(head).alias("pos", "gram"))
+    keyed = saved(keyed.repartition(parts, "group", "value", "pos"), "near-prefixes")
     side = lambda s: keyed.select("group", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("value", "grams", "size", "pos")])
     both = F.col("size_a") + F.col("size_b")
     wanted = least(F.lit(threshold / (1 + threshold)), both)
