@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg, filled, pct
+from ..functions.graph import saved
 from .integrity import stamp
 from .select import all_of, filter_dict, top_k_counts
 
@@ -264,19 +265,48 @@ def query_results(scraped: DataFrame, by: str = "source_type") -> DataFrame:
     return scraped.groupBy(by).agg(F.count("*").alias("found"), F.count_if(s == "valid").alias("scraped"), F.count_if(s == "invalid").alias("failed"))
 
 
-#: The rank of a percentile is off by one in so many rows at most; the sketch behind it does not grow with the rows.
+#: Accuracy of the sketch that cuts a group's values, and the shares beside a percentile's where it does: few stand between the inner two.
 RANK_ACCURACY = 10_000
+BESIDE = (-0.1, -0.01, -0.001, 0.001, 0.01, 0.1)
+
+
+def cuts(column: str, share: float, accuracy: int = RANK_ACCURACY) -> Column:
+    """Values around the percentile, from a mergeable sketch."""
+    return F.percentile_approx(F.col(column).cast("double"), [min(1.0, max(0.0, share + d)) for d in BESIDE], accuracy)
+
+
+def percentiles(rows: DataFrame, totals: DataFrame, by: str, column: str, share: float) -> DataFrame:
+    """``(key, lo, hi, part)`` per group: the values of the ranks around ``share * (n - 1)``, and how far the percentile lies between them.
+
+    ``totals(by, cuts, valued)`` holds each group's cuts and its number of values. The rows between two cuts are counted; only the
+    values of the stretches that hold the two ranks are sorted. Exact, however good the cuts are: they bound what is sorted together.
+    """
+    rank = F.lit(share) * (F.col("valued") - 1)
+    known = totals.where("valued > 0").select(F.col(by).alias("key"), "cuts", F.floor(rank).alias("first"), F.ceil(rank).alias("last"), (rank - F.floor(rank)).alias("part"))
+    values = rows.select(F.col(by).alias("k"), F.col(column).cast("double").alias("v")).where("v is not null")
+    values = values.join(known, F.col("k").eqNullSafe(F.col("key"))).withColumn("stretch", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("k", "cuts")
+    group = ["key", "first", "last", "part", "stretch"]
+    sizes = values.groupBy(*group).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("stretch")) - F.col("n"))
+    held = saved(sizes.where("before <= last and before + n > first").select(F.col("key").alias("k"), F.col("stretch").alias("s"), "before"), "request-stretches")
+    near = values.join(held, F.col("key").eqNullSafe(F.col("k")) & (F.col("stretch") == F.col("s"))).groupBy(*group, "before", "v").agg(F.count("*").alias("n"))
+    near = near.withColumn("at", F.col("before") + F.sum("n").over(Window.partitionBy("key", "stretch").orderBy("v")) - F.col("n"))
+    on = lambda r: F.max(F.when((F.col("at") <= F.col(r)) & (F.col(r) < F.col("at") + F.col("n")), F.col("v")))
+    return near.groupBy("key", "part").agg(on("first").alias("lo"), on("last").alias("hi"))
 
 
 def request_metrics(requests: DataFrame, by: str = "domain", accuracy: int = RANK_ACCURACY) -> DataFrame:
     """Totals, error %, mean and 95th percentile of the response, requests per hour.
 
-    The percentile is a value that occurs: that of rank ``ceil(0.95 n)`` among a group's n responses, from a quantile sketch which
-    is merged from task to task and whose rank may be off by ``n / accuracy`` (by nothing up to ``accuracy / 2`` rows).
+    The percentile is exact, between the two values around rank ``0.95 (n - 1)``; ``accuracy`` is that of the sketch by which values are cut.
     """
     n = F.count("*")
     span = (F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))) - F.min(F.unix_timestamp(F.col("ts").cast("timestamp")))) / 3600.0
-    return requests.groupBy(by).agg(n.alias("requests"), pct(F.count_if(~F.col("success")), n).alias("error_pct"), F.round(exact_avg("response_ms"), 4).alias("mean_response"), F.round(F.percentile_approx("response_ms", 0.95, accuracy), 4).alias("p95_response"), F.round(F.when(span > 0, n / span).otherwise(n.cast("double")), 4).alias("per_hour"))
+    totals = requests.groupBy(by).agg(n.alias("requests"), pct(F.count_if(~F.col("success")), n).alias("error_pct"), F.round(exact_avg("response_ms"), 4).alias("mean_response"), F.round(F.when(span > 0, n / span).otherwise(n.cast("double")), 4).alias("per_hour"), F.count("response_ms").alias("valued"), cuts("response_ms", 0.95, accuracy).alias("cuts"))
+    totals = saved(totals, "request-totals")
+    p95 = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part"))
+    out = totals.join(percentiles(requests, totals, by, "response_ms", 0.95), F.col(by).eqNullSafe(F.col("key")), "left")
+    return out.select(by, "requests", "error_pct", "mean_response", F.round(p95, 4).alias("p95_response"), "per_hour")
 
 
 def metric_trends(metrics: DataFrame, hours: int, as_of: str) -> DataFrame:

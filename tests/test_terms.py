@@ -51,6 +51,20 @@ def test_percentile_is_within_its_bound(spark):
             assert r.x[max(0, int(lo) - 1)] <= got[r.domain] <= r.x[min(n - 1, int(hi))]
 
 
+def test_percentile_is_exact(spark):
+    """Between two values, for any accuracy of the cuts; null groups, null and equal responses, NaN, one row, none."""
+    rng = random.Random(9)
+    rows = [(d, float(rng.choice([rng.randrange(1000), rng.randrange(20), 7])) if rng.random() < 0.9 else None) for d in ["hot"] * 5000 + ["b"] * 37 + [None] * 300 for _ in range(2)]
+    rows += [("one", 3.0), ("none", None), ("two", 1.0), ("two", 2.0), ("odd", float("nan")), ("odd", 1.0), ("odd", float("inf"))]
+    df = spark.createDataFrame(rows, "domain string, response_ms double").selectExpr("domain", "response_ms", "true as success", "timestamp_seconds(0) as ts")
+    want = {r.domain: r.p for r in df.groupBy("domain").agg(F.round(F.percentile("response_ms", 0.95), 4).alias("p")).collect()}
+    assert want["two"] == 1.95
+    for accuracy in (1, 10_000):
+        got = {r.domain: r.p95_response for r in A.request_metrics(df, accuracy=accuracy).collect()}
+        assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()}
+    assert A.request_metrics(df.limit(0)).count() == 0
+
+
 def test_limits_of_a_busy_second_null_keys_and_null_times(spark):
     rng = random.Random(4)
     seconds = [100, 160, 161, 3599, 3600, 3700, 7200, 7201, 90_000]
