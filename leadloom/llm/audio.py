@@ -4,10 +4,10 @@ PCM is folded to twelve pitch classes per frame; rectangle filters over an integ
 two bits, packed into one integer per frame. Recordings that share packed integers vote for a time offset; the offset with
 the most votes is checked by the share of differing bits over the overlap.
 
-No pair of all recordings with a common integer is made. A recording votes with the smallest one that has its integer, and, for
-each two and three consecutive integers of its own, with the smallest and the largest that have these too. So votes grow with
-the number of frames, and a chance holder of one integer does not stand between copies, which share runs of them. Classes are
-the connected components of the verified alignments.
+Two recordings are linked if, at the offset where most of their integers are equal (two at least), few of their bits differ. Classes
+are the connected components of these links, and are exact. Recordings that share runs of integers are compared first, and their links
+give classes. Then all recordings of different classes that have two equal integers at one offset are compared, so a link is left out
+only where the links that were found join its ends.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ LOW_HZ, HIGH_HZ = 180.0, 3500.0
 SPAN = 16
 #: Frames transformed at once, and recordings sent at once: what a task holds does not grow with its input.
 BLOCK, SENT = 512, 64
-#: Lengths of the runs of integers that are looked up, and holders of a run that all vote with each other.
-RUNS, FEW = (1, 2, 3, 4, 6), 32
-#: A vote counts if so many frames agree at one offset; an alignment holds up to this share of differing bits over this overlap.
+#: Lengths of the runs of integers that are looked up first. Holders of a run that all meet; of a single integer, holders outside one class.
+RUNS, FEW = (2, 3, 4, 6), 32
+#: Integers compared at once where pairs are aligned.
+COMPARED = 1 << 20
+#: An offset counts if so many frames agree there; an alignment holds up to this share of differing bits over this overlap.
 MIN_VOTES = 2
 MAX_BIT_ERROR = 0.2
 MIN_OVERLAP = 16
@@ -129,61 +131,126 @@ def fingerprints(recordings: DataFrame, pcm: str = "pcm") -> DataFrame:
 
 
 def partners(fps: DataFrame) -> DataFrame:
-    """Who votes with whom: ``(a, frame, b, frame_b)``, b another recording that has the integer of a's frame, or the run of two or three from it.
+    """Pairs ``(a, b)``, b < a, that share a run of integers: those that are compared first, so that large classes are known early.
 
-    All holders of a run of integers vote with each other where they are ``FEW`` or less, so their number stays in proportion. Of
-    runs held by more, the smallest and largest holder are partners of all (of a single integer the smallest), and the holders of
-    longer runs from the same frame, which are fewer. What is joined is saved before, so that the rows of a hot integer can be split.
+    All holders of a run meet where they are ``FEW`` or less. Holders of a commoner run meet its smallest and largest holder here, and
+    each other in ``between`` if that does not join them. What is joined is saved before, so that the rows of a hot run can be split.
     """
     posts = fps.select("rec_id", F.posexplode("fp").alias("frame", "code"), "fp")
     run = lambda k: F.slice("fp", F.col("frame") + 1, F.lit(k))
     keys = F.array_compact(F.array(*[F.when(F.size("fp") - F.col("frame") >= k, F.struct(F.lit(k).alias("k"), F.xxhash64(run(k)).alias("key"))) for k in RUNS]))
-    posts = saved(posts.select("rec_id", "frame", F.inline(keys)), "audio-posts")
-    place = F.struct("rec_id", "frame")
-    ends = posts.groupBy("k", "key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).where("lo.rec_id <> hi.rec_id")
+    posts = saved(posts.select("rec_id", F.inline(keys)).distinct(), "audio-posts")
+    ends = posts.groupBy("k", "key").agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     ends = saved(ends, "audio-runs")
     held = saved(posts.join(ends.where(F.col("n") <= FEW).select("k", "key"), ["k", "key"]), "audio-few")
-    other = held.select("k", "key", F.col("rec_id").alias("b"), F.col("frame").alias("frame_b"))
-    few = held.join(other, ["k", "key"]).where("rec_id > b")
-    hubs = ends.where(F.col("n") > FEW).select("k", "key", F.explode(F.when(F.col("k") == 1, F.array("lo")).otherwise(F.array("lo", "hi"))).alias("end"))
-    hubs = saved(hubs.select("k", "key", F.col("end.rec_id").alias("b"), F.col("end.frame").alias("frame_b")), "audio-ends")
+    few = held.join(held.withColumnRenamed("rec_id", "b"), ["k", "key"]).where("rec_id > b")
+    hubs = saved(ends.where(F.col("n") > FEW).select("k", "key", F.explode(F.array("lo", "hi")).alias("b")), "audio-ends")
     many = posts.join(hubs, ["k", "key"]).where("rec_id <> b")
-    return few.union(many.select(few.columns)).select(F.col("rec_id").alias("a"), "frame", "b", "frame_b")
+    met = few.select("rec_id", "b").union(many.select("rec_id", "b"))
+    return met.select(F.greatest("rec_id", "b").alias("a"), F.least("rec_id", "b").alias("b")).distinct()
 
 
-def alignments(fps: DataFrame) -> DataFrame:
-    """Verified alignments ``(a, b, offset, votes, overlap, bit_error)`` of distinct ``fps(rec_id, fp)``, b < a.
+def between(fps: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)``, b < a, of different classes with two equal integers at one offset (and perhaps some others); ``groups(node, component)``.
 
-    ``offset`` is where b's first frame falls in a.
+    An integer with ``FEW`` holders or less outside its largest class brings together all its holders of different classes. They stay if
+    they meet twice at one offset, or once where a common integer stands at one distance in both. Two common integers at one distance
+    are a key of their own, of which all holders of different classes meet, however many they are.
     """
-    met = partners(fps)
-    swap = F.col("a") < F.col("b")
-    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(swap, F.col("frame_b")).otherwise(F.col("frame")).alias("frame"), F.when(swap, F.col("frame")).otherwise(F.col("frame_b")).alias("frame_b"))
-    votes = met.groupBy("a", "b", (F.col("frame") - F.col("frame_b")).alias("offset")).agg(F.countDistinct("frame").alias("votes"))
-    best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("a", "b").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("best"))
-    pairs = best.select("a", "b", F.col("best.offset").alias("offset"), F.col("best.votes").alias("votes"))
-    met = pairs.join(fps.select(F.col("rec_id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("rec_id").alias("b"), F.col("fp").alias("y")), "b")
-    start, shift = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    overlap = F.least(F.size("x") - start, F.size("y") - shift)
-    met = met.withColumn("overlap", overlap).where(F.col("overlap") >= MIN_OVERLAP)
-    differ = F.zip_with(F.slice("x", start + 1, F.col("overlap")), F.slice("y", shift + 1, F.col("overlap")), lambda p, q: F.bit_count(p.bitwiseXOR(q).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    wrong = F.aggregate(differ, F.lit(0), lambda s, n: s + n)
-    return met.select("a", "b", "offset", "votes", "overlap", F.round(wrong / (32.0 * F.col("overlap")), 6).alias("bit_error")).where(F.col("bit_error") <= MAX_BIT_ERROR)
+    own = fps.join(groups.select(F.col("node").alias("rec_id"), "component"), "rec_id", "left")
+    own = own.select("rec_id", F.coalesce("component", "rec_id").alias("class_id"), F.size("fp").alias("length"), F.posexplode("fp").alias("frame", "code"))
+    posts = saved(own, "audio-codes")
+    held = posts.groupBy("code", "class_id").agg(F.count("*").alias("n")).groupBy("code").agg((F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    held = saved(held.select("code", (F.col("others") > FEW).alias("common")), "audio-held")
+    posts = posts.join(held, "code").groupBy("rec_id", "class_id", "length").agg(F.sort_array(F.collect_list(F.struct("frame", "code", "common"))).alias("at"))
+    posts = saved(posts.withColumns({"few": F.filter("at", lambda x: ~x.common), "many": F.filter("at", lambda x: x.common)}).drop("at"), "audio-frames")
+
+    def met(df: DataFrame, key: str) -> DataFrame:
+        """Rows of one key, of different classes, at an offset where they overlap enough."""
+        other = df.select(key, *[F.col(c).alias(f"{c}_b") for c in df.columns if c != key])
+        rows = df.join(other, key).where("rec_id > rec_id_b and class_id <> class_id_b").withColumn("offset", F.col("frame") - F.col("frame_b"))
+        overlap = F.least(F.col("length") - F.greatest("offset", F.lit(0)), F.col("length_b") + F.least("offset", F.lit(0)))
+        return rows.where(overlap >= MIN_OVERLAP).withColumnsRenamed({"rec_id": "a", "rec_id_b": "b"})
+
+    one = posts.select("rec_id", "class_id", "length", "many", F.explode("few").alias("x")).select("rec_id", "class_id", "length", "x.frame", "x.code", "many")
+    one = one.withColumn("beside", F.transform("many", lambda m: F.hash(m.frame - F.col("frame"), m.code))).drop("many")
+    once = met(saved(one, "audio-few"), "code").groupBy("a", "b", "offset").agg(F.count("*").alias("votes"), F.max(F.arrays_overlap("beside", "beside_b")).alias("more"))
+    once = once.where((F.col("votes") >= MIN_VOTES) | F.col("more"))
+    after = lambda i: F.slice("many", i + 2, F.size("many"))
+    twos = F.flatten(F.transform("many", lambda x, i: F.transform(after(i), lambda y: F.struct(x.frame.alias("frame"), F.xxhash64(x.code, y.code, y.frame - x.frame).alias("key")))))
+    two = saved(posts.where(F.size("many") > 1).select("rec_id", "class_id", "length", F.inline(twos)), "audio-twos")
+    keys = saved(two.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("key"), "audio-keys")
+    twice = met(saved(two.join(keys, "key"), "audio-many"), "key")
+    return once.select("a", "b").union(twice.select("a", "b")).distinct()
+
+
+def best(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offset of each row of ``y`` in that of ``x`` where most integers are equal, and how many (ties: the nearest to 0, then the larger)."""
+    n, m = x.shape[1], y.shape[1]
+    at, votes = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)
+    for o in sorted(range(1 - m, n), key=lambda o: (abs(o), -o)):
+        start, shift = max(o, 0), max(-o, 0)
+        k = min(n - start, m - shift)
+        equal = np.count_nonzero(x[:, start : start + k] == y[:, shift : shift + k], axis=1)
+        more = equal > votes
+        at[more], votes[more] = o, equal[more]
+    return at, votes
+
+
+def compared(x: pa.ListArray, y: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best offset, votes, overlap and differing bits of pairs of fingerprints; those of equal lengths are worked out together."""
+    flat, ends = [c.values.to_numpy() for c in (x, y)], [c.offsets.to_numpy() for c in (x, y)]
+    sizes = np.stack([np.diff(e) for e in ends], axis=1)
+    at, votes, wrong = (np.zeros(len(x), np.int32) for _ in range(3))
+    for n, m in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == (n, m)).all(axis=1))
+        step = max(1, COMPARED // max(1, n, m))
+        for part in (rows[k : k + step] for k in range(0, len(rows), step)):
+            p, q = (f[e[part][:, None] + np.arange(k)] for f, e, k in zip(flat, ends, (n, m), strict=True))
+            at[part], votes[part] = best(p, q)
+            for o in np.unique(at[part]):
+                same, start, shift = at[part] == o, max(o, 0), max(-o, 0)
+                k = min(n - start, m - shift)
+                differ = p[same, start : start + k] ^ q[same, shift : shift + k]
+                wrong[part[same]] = np.bitwise_count(differ.view(np.uint32)).sum(axis=1)
+    overlap = np.minimum(sizes[:, 0] - np.maximum(at, 0), sizes[:, 1] - np.maximum(-at, 0)).astype(np.int32)
+    return at, votes, overlap, wrong
+
+
+def alignments(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """Verified alignments ``(a, b, offset, votes, overlap, bit_error)`` among ``pairs(a, b)`` of ``fps(rec_id, fp)``, each fingerprint of a with each of b.
+
+    ``offset`` is where b's first frame falls in a; it and ``votes`` are found from all integers of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = compared(batch.column(2), batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found)], ["a", "b", "offset", "votes", "overlap", "wrong"])
+
+    met = saved(pairs, "audio-pairs")
+    met = met.join(fps.select(F.col("rec_id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("rec_id").alias("b"), F.col("fp").alias("y")), "b")
+    met = met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, offset int, votes int, overlap int, wrong int")
+    met = met.where((F.col("votes") >= MIN_VOTES) & (F.col("overlap") >= MIN_OVERLAP))
+    return met.select("a", "b", "offset", "votes", "overlap", F.round(F.col("wrong") / (32.0 * F.col("overlap")), 6).alias("bit_error")).where(F.col("bit_error") <= MAX_BIT_ERROR)
 
 
 def aligned(recordings: DataFrame, pcm: str = "pcm") -> DataFrame:
     """One row per recording: ``rec_id, n_frames, fp_sha256, class_id, aligned_to, offset, bit_error``.
 
     Recordings with equal fingerprints are one node, the smallest rec_id; classes are components of verified alignments,
-    named by their smallest rec_id. ``aligned_to`` is the smaller recording with the lowest bit error (ties: the smallest), null if
-    none; for a copy it is the first recording with its fingerprint, at offset 0. A recording without fingerprint, or with a
-    null rec_id and no copy, is a class of its own. Rows that share a rec_id with other audio are further recordings of one node.
+    named by their smallest rec_id. ``aligned_to`` is, of the alignments that were worked out, the smaller recording with the lowest bit
+    error (ties: the smallest), null if none; these join each class, but of a large class they are not all pairs. For a copy it is the
+    first recording with its fingerprint, at offset 0. A recording without fingerprint, or with a null rec_id and no copy, is a class
+    of its own. Rows that share a rec_id with other audio are further recordings of one node, and are all compared.
     """
     digest = F.when(F.size("fp") > 0, F.sha2(F.array_join("fp", ","), 256))
     fps = saved(fingerprints(recordings, pcm).withColumn("fp_sha256", digest), "audio-fp")
     nodes = saved(fps.where("fp_sha256 is not null and rec_id is not null").groupBy("fp_sha256").agg(F.min("rec_id").alias("node"), F.first("fp").alias("fp")), "audio-node")
-    one = saved(nodes.groupBy(F.col("node").alias("rec_id")).agg(F.min_by("fp", "fp_sha256").alias("fp")), "audio-one")  # read from files where a hub's rows join it
-    links = saved(alignments(one), "audio-links")
+    one = nodes.select(F.col("node").alias("rec_id"), "fp")
+    links = saved(alignments(partners(one), one), "audio-links")
+    groups = saved(components(links.select("a", "b"), "audio-groups"), "audio-classes")
+    links = saved(links.union(alignments(between(one, groups), one)), "audio-all")
     groups = components(links.select("a", "b"), "audio-groups")
     nearest = links.groupBy("a").agg(F.min(F.struct("bit_error", "b", "offset")).alias("near"))
     known = nodes.select("fp_sha256", "node").join(groups, "node", "left").join(nearest, F.col("node") == F.col("a"), "left")

@@ -193,6 +193,47 @@ def test_a_common_integer_does_not_stand_between_copies(spark):
     assert len(pairs) > 45 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("few", [0, 1, 32])
+def test_classes_equal_brute_force_however_common_integers_are(spark, monkeypatch, few):
+    """A passage that all share, in the middle and of other lengths, noisy copies, and one large group of them; also with no run rare."""
+    monkeypatch.setattr(audio, "FEW", few)
+    rng = np.random.default_rng(14)
+    shared, big, rows = rng.normal(0, 0.3, 22), rng.normal(0, 0.12, 64), []
+    for i in range(45):
+        v = np.concatenate([rng.normal(0, 0.3, rng.integers(8, 30)), shared, rng.normal(0, 0.3, rng.integers(0, 30))])
+        rows += [(i, v), (100 + i, v + rng.normal(0, 0.015, len(v))), (200 + i, big + rng.normal(0, 0.02, 64))]
+    played = audio.played(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>"))
+    want = linked_by_brute_force({r.rec_id: r.fp for r in audio.fingerprints(played).collect() if r.fp})
+    got = {r.rec_id: r.class_id for r in audio.aligned(played).collect()}
+    assert len(set(want.values())) < len(want) - 20 and {i: got[i] for i in want} == want
+
+
+def test_all_audio_of_a_shared_id_is_compared(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 0.3, (12, 64))
+    near = base + rng.normal(0, 0.004, base.shape)
+    table = lambda rows: audio.played(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>"))
+    got = {r.rec_id: r.class_id for r in audio.aligned(table([(1, v) for v in base] + [(10 + i, v) for i, v in enumerate(near)])).collect()}
+    fps = {r.rec_id: r.fp for r in audio.fingerprints(table([*enumerate(base), *((100 + i, v) for i, v in enumerate(near))])).collect()}
+    linked = [linked_by_brute_force({1: fps[i], 2: fps[100 + i]})[2] == 1 for i in range(12)]
+    assert sum(linked) >= 6 and [got[10 + i] == 1 for i in range(12)] == linked
+
+
+def test_best_offsets_equal_a_count_by_hand():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    xs, ys = ([rng.integers(0, 6, rng.choice([1, 5, 20, 33])).astype(np.int32) for _ in range(300)] for _ in range(2))
+    at, votes, overlap, wrong = audio.compared(*(pa.array([v.tolist() for v in c], pa.list_(pa.int32())) for c in (xs, ys)))
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        p, q = np.nonzero(x[:, None] == y[None])
+        best = max(((n, -abs(o), o) for o, n in zip(*(c.tolist() for c in np.unique(p - q, return_counts=True)), strict=True)), default=(0, 0, 0))
+        start, shift = max(best[2], 0), max(-best[2], 0)
+        n = min(len(x) - start, len(y) - shift)
+        assert (votes[k], at[k], overlap[k]) == (best[0], best[2], n)
+        assert wrong[k] == np.bitwise_count(x[start : start + n] ^ y[shift : shift + n]).sum()
+
+
 def test_audio_of_shared_ids_and_clashing_columns(spark):
     a, b = melody(21), melody(22)
     rows = [(1, a), (1, b), (2, b), (None, a), (3, melody(23)), (None, melody(24))]
