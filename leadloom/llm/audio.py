@@ -27,7 +27,7 @@ LOW_HZ, HIGH_HZ = 180.0, 3500.0
 SPAN = 16
 #: Frames transformed at once, and recordings sent at once: what a task holds does not grow with its input.
 BLOCK, SENT = 512, 64
-#: Lengths of the runs of integers that are looked up first. Holders of a run that all meet; of a single integer, holders outside one class.
+#: Lengths of the runs of integers that are looked up first. Holders of an integer outside its largest class that all meet by it alone.
 RUNS, FEW = (2, 3, 4, 6), 32
 #: Integers compared at once where pairs are aligned.
 COMPARED = 1 << 20
@@ -133,20 +133,17 @@ def fingerprints(recordings: DataFrame, pcm: str = "pcm") -> DataFrame:
 def partners(fps: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, b < a, that share a run of integers: those that are compared first, so that large classes are known early.
 
-    All holders of a run meet where they are ``FEW`` or less. Holders of a commoner run meet its smallest and largest holder here, and
-    each other in ``between`` if that does not join them. What is joined is saved before, so that the rows of a hot run can be split.
+    The holders of a run meet four of them, the ends of two orders (by rec_id and by its hash), so the pairs grow with the holders and
+    not with their square. Holders that this leaves in different classes meet each other in ``between``.
     """
     posts = fps.select("rec_id", F.posexplode("fp").alias("frame", "code"), "fp")
     run = lambda k: F.slice("fp", F.col("frame") + 1, F.lit(k))
     keys = F.array_compact(F.array(*[F.when(F.size("fp") - F.col("frame") >= k, F.struct(F.lit(k).alias("k"), F.xxhash64(run(k)).alias("key"))) for k in RUNS]))
     posts = saved(posts.select("rec_id", F.inline(keys)).distinct(), "audio-posts")
-    ends = posts.groupBy("k", "key").agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    ends = saved(ends, "audio-runs")
-    held = saved(posts.join(ends.where(F.col("n") <= FEW).select("k", "key"), ["k", "key"]), "audio-few")
-    few = held.join(held.withColumnRenamed("rec_id", "b"), ["k", "key"]).where("rec_id > b")
-    hubs = saved(ends.where(F.col("n") > FEW).select("k", "key", F.explode(F.array("lo", "hi")).alias("b")), "audio-ends")
-    many = posts.join(hubs, ["k", "key"]).where("rec_id <> b")
-    met = few.select("rec_id", "b").union(many.select("rec_id", "b"))
+    mixed = F.xxhash64("rec_id")
+    hubs = F.array_distinct(F.array(F.min("rec_id"), F.max("rec_id"), F.min_by("rec_id", mixed), F.max_by("rec_id", mixed)))
+    hubs = saved(posts.groupBy("k", "key").agg(hubs.alias("hubs")).where(F.size("hubs") > 1), "audio-hubs")
+    met = posts.join(hubs, ["k", "key"]).select("rec_id", F.explode("hubs").alias("b")).where("rec_id <> b")
     return met.select(F.greatest("rec_id", "b").alias("a"), F.least("rec_id", "b").alias("b")).distinct()
 
 

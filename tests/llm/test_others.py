@@ -208,6 +208,25 @@ def test_classes_equal_brute_force_however_common_integers_are(spark, monkeypatc
     assert len(set(want.values())) < len(want) - 20 and {i: got[i] for i in want} == want
 
 
+def test_holders_of_a_run_are_not_all_paired_and_no_link_is_lost(spark):
+    """Thirty recordings share one run, 26 of them are near copies, the ends by rec_id are not: few pairs are compared first, classes equal brute force."""
+    rng = np.random.default_rng(31)
+    codes = lambda *n: rng.integers(-(2**31), 2**31, n)
+    run, base, rows = codes(6), codes(34), []
+    for i in range(30):
+        rest = codes(34) if i in (0, 1, 28, 29) else base ^ (1 << rng.integers(0, 31, 34)) * (rng.random(34) < 0.7)
+        rows.append((i, np.concatenate([run, rest]).tolist()))
+    one = audio.saved(spark.createDataFrame(rows, "rec_id long, fp array<int>"), "audio-test")
+    alone = audio.saved(spark.createDataFrame([(i, v[:6] + [1000 * i + k for k in range(34)]) for i, v in rows], one.schema), "audio-test")
+    assert audio.partners(alone).count() <= 4 * 30  # all pairs: 435
+    links = audio.saved(audio.alignments(audio.partners(one), one), "audio-test")
+    groups = audio.saved(audio.components(links.select("a", "b"), "audio-test"), "audio-test")
+    more = audio.alignments(audio.between(one, groups), one)
+    got = {r.node: r.component for r in audio.components(links.union(more).select("a", "b"), "audio-test").collect()}
+    want = linked_by_brute_force(dict(rows))
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) == 5
+
+
 def test_all_audio_of_a_shared_id_is_compared(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(0, 0.3, (12, 64))
