@@ -83,4 +83,5 @@ def _(t):
 @query("stream_unprocessed", """SELECT DISTINCT id, concat('Acme ', company_id) AS name, concat('+1212', 2000000 + contact_id) AS phone, 'valid' AS phone_status,
 round(0.2::DOUBLE + 0.15::DOUBLE * least(1.0::DOUBLE, length(concat('Acme ', company_id)) / 20.0::DOUBLE), 6) AS score FROM scraped_data WHERE NOT is_processed""", "scraped_data")
 def _(t):
-    return S.run_to_end(t.scraped_data, lambda df: S.stream_unprocessed(df, "30 days"), time="scraped_at")
+    """The stream forgets an id after 30 days, so rows of one id that are further apart are made one in the sink's table."""
+    return S.run_to_end(t.scraped_data, lambda df: S.stream_unprocessed(df, "30 days"), time="scraped_at").distinct()

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from operator import attrgetter, itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -32,6 +32,8 @@ def _timed(df: DataFrame, late: str = LATE) -> DataFrame:
 
 RUN = "run long, job_status string, done long, total long, top double, succeeded long, failed long, items long, start double, last double, ended boolean"
 STATE = "run long, job_status string, done long, total long, top double, succeeded long, failed long, items long, start double, last double, latest long"
+NAMES = [x.split()[0] for x in STATE.split(", ")]
+EVENT = attrgetter("at", "event_id", "job_status", "current_items", "total_items")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,51 +51,55 @@ class JobRuns(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.state = handle, handle.getValueState("run", STATE)
 
-    def _row(self, key: tuple, s: dict, ended: bool) -> pd.DataFrame:
-        return pd.DataFrame([{"job_id": key[0], **{k: v for k, v in s.items() if k != "latest"}, "ended": ended}])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803  names that Spark calls
-        names = [x.split()[0] for x in STATE.split(", ")]
-        s = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else None
-        before = s and s["last"]
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for e in events.itertuples():
-            if s and e.at - s["last"] >= self.idle:
-                yield self._row(key, s, True)
+    def _row(self, key: tuple, s: dict, ended: bool) -> Row:
+        return Row(job_id=key[0], **{n: v for n, v in s.items() if n != "latest"}, ended=ended)
+
+    def _end(self, last: float) -> int:
+        """When the timer of a run goes off whose last event was at ``last``."""
+        return int((last + self.idle) * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802,N803  names that Spark calls
+        held = self.state.get()
+        s = dict(zip(NAMES, held, strict=True)) if held else None
+        before, out = s and s["last"], []
+        # One sort and one pass over a job's events of a trigger; all its runs go out together.
+        for at, event, status, done, total in sorted(map(EVENT, rows), key=itemgetter(0, 1)):
+            if s and at - s["last"] >= self.idle:
+                out.append(self._row(key, s, True))
                 s = None
-            alone = s is not None and s["start"] - e.at >= self.idle  # an older run, whose state is gone
-            at = s if s and not alone else {"run": int(e.event_id), "job_status": None, "done": None, "total": None, "top": None, "succeeded": 0, "failed": 0, "items": 0, "start": e.at, "last": e.at, "latest": None}
-            if at["latest"] is None or (e.at, e.event_id) >= (at["last"], at["latest"]):
-                at |= {"job_status": e.job_status, "done": whole(e.current_items), "total": whole(e.total_items), "last": e.at, "latest": int(e.event_id)}
-            share = 100.0 * e.current_items / e.total_items if pd.notna(e.current_items) and pd.notna(e.total_items) and e.total_items else None
-            at["top"] = share if at["top"] is None else at["top"] if share is None else max(at["top"], share)
-            at |= {"start": min(at["start"], e.at), "succeeded": at["succeeded"] + (e.job_status == "success"), "failed": at["failed"] + (e.job_status == "failure"), "items": at["items"] + (whole(e.current_items) or 0)}
+            alone = s is not None and s["start"] - at >= self.idle  # an older run, whose state is gone
+            run = s if s and not alone else {"run": event, "job_status": None, "done": None, "total": None, "top": None, "succeeded": 0, "failed": 0, "items": 0, "start": at, "last": at, "latest": None}
+            if run["latest"] is None or (at, event) >= (run["last"], run["latest"]):
+                run |= {"job_status": status, "done": done, "total": total, "last": at, "latest": event}
+            share = 100.0 * done / total if done is not None and total else None
+            if share is not None and (run["top"] is None or share > run["top"]):
+                run["top"] = share
+            run["start"] = min(run["start"], at)
+            run["succeeded"] += status == "success"
+            run["failed"] += status == "failure"
+            run["items"] += done or 0
             if alone:
-                yield self._row(key, at, True)
+                out.append(self._row(key, run, True))
             else:
-                s = at
-        self.state.update(tuple(s[n] for n in names))
+                s = run
+        self.state.update(tuple(s[n] for n in NAMES))
         if before != s["last"]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((s["last"] + self.idle) * 1000))
-        yield self._row(key, s, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        names = [x.split()[0] for x in STATE.split(", ")]
-        if self.state.exists():
-            s = dict(zip(names, self.state.get(), strict=True))
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(s["last"]))
+        out.append(self._row(key, s, False))
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802,N803
+        held = self.state.get()
+        if held:
             self.state.clear()
-            yield self._row(key, s, True)
+            yield self._row(key, dict(zip(NAMES, held, strict=True)), True)
 
     def close(self) -> None:
         pass
 
 
-def whole(x) -> int | None:
-    return None if pd.isna(x) else int(x)
-
-
 def seconds(idle: str) -> float:
     """Seconds of an interval such as ``1 day``."""
     number, unit = idle.split()
@@ -111,7 +117,7 @@ def job_runs(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame
     kind = at.schema["job_id"].dataType.simpleString()
     if events.isStreaming:
         rows = at.withWatermark("ts", late).select("job_id", "event_id", "at", "ts", "job_status", "current_items", "total_items")
-        return rows.groupBy("job_id").transformWithStateInPandas(JobRuns(seconds(idle)), f"job_id {kind}, {RUN}", "Update", "EventTime")
+        return rows.groupBy("job_id").transformWithState(JobRuns(seconds(idle)), f"job_id {kind}, {RUN}", "Update", "EventTime")
     latest = F.struct("ts", "event_id")
     a = at.groupBy("job_id", F.session_window("ts", idle).alias("w")).agg(
         F.min_by("event_id", latest).cast("long").alias("run"), F.max_by("job_status", latest).alias("job_status"), F.max_by("current_items", latest).cast("long").alias("done"), F.max_by("total_items", latest).cast("long").alias("total"),
@@ -209,8 +215,8 @@ def late_rows(query) -> int:
     return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
 
 
-def run_files(folder: str, schema, spark: SparkSession, make: Callable[[DataFrame], DataFrame], mode: str = "append"):
-    """Run ``make`` over the Parquet files of ``folder/in``, one a trigger in order of arrival, until all are read.
+def run_files(folder: str, schema, spark: SparkSession, make: Callable[[DataFrame], DataFrame], mode: str = "append", each: int | None = 1):
+    """Run ``make`` over the Parquet files of ``folder/in``, ``each`` a trigger (all, if None) in order of arrival, until all are read.
 
     Gives the sink's rows and the finished query. The sink and the checkpoint are in the same shared folder, so a run that is
     started again goes on where it stopped. In update mode the sink keeps every update, with the number of its ``batch``; a
@@ -218,7 +224,8 @@ def run_files(folder: str, schema, spark: SparkSession, make: Callable[[DataFram
     """
     if mode == "update":
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    made = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    reader = spark.readStream.schema(schema)
+    made = make((reader if each is None else reader.option("maxFilesPerTrigger", each)).parquet(f"{folder}/in"))
     writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
@@ -229,14 +236,19 @@ def run_files(folder: str, schema, spark: SparkSession, make: Callable[[DataFram
     return spark.read.schema(schema).parquet(f"{folder}/out"), query
 
 
-def run_to_end(source: DataFrame, make: Callable[[DataFrame], DataFrame], time: str = "ts", files: int = 2, mode: str = "append") -> DataFrame:
-    """Put ``source`` through a stream: its rows in ``files`` parts in order of ``time``, file by file; the sink's rows."""
+def run_to_end(source: DataFrame, make: Callable[[DataFrame], DataFrame], time: str = "ts", parts: int = 2, mode: str = "append") -> DataFrame:
+    """Put ``source`` through a stream: its rows in ``parts`` parts in order of ``time``, one a trigger; the sink's rows.
+
+    A part is as many files as Spark writes. They all come in one trigger, as each of them holds rows of all the part's time: were
+    they read one by one, the first would set the watermark past the rows of the others.
+    """
     spark = source.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     at = F.col(time).cast("timestamp").cast("double")
     lo, hi = source.agg(F.min(at), F.max(at)).first()
-    share = F.lit(0) if lo is None else F.least(F.floor((at - F.lit(lo)) * files / F.lit(max(hi - lo, 1e-6))), F.lit(files - 1))
-    parts = source.withColumn("__part", F.coalesce(share, F.lit(0)))
-    for k in range(files):  # one after the other, as files are read in order of arrival
-        parts.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(f"{folder}/in")
-    return run_files(folder, source.schema, spark, make, mode)[0]
+    share = F.lit(0) if lo is None else F.least(F.floor((at - F.lit(lo)) * parts / F.lit(max(hi - lo, 1e-6))), F.lit(parts - 1))
+    dealt = source.withColumn("__part", F.coalesce(share, F.lit(0)))
+    for k in range(parts):  # one after the other; the stream goes on where it stopped
+        dealt.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(f"{folder}/in")
+        rows = run_files(folder, source.schema, spark, make, mode, each=None)[0]
+    return rows
