@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.exact import exact_avg
+from ..functions.exact import exact_avg, rounded
 from ..functions.graph import shared_dir
 from ..operators import cleaning, scoring, validation
 
@@ -177,7 +177,7 @@ def stream_quality_alerts(records: DataFrame, window: str = "1 hour", limit: int
 
 def stream_metric_windows(metrics: DataFrame, window: str = "5 minutes", late: str = LATE) -> DataFrame:
     """Mean, peak and last value per metric and window."""
-    a = _timed(metrics, late).groupBy("metric_name", F.window("ts", window).alias("w")).agg(F.round(exact_avg("metric_value"), 4).alias("mean"), F.max("metric_value").alias("peak"), F.max_by("metric_value", F.struct("ts", "event_id")).alias("last"))
+    a = _timed(metrics, late).groupBy("metric_name", F.window("ts", window).alias("w")).agg(rounded(exact_avg("metric_value"), 4).alias("mean"), F.max("metric_value").alias("peak"), F.max_by("metric_value", F.struct("ts", "event_id")).alias("last"))
     return a.select("metric_name", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("window_start"), "mean", "peak", "last")
 
 
